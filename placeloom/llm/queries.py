@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, quality, tokens
+from . import automata, decontaminate, pii, quality, runindex, tokens
 from .common import shared_dir, table
 
 #: The tokenizer's vocabulary, by its name in the installed collection.
@@ -31,10 +31,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.byte_dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_token_shards, op4_pii, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_token_shards, op4_pii, op7_suffix_array_dedup, op8_substring_dedup, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
