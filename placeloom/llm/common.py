@@ -1,14 +1,16 @@
-"""Shared plumbing: tables, the folder shared by driver and executors, staged tables, connected components."""
+"""Shared plumbing: tables, sizes of buckets, and the library's shared folder, staged tables and components."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import components, shared_dir, staged
+
+__all__ = ["TASK_BYTES", "components", "n_buckets", "shared_dir", "staged", "table"]
+
 #: Bytes of text that one Python task is meant to hold.
 TASK_BYTES = 16 << 20
 
@@ -17,64 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests), below a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            base = current.get()
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="placeloom-")
-            spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/placeloom-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def n_buckets(df: DataFrame, size: str) -> int:
     """Buckets of about ``TASK_BYTES`` each, and no fewer than the session's shuffle partitions."""
     total = df.agg(F.sum(size)).first()[0] or 0
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_BYTES))
-
-
-def _settled(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected ``edges(u, v)``: returns ``(node, root)``, root the least node.
-
-    Alternating large-star and small-star steps; each step is a partial minimum and an equi-join, so a hub
-    never gathers its neighbours in one task.  Steps are staged in the shared folder.  Self-loops make
-    singletons; an empty table gives an empty result.
-    """
-    both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
-    now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = _settled(now)
-    while state[0]:
-        # Large star: each neighbour above u is linked to the least node around u.
-        sym = both(now)
-        least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: u and its neighbours below are linked to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hop = large.join(low, "u")
-        small = hop.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = staged(small.where("u <> v").distinct())
-        after = _settled(now)
-        if after == state:
-            break
-        state = after
-    return nodes.join(now, nodes.node == now.u, "left").select("node", F.coalesce("v", "node").alias("root"))
