@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Mean Earth radius in metres, metres in a degree of latitude, WGS84 axes.
 EARTH_M, DEGREE_M = 6_371_008.8, 111_320.0
@@ -83,7 +84,7 @@ def overlap_area(a0, b0, a1, b1, c0, d0, c1, d1) -> Column:
     return F.greatest(F.least(a1, c1) - F.greatest(a0, c0), F.lit(0)) * F.greatest(F.least(b1, d1) - F.greatest(b0, d0), F.lit(0))
 
 
-@F.pandas_udf("array<struct<lon:double,lat:double>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])))
 def decode_polyline6(shapes: pd.Series) -> pd.Series:
     """Encoded polylines of six decimals; null for null or broken input."""
 
@@ -105,7 +106,7 @@ def decode_polyline6(shapes: pd.Series) -> pd.Series:
     return shapes.map(one)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def geodesic_m(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
     """Vincenty's inverse on WGS84; antipodal pairs that do not converge fall back on the mean sphere."""
     b = (1 - WGS84_F) * WGS84_A

@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the area fold: sequences that full case folding expands, and single letters it unifies.
 EXPANSIONS = {"i̇": "i", "ß": "ss", "ŉ": "ʼn", "և": "եւ", "ẚ": "aʾ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ﬓ": "մն", "ﬔ": "մե", "ﬕ": "մի", "ﬖ": "վն", "ﬗ": "մխ"}
@@ -47,7 +48,7 @@ def match_confidence(needle: Column, other: Column) -> Column:
     return F.when(F.coalesce(other, F.lit("")) == "", 0.0).when(other == needle, 1.0).when(part(F.startswith), 0.6).when(part(F.contains), 0.45).otherwise(0.0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def name_fold(names: pd.Series) -> pd.Series:
     """Case, accents, punctuation and spacing folded; scripts stay."""
 
@@ -61,7 +62,7 @@ def name_fold(names: pd.Series) -> pd.Series:
     return names.map(one)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fold_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two folded names, the same either way round; 0 if one is empty."""
 
@@ -145,7 +146,7 @@ def _romanise_run(run: re.Match) -> str:
     return out.upper() if all(upper) else out[:1].upper() + out[1:] if upper[0] else out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def romanise_greek(names: pd.Series) -> pd.Series:
     """Greek letters in Latin ones for display; all else stays."""
     return names.map(lambda n: None if n is None else unicodedata.normalize("NFC", _GREEK_RUN.sub(_romanise_run, unicodedata.normalize("NFD", n))))

@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Template names.
 TEMPLATES = ("see", "do", "eat", "drink", "sleep", "buy", "go", "listing", "marker", "vcard")
@@ -37,6 +38,6 @@ def listings(text: str) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<template:string,fields:map<string,string>>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("template", T.StringType()), T.StructField("fields", T.MapType(T.StringType(), T.StringType()))])))
 def parse_listings(texts: pd.Series) -> pd.Series:
     return texts.map(listings)
