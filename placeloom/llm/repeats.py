@@ -214,7 +214,7 @@ class Repeats:
         return h, keys[heads], np.diff(np.append(heads, len(keys))).astype(np.uint32)
 
     # -- pass 2
-    def stretches(self, rows: DataFrame, repeated: DataFrame, n: int) -> DataFrame:
+    def stretches(self, rows: DataFrame, repeated: DataFrame, n: int, keep_text: bool = False) -> DataFrame:
         """SCHEMA rows: finished rows, texts with repeated anchors, their stretches, and marks settled here."""
         kind = self.kind
 
@@ -234,7 +234,7 @@ class Repeats:
             given = left.column("doc_id").to_pylist()
             bodies = texts.to_pylist()
             for i in np.flatnonzero(~flagged).tolist():
-                out.append((DONE, bucket, None, given[i], *kind.finish((bodies[i] or "").encode(), []), None))
+                out.append((DONE, bucket, None, given[i], *kind.finish(body := (bodies[i] or "").encode(), []), kind.remaining(body, []) if keep_text else None))
             for i in np.flatnonzero(flagged).tolist():
                 out.append((TEXT, bucket, int(row_keys[i]), given[i], None, None, None, None, (bodies[i] or "").encode()))
             once = np.flatnonzero(flagged)
@@ -347,7 +347,7 @@ class Repeats:
         rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
         n = n_buckets(rows.select(F.octet_length("text").alias("size")), "size")
         rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("bucket", F.pmod("row_key", F.lit(n)).cast("int"))
-        sent = staged(self.stretches(rows, self.repeated_anchors(rows, n), n))
+        sent = staged(self.stretches(rows, self.repeated_anchors(rows, n), n, keep_text))
         marks = sent.where(F.col("kind") == MARKS).unionByName(self.settle(sent, n)).select(F.col("bucket").alias("to"), F.col("payload").alias("marks"))
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -219,7 +219,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1,
         for batch in batches:
             words = words or encoder(vocabulary)
             docs_of = batch.column(0).to_pylist()
-            for row, buf, offsets in text_chunks(batch.column(1)):
+            for row, buf, offsets in text_chunks(batch.column(1), min(2 << 20, 2 * shard_tokens)):
                 got, row_ends = words.encode(buf, offsets, end_id)
                 ids.append(got)
                 ends.append(row_ends + total)

@@ -1,0 +1,379 @@
+"""The training-data operators against brute force, on a fixture with every odd case."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from placeloom.llm import arrays, automata, chosenpath, decontaminate, html, mixing, pii, quality, queries, repeats, runindex, tokens, urls
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_key long, bucket long, sid long, stratum string, t string"
+
+
+def fixture_rows():
+    """Copies, near copies, shared passages, repeats in a text, nulls, empty and long texts, repeated rows and ids."""
+    rng = random.Random(7)
+    vocab = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    passage, base = say(40), say(120)
+    texts = [None, "", " \n\t", "one two", "one two", "a " * 400, passage, base, base, say(6000)]
+    for _ in range(30):
+        words = base.split()
+        for _ in range(rng.choice((1, 2, 3, 8))):
+            words[rng.randrange(len(words))] = rng.choice(vocab)
+        texts.append(" ".join(words))
+    texts += [f"{say(rng.randint(1, 60))} {passage}\n{say(rng.randint(0, 30))}" for _ in range(25)]
+    texts += [say(rng.randint(1, 200)) for _ in range(20)]
+    texts += [passage + " x\n" + passage + "\n" + passage]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    rows += [(7, base), (7, base), (60, say(30) + " " + passage), (None, passage + " " + say(20)), (None, None)]
+    return rows
+
+
+ROWS = fixture_rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, ("en", "de", None)[k % 3], ("a", "b", None, "a", "a")[k % 5], 0, 1, 2, 3, "s", "t") for k, (i, t) in enumerate(ROWS)], SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def order(i):
+    return -math.inf if i is None else i
+
+
+def removed(rows, length, split, inner):
+    """Per row the flags of covered items."""
+    places = collections.defaultdict(set)
+    for k, (i, t) in enumerate(rows):
+        items = split((t or "").encode())
+        for j in range(len(items) - length + 1):
+            places[tuple(items[j : j + length])].add((order(i), k, j))
+    first = {w: min(p[0] for p in at) for w, at in places.items()}
+    out = []
+    for k, (i, t) in enumerate(rows):
+        items = split((t or "").encode())
+        flags = [False] * len(items)
+        seen = set()
+        for j in range(len(items) - length + 1):
+            w = tuple(items[j : j + length])
+            if first[w] < order(i) or inner and w in seen:
+                flags[j : j + length] = [True] * length
+            seen.add(w)
+        out.append((i, items, flags))
+    return out
+
+
+@pytest.mark.parametrize("hot", [512, 3])
+def test_substring_dedup(docs, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    want = sorted((order(i), len(w), sum(f), hashlib.sha256(b" ".join(x for x, y in zip(w, f) if not y)).hexdigest()) for i, w, f in removed(ROWS, 13, lambda b: re.findall(rb"[^\x20\x09-\x0D]+", b), False))
+    got = sorted((order(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in automata.substring_dedup(docs).collect())
+    assert got == want
+
+
+@pytest.mark.parametrize("hot", [512, 3])
+@pytest.mark.parametrize("window", [100, 20])
+def test_byte_dedup(docs, monkeypatch, hot, window):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    want = sorted((order(i), len(b), sum(f), sum(y and not x for x, y in zip([False, *f], f)), hashlib.sha256(bytes(x for x, y in zip(b, f) if not y)).hexdigest()) for i, b, f in removed(ROWS, window, list, True))
+    got = sorted((order(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in runindex.byte_dedup(docs, window).collect())
+    assert got == want
+
+
+def test_dedup_keeps_texts(docs):
+    kept = {(r.doc_id, r.kept_sha256): r.kept_bytes for r in runindex.byte_dedup(docs, keep_text=True).collect()}
+    assert all(hashlib.sha256(bytes(b)).hexdigest() == sha for (_, sha), b in kept.items())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", min_size=4, max_size=14), min_size=1, max_size=8), st.integers(2, 4))
+def test_run_index_classes(texts, length):
+    items = np.frombuffer("".join(texts).encode(), np.uint8)
+    sizes = np.array(list(map(len, texts)))
+    starts = np.cumsum(sizes) - sizes
+    windows = [t[j : j + length] for t in texts for j in range(len(t) - length + 1)]
+    for found in (runindex.classes(items, starts, sizes, length, np.zeros(len(texts), np.uint64)), automata.classes(items, starts, sizes, length, np.zeros(len(texts), np.uint64))):
+        assert len({*zip(windows, found.tolist())}) == len(set(windows)) == len(set(found.tolist()))
+
+
+def links(rows):
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(t or "")
+        sets.append(frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset())
+    n, parent = [0] * len(rows), list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                n[a], n[b] = n[a] + 1, n[b] + 1
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return [(order(i), order(least.get(find(k)) if sets[k] else i), n[k]) for k, (i, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("leaf", [256, 4])
+def test_chosen_path_join(docs, monkeypatch, leaf):
+    monkeypatch.setattr(chosenpath, "LEAF", leaf)
+    got = sorted((order(r.doc_id), order(r.class_id), r.n_links) for r in chosenpath.near_duplicates(docs).collect())
+    assert got == sorted(links(ROWS))
+
+
+def test_keep_one(docs):
+    judged = links(ROWS)
+    kept = collections.Counter(r.text for r in chosenpath.keep_one(docs).collect() if WORD.search(r.text or ""))
+    assert sum(kept.values()) == len({c for (_, c, n) in judged if n}) + sum(1 for (i, t), (_, _, n) in zip(ROWS, judged) if not n and WORD.search(t or ""))
+
+
+def test_runs_reach_recall():
+    assert chosenpath.runs_for(0.8, 0.9999) <= 6 and chosenpath.runs_for(0.8, 0.9) == 1
+
+
+def base_counts(text):
+    text = text or ""
+    w = WORD.findall(text)
+    seen = collections.Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
+    covered = {j + d for j in range(len(w) - 2) if seen[tuple(w[j : j + 3])] > 1 for d in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_features(docs):
+    got = sorted((order(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.features(docs, "doc_id").collect())
+    want = []
+    for i, t in ROWS:
+        c = base_counts(t)
+        want.append((order(i), *c, c[0] < 50 or 100 * c[4] > 50 * c[0]))
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize(("k", "n", "p"), [(0, 100, 0.01), (3, 400, 0.02), (90, 5000, 0.02), (40, 20000, 0.0033), (0, 1, 0.5)])
+def test_binomial_tail_is_exact(spark, k, n, p):
+    exact = sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)) for j in range(k + 1))
+    got = spark.sql(f"select {quality.binomial_tail('k', 'n', p)} from values ({k}L, {n}L) t(k, n)").first()[0]
+    assert got == pytest.approx(exact, rel=1e-6)
+
+
+def test_cutoffs_hold_the_risk(spark):
+    """Good documents score low; bad ones high. The cutoff rejects the bad and at most alpha of the good."""
+    rng = random.Random(1)
+    rows = [(i, "en", 100, 500, rng.randrange(4) if i % 5 else 90, 0, 0, 0, 0, False) for i in range(9000)]
+    scored = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_capitals long, n_marks long, base_failed boolean")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(9000)], "doc_id long, quality int")
+    judged = quality.judge(scored, labels)
+    assert judged.where("n_symbols = 90 and kept").count() == 0 and judged.where("n_symbols < 90 and not kept").count() <= 0.02 * 7200
+    few = labels.where("doc_id < 50")
+    assert quality.judge(scored, few).where("not kept").count() == 0  # too few labels certify nothing
+
+
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_spans(text):
+    def valid(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        if kind == "phone":
+            return 9 <= len(d) <= 15
+        return kind == "email" or 12 <= len(d) <= 19 and sum(sum(divmod(2 * int(c), 10)) if j % 2 else int(c) for j, c in enumerate(reversed(d))) % 10 == 0
+
+    return sorted((m.start(), k, kind, m.end()) for k, (kind, p) in enumerate(PII.items()) for m in re.finditer(p, text or "") if valid(kind, m.group()))
+
+
+PII_TEXTS = [
+    None, "", "x@y.zz", "mail a.b+c@d-e.co.uk_f@g.h now", "a@b.com.x@y.org a@@b.c @x.y", "𝄞é 1.2.3.4 1.2.3.4.5 256.1.1.1 001.02.3.255 00000000000000000300.1.1.1",
+    "4111 1111 1111 1111, 4111-1111-1111-1112 4111 1111  1111 1111", "+1 (555) 123-4567 +49.30.1234 5678 9 + 12 +1-", "5" * 3000, "+" * 50 + "1" * 12, "a." * 2000 + "@b.c", "0" * 16, "1 " * 4000,
+]
+
+
+def test_pii_base_spans(spark):
+    rows = list(enumerate(PII_TEXTS)) + [(2, "x@y.zz")]
+    got = sorted((r.doc_id, r.base_sha256, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.pii_report(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, base string, row_key int")).collect())
+    want = []
+    for i, t in rows:
+        s = base_spans(t)
+        n = collections.Counter(x[2] for x in s)
+        want.append((i, hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in s).encode()).hexdigest(), *(n[k] for k in PII)))
+    assert got == sorted(want)
+
+
+def test_pii_terms_disclose(spark):
+    """A rare word beside one address in different texts tells of it; common words and single texts do not."""
+    rows = [(i, f"the report {i}\nthe zebrafish wrote to kim@x.org of case {i}\nthe end") for i in range(4)] + [(9, "the okapi wrote to lee@x.org")] * 3 + [(100 + i, f"the cat of day {i} wrote") for i in range(200)]
+    found = {r.doc_id: r.spans for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = rows[0][1].index("zebrafish")
+    assert f"term:{at}:{at + 9}" in found[0].split(",") and "term" not in found[9] and found[100] == ""
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), support=2).collect()}
+    assert "[EMAIL]" in clean[0] and "zebrafish" not in clean[0] and clean[100] == rows[-200][1]
+
+
+def test_pii_recall_of_sanitised_text(spark):
+    rows = list(enumerate(PII_TEXTS))
+    clean = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert not any(base_spans(r.text) for r in clean if r.doc_id in (2, 3, 7))
+
+
+def test_token_shards_round_trip(docs, spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.vocabulary_path())
+    folder = f"file://{tmp_path}/shards"
+    tokens.write_shards(docs, folder, queries.vocabulary_path(), shard_tokens=500)
+    got = sorted((r.start, order(r.doc_id), r.n_tokens, r.ids_crc32) for r in tokens.read_shards(spark, folder).collect())
+    at, want, every = 0, [], []
+    for i, t in sorted(((i, t or "") for i, t in ROWS), key=lambda x: (order(x[0]), x[1])):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        want.append((at, order(i), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        every += ids
+        at += len(ids)
+    assert got == want
+    shards = spark.read.parquet(folder).orderBy("shard").collect()
+    assert len(shards) > 4
+    read = [tokens.WaveletMatrix.from_bytes(bytes(s.blob))[0] for s in shards]
+    assert np.concatenate([m.ids() for m in read]).tolist() == every
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 12), max_size=300), st.integers(4, 6))
+def test_wavelet_matrix(values, bits):
+    built = tokens.WaveletMatrix.build(np.array(values, np.uint16), bits)
+    matrix, ends = tokens.WaveletMatrix.from_bytes(built.to_bytes(np.array([len(values)])))
+    assert matrix.ids().tolist() == values and ends.tolist() == [len(values)]
+    for i, x in enumerate(values[:40]):
+        assert matrix.access(i) == x and matrix.rank(x, i) == values[:i].count(x)
+        assert matrix.select(x, values[:i].count(x)) == i
+    assert matrix.count(13) == 0 and matrix.select(3, values.count(3)) == -1 and matrix.count(1 << 20) == 0
+
+
+def test_wavelet_ranks_cross_blocks():
+    values = np.random.default_rng(1).integers(0, 50, 20000).astype(np.uint16)
+    matrix = tokens.WaveletMatrix.build(values, 6)
+    for i in (0, 4095, 4096, 4097, 8192, 19999, 20000):
+        assert matrix.rank(7, i) == int((values[:i] == 7).sum())
+
+
+BENCH = [(1, "Alpha beta, GAMMA delta 5 zeta eta theta iota kappa lambda"), (2, "short one"), (2, "short one"), (3, None), (4, "..."), (5, "é beta " * 8)]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 20])
+def test_decontaminate(spark, most):
+    words = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    texts = [None, "", "x alpha BETA gamma delta 5 zeta eta theta iota kappa y", "alpha beta gamma delta 5 zeta eta theta iota kappa lambda mu" * 2, "a Short-One b short", "é beta " * 20, "short", "É beta", "long " * 9000 + "short one"]
+    rows = list(enumerate(texts)) + [(2, texts[2]), (2, texts[2])]
+    windows = collections.defaultdict(set)
+    for i, t in BENCH:
+        w = words.findall(low(t))
+        for j in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[j : j + 10])].add(str(i))
+    want = []
+    for i, t in rows:
+        w = words.findall(low(t))
+        hit, items = set(), set()
+        for n in {len(x) for x in windows}:
+            for j in range(len(w) - n + 1):
+                if tuple(w[j : j + n]) in windows:
+                    hit |= set(range(j, j + n))
+                    items |= windows[tuple(w[j : j + n])]
+        want.append((i, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
+    docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, hits int")
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    found = decontaminate.find_leaks(docs, bench, most_bytes=most)
+    assert sorted(tuple(r)[:6] for r in found.collect()) == sorted(want)
+    kept = decontaminate.remove_leaks(docs, bench, action="documents", most_bytes=most)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(w[0] for w in want if not w[5])
+    spans = {r.doc_id: r.text for r in decontaminate.remove_leaks(docs, bench, action="spans", most_bytes=1 << 20).collect()}
+    assert spans[2] == "x  y" and spans[4] == "a  b short" and spans[0] is None
+
+
+def test_mixing_places_every_row_once(docs):
+    got = mixing.mix_sources(docs, {"a": 3.0, "b": 1.0, None: 1.0}, 4, "doc_id").collect()
+    assert sorted(r.position for r in got) == list(range(len(ROWS)))
+    assert collections.Counter((r.source, r.slot) for r in got).most_common(1)[0][1] <= 4
+    assert sorted(order(r.doc_id) for r in got) == sorted(order(i) for i, _ in ROWS)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcdefgh"), st.tuples(st.integers(1, 60), st.floats(0.01, 5)), min_size=1))
+def test_schedule_is_pfair(sources):
+    blocks, weights = {s: n for s, (n, _) in sources.items()}, {s: w for s, (_, w) in sources.items()}
+    slots = {}
+    for s, a, b, units, total, start, table in mixing.schedule(blocks, weights):
+        for j in range(b - a):
+            at = start + j // units * total + table[j % units]
+            assert at not in slots
+            slots[at] = s
+            # Within a stretch, block j + 1 of a source stands in its window: less than one block from the target.
+            assert j * total // units <= at - start < -(-(j + 1) * total // units)
+    assert sorted(slots) == list(range(sum(blocks.values()))) and collections.Counter(slots.values()) == blocks
+
+
+def test_html():
+    page = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>if (a<b) document.write("</p>")</script></head><body class=home>
+    <header><p>Site, name, here</p></header><nav><ul><li><a href="/">Home</a><li><a href="/x">X</a></ul></nav><div class="ad">Buy, buy, buy, now</div>
+    <article><header><h1>Title &amp; more</h1></header><p>First <b>bold<br>text, with&nbsp;commas,
+    and   spaces.<p class="share">Share this<p>Second &lt;b&gt; paragraph, fine.</p><form><input> name, mail, text</form><div id="comments"><p>I, too, like, it, very, much, indeed.</p></div><ul><li>one<li>two</ul></article>
+    <aside><p>Related, stuff, and, so, on</p></aside><footer>&copy; x</footer><!-- <p>no, no</p> --></body></html>"""
+    assert html.extract(page) == "Title & more\nFirst bold text, with commas, and spaces.\nSecond <b> paragraph, fine.\none\ntwo"
+    assert html.extract(None) == html.extract("") == html.extract("<nav>a</nav>") == "" and html.extract("plain  text") == "plain text"
+    assert html.extract("<p>a<p>b</div></p>") == "a\nb"
+    long = "<body><article>" + "".join(f"<p>word{i}, and more text of some length here.</p>" for i in range(5000)) + "<p>open <a href='x>y"
+    assert html.extract(long).count("\n") >= 4999
+
+
+def test_url_filters(spark):
+    rows = [(1, "http://A.org/x", None), (2, "https://m.Example.org/es/1", ""), (3, "https://example.org/en/12?q#f", None), (4, "http://x.com/fr/", None), (5, "http://x.com/de", None), (6, "http://x.com/de/#a", None), (7, None, None), (8, "no-scheme/de/", None), (9, "http://y.net", None), (9, "http://y.net", None)]
+    rows += [(20, "http://alias.net/a", '<link rel="canonical" href="https://x.com/de/1">'), (21, "http://other.net/b", "<meta http-equiv=refresh content='0; url=http://alias.net/a'>"), (22, "http://both.net/c", '<LINK href="http://alias2.net/q" rel=canonical>'), (23, "http://alias2.net/q", '<link rel=canonical href="http://example.org/es/9">'), (24, "http://third.net/z", '<link rel=canonical href="http://alias2.net/q">'), (25, "http://alias2.net/q2", '<link rel=canonical href="//good.org/1">'), (26, "http://r.com/de/s", '<link rel=canonical href="/en/s">'), (27, "http://r.com/en/s", None)]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(spark.createDataFrame([(*r, "h", "v") for r in rows], "page_id long, url string, html string, host string, verdict string")).collect()}
+    assert got[1] == ("a.org", "/x", "org/", "allow") and got[2][2:] == ("example.org/es/", "block") and got[3] == ("example.org", "/en/12", "example.org/en/1", "block")
+    assert got[4][2:] == ("com/fr/", "allow") and got[5][2:] == (None, "allow") and got[6][2:] == ("com/de/", "block") and got[7] == ("", "", None, "allow") == got[8] and got[9] == ("y.net", "", None, "allow")
+    assert [got[k][3] for k in (20, 21)] == ["block", "block"] and got[20][2] is None  # carried over two hops
+    assert [got[k][3] for k in (22, 23, 24)] == ["block"] * 3 and got[25][3] == "allow" and got[27][3] == "block"
+
+
+def test_explicit_allow_goes_first(spark):
+    rows = [(1, "http://a.net/1", '<link rel=canonical href="http://x.com/de/1">'), (2, "http://a.net/2", '<link rel=canonical href="http://x.com/de/1">'), (3, "http://good.org/p", '<link rel=canonical href="http://a.net/2">')]
+    got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "allow"}
+
+
+def test_empty_tables(spark, none, tmp_path):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    frames = [quality.quality_report(none, labels), quality.keep_good(none, labels), chosenpath.near_duplicates(none), chosenpath.keep_one(none), pii.pii_report(none), pii.sanitise(none), mixing.mix_sources(none, None, 4, "doc_id"), mixing.in_mixed_order(none), html.main_text(pages), runindex.byte_dedup(none), automata.substring_dedup(none), urls.judge_urls(pages), decontaminate.find_leaks(none, bench), decontaminate.remove_leaks(none, bench)]
+    assert [f.count() for f in frames] == [0] * len(frames)
+    tokens.write_shards(none, f"file://{tmp_path}/s", queries.vocabulary_path())
+    assert tokens.read_shards(spark, f"file://{tmp_path}/s").count() == 0
+
+
+def test_text_chunks_of_sliced_and_null_columns():
+    import pyarrow as pa
+
+    column = pa.array(["x", None, "ab", "", "cde"]).slice(1)
+    got = [(at, bytes(buf), offsets.tolist()) for at, buf, offsets in arrays.text_chunks(column, 2)]
+    assert b"".join(b for _, b, _ in got) == b"abcde" and sum(len(o) - 1 for _, _, o in got) == 4
