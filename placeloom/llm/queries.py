@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import automata, chosenpath, decontaminate, html, mixing, pii, quality, runindex, tokens, urls
 from .common import shared_dir, table
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "vocabulary_path"]
 
 #: The tokenizer's vocabulary, by its name in the installed collection.
 VOCABULARY = "word_bpe_49k.json"
@@ -75,4 +78,3 @@ QUERIES = {
         op10_decontaminate,
     )
 }
-ORACLES: dict[str, str] = {}
