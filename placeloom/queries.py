@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import geo, text
+from .functions import geo, hours, prose, serialize, text
 from .functions.licenses import bundleable, bundleable_sql, canonical, canonical_sql, trust_sql
-from .operators import feasibility, merge, quarantine, resolve, spatial
-from .plans import lifecycle
-from .sources import scans
+from .operators import feasibility, merge, network, quarantine, resolve, spatial
+from .plans import curate, lifecycle
+from .runtime import shared_dir
+from .sources import scans, wikitext
 from .streaming import ledger
 from .views import oracle, view
 
@@ -841,3 +842,169 @@ def t1_name_fold(v):
 @query()
 def t8_romanise(v):
     return v("nation").select("n_nationkey", text.romanise_greek(F.concat(F.lit("Ρόδος Αύγουστος μπαρ "), F.col("n_name"))).alias("latin"))
+
+
+# ---------------------------------------------------------------- more of each kind
+
+
+@query("select o_orderkey, o_orderpriority from {orders} where o_orderstatus = 'F'")
+def s5_partition_scan(v):
+    orders = v("orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    folder = shared_dir(orders.sparkSession)
+    orders.write.partitionBy("o_orderstatus").parquet(folder)
+    return orders.sparkSession.read.option("basePath", folder).parquet(folder).where("o_orderstatus = 'F'").select("o_orderkey", "o_orderpriority")
+
+
+@query("select p_partkey, case when mod(p_partkey, 2) = 0 then 'see' else 'eat' end as template, p_name as name from {part} where p_name <> ''")
+def s10_listings(v):
+    page = F.concat(F.lit("x {{"), F.when(F.col("p_partkey") % 2 == 0, "see").otherwise("Eat"), F.lit(" | name="), F.col("p_name"), F.lit(" | alt=[[a|b]] {{c|d}} | url= }} {{nope|name=z}}"))
+    parsed = v("part").select("p_partkey", F.explode(wikitext.parse_listings(page)).alias("l"))
+    return parsed.select("p_partkey", F.col("l.template").alias("template"), F.element_at("l.fields", "name").alias("name"))
+
+
+@query("select event_id, case mod(event_id, 4) when 0 then 'advisory' when 1 then 'blocking' when 2 then null else 'blocking' end as verdict from {events}")
+def p13_verdict_split(v):
+    entry = F.parse_json(F.expr("""case event_id % 4 when 0 then '{"code":"a","blocking":false}' when 1 then '"bare"' when 2 then '5' else '{"code":"b","blocking":"maybe"}' end"""))
+    kind = F.schema_of_variant(entry)
+    flag = F.when(kind.startswith("OBJECT"), F.try_variant_get(entry, "$.blocking", "string"))
+    return v("events").select("event_id", F.when(kind == "STRING", "blocking").when(kind.startswith("OBJECT"), F.when(flag == "false", "advisory").otherwise("blocking")).alias("verdict"))
+
+
+@query("select doc_id, coalesce(case when lang = 'en' then 'English' when lang = 'de' then 'Deutsch' end, lang) as title from {documents}")
+def p17_title_remap(v):
+    remap = v("documents").sparkSession.createDataFrame([("en", "English"), ("de", "Deutsch")], "lang string, to string")
+    return v("documents").join(F.broadcast(remap), "lang", "left").select("doc_id", F.coalesce("to", "lang").alias("title"))
+
+
+@query("select place_id, '{{\"kind\":\"' || kind || '\",\"value\":{{\"type\":\"Point\",\"coordinates\":[' || x || ',' || y || ']}}}}' as candidate from {places}")
+def p19_candidate_json(v):
+    point = F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates"))
+    return v("places").select("place_id", F.to_json(F.struct("kind", point.alias("value"))).alias("candidate"))
+
+
+@query("""with snap as (select zone_id as anchor, area_key as root, min(abs(x - x0) + abs(y - y0)) as snap from {zone}, {places} group by all), size as (select area_key as root, count(*) as n_nodes from {places} group by area_key),
+ whole as (select root, sum(snap)::bigint as total, count(*) as n from snap group by root) select root, n_nodes, total from whole join size using (root) where n = 5 order by total, n_nodes desc, root limit 1""")
+def j12_serving_component(v):
+    p = v("places").select(F.col("area_key").alias("root"), "x", "y")
+    size = p.groupBy("root").agg(F.count("*").alias("n_nodes"))
+    met = p.join(F.broadcast(v("zone").select(F.col("zone_id").alias("anchor"), "x0", "y0")), F.lit(True))  # five anchors
+    near = met.groupBy("anchor", "root").agg(F.min(F.abs(F.col("x") - F.col("x0")) + F.abs(F.col("y") - F.col("y0"))).alias("snap"))
+    return spatial.serving_component(near.join(size, "root"), 5)
+
+
+@query("select n_nationkey, case mod(n_nationkey, 4) when 0 then 'Latn' when 1 then 'Grek' when 2 then 'Cyrl' end as script from {nation}")
+def a15_dominant_script(v):
+    name = F.element_at(F.array(F.lit("Rhodes ς"), F.lit("Ρόδος x"), F.lit("Родос 5"), F.lit("123")), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    return v("nation").select("n_nationkey", text.dominant_script(name).alias("script"))
+
+
+@query("""select key, round(lon0 + w - greatest(1000.0::double, (2000 - (e - w) * px) / 2) / px, 4) as west, round(s - greatest(1000.0::double, (2000 - (n - s) * 111320) / 2) / 111320, 4) as south from (
+ select key, lon0, min(lon - lon0) as w, max(lon - lon0) as e, min(lat) as s, max(lat) as n, 111320.0::double * cos(radians(lat0)) as px from (select area_key as key, lon, lat, degrees(atan2(avg(sin(radians(lon))) over (partition by area_key), avg(cos(radians(lon))) over (partition by area_key))) as lon0, avg(lat) over (partition by area_key) as lat0 from {places}) q group by key, lon0, lat0) w""")
+def a17_tile_window(v):
+    return curate.tile_window(v("places").select(F.col("area_key").alias("key"), "lon", "lat")).select("key", F.round(F.col("west"), 4).alias("west"), F.round(F.col("south"), 4).alias("south"))
+
+
+@query(r"select doc_id, array_to_string(list_distinct(regexp_extract_all(text, '(?m)^Released under the ([A-Za-z0-9 .-]+) License', 1)), ',') as headings from {documents} where contains(text, 'Released under the')")
+def a19_license_headings(v):
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?m)^Released under the ([A-Za-z0-9 .-]+) License"), F.lit(1)))
+    return v("documents").where(F.contains("text", F.lit("Released under the"))).select("doc_id", F.array_join(found, ",").alias("headings"))
+
+
+@query("""select request_id, covered::double / asked >= 0.99 and mod(request_id, 2) = 0 as reuse from (select z.zone_id as request_id, (z.x1 - z.x0) * (z.y1 - z.y0) as asked, (z.x1 - z.x0) * (z.y1 - z.y0) as covered from {zone} z) q""")
+def f16_reuse(v):
+    asked = v("zone").select(F.col("zone_id").alias("request_id"), "x0", "y0", "x1", "y1")
+    fraction = spatial.coverage(asked, asked.drop("request_id")).withColumn("f", F.col("covered") / F.col("asked"))
+    return fraction.select("request_id", ((F.col("f") >= 0.99) & (F.col("request_id") % 2 == 0)).alias("reuse"))
+
+
+@query("select page_id, case when mod(page_id, 3) > 0 then url end as found from {pages}")
+def f20_absolute_urls(v):
+    tree = F.to_json(F.struct(F.lit("a/b").alias("url"), F.array(F.struct(F.when(F.col("page_id") % 3 > 0, F.col("url")).otherwise("fonts/x").alias("glyphs"))).alias("layers")))
+    return v("pages").select("page_id", F.get(serialize.absolute_urls(tree), F.lit(0)).alias("found"))
+
+
+@query("select place_id, name from {places} where place_id = 42 and license <> ''")
+def f21_key_lookup(v):
+    return v("places").where("place_id = 42 and license <> ''").select("place_id", "name")
+
+
+@query("select p_partkey, case mod(p_partkey, 4) when 0 then 'open' when 1 then 'closed' when 2 then 'hours_unknown' else 'open' end as state from {part}")
+def d1_hours_state(v):
+    text_of = F.element_at(F.array(F.lit("Mo-Fr 09:00-17:00; We 12:00-13:00"), F.lit("Sa,Su 10:00-12:00"), F.lit("week 1-10 open"), F.lit("Tu 22:00-02:00")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    at = F.when(F.col("p_partkey") % 4 == 3, F.lit("2024-01-03 01:30:00")).otherwise(F.lit("2024-01-03 12:30:00")).cast("timestamp_ntz")
+    return v("part").select("p_partkey", hours.state_at(hours.weekly_intervals(text_of), at).alias("state"))
+
+
+@query("""with o as (select area_id, zone, sum(greatest(least(a.x1, z.x1) - greatest(a.x0, z.x0), 0) * greatest(least(a.y1, z.y1) - greatest(a.y0, z.y0), 0)) as shared from {area} a, {zone} z group by all),
+ b as (select area_id, zone from (select *, row_number() over (partition by area_id order by shared desc, zone) as r from o where shared > 0) q where r = 1) select area_id, zone as country, zone from {area} left join b using (area_id)""")
+def d4_local_frame(v):
+    return curate.local_frame(v("area"), v("zone"), v("zone"))
+
+
+@query("select plan_id, stop_order, round_even(leg_m / (least(greatest(mod(plan_id, 7)::double, 3.5::double), 5.0::double) / 3.6::double), 0)::bigint as seconds from {stop}")
+def m1_walk_seconds(v):
+    return v("stop").select("plan_id", "stop_order", prose.walk_seconds(F.col("leg_m"), (F.col("plan_id") % 7).cast("double")).alias("seconds"))
+
+
+@query("select l_suppkey as k, '{{\"a\":' || l_suppkey || ',\"b\":[true,null,\"é\"],\"é\":1.5}}' as canonical from (select distinct l_suppkey from {lineitem}) q")
+def k1_canonical_json(v):
+    raw = F.concat(F.lit('{"é": 1.50, "b" : [true, null, "\\u00e9"], "a": '), F.col("l_suppkey").cast("string"), F.lit(".0}"))
+    return v("lineitem").select("l_suppkey").distinct().select(F.col("l_suppkey").alias("k"), serialize.jcs(raw).alias("canonical"))
+
+
+@query("select page_id, 'bnd_' || md5(url) as bundle, substr(md5(url), 1, 8) || '-' || substr(md5(url), 9, 4) || '-' || substr(md5(url), 13, 4) || '-' || substr(md5(url), 17, 4) || '-' || substr(md5(url), 21) as uuid from {pages}")
+def k4_bundle_ids(v):
+    uuid = F.regexp_replace(F.md5("url"), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    made = v("pages").select("page_id", serialize.bundle_id(uuid).alias("bundle"))
+    return made.select("page_id", "bundle", serialize.uuid_of(F.col("bundle")).alias("uuid"))
+
+
+@query("select event_id, event_type as event, cast(event_id as varchar) as data from {events}")
+def t19_event_frames(v):
+    stream = F.concat(F.lit(": hi\r\nevent: "), F.col("event_type"), F.lit("\r\ndata: "), F.col("event_id").cast("string"), F.lit("\r\n\r\ndata: cut"))
+    return v("events").select("event_id", F.explode(prose.event_frames(stream)).alias("f")).select("event_id", F.col("f.event").alias("event"), F.col("f.data").alias("data"))
+
+
+@query("select n_nationkey, 'el-Latn' as tag, 'Rodos ' || lower(n_name) as name, 0.9::double as confidence from {nation} where mod(n_nationkey, 2) = 0")
+def t9_latin_twins(v):
+    twin = prose.latin_twin(F.lit("el"), F.lit("Ρόδος "), F.col("n_nationkey") % 2 != 0)
+    return v("nation").select("n_nationkey", twin.alias("t"), F.lower("n_name").alias("n")).where("t is not null").select("n_nationkey", F.col("t.tag").alias("tag"), F.concat("t.name", "n").alias("name"), F.col("t.confidence").alias("confidence"))
+
+
+@query()
+def g5_noded_pieces(v):
+    return network.noded(_segments(v))
+
+
+@query()
+def g9_graph_verdict(v):
+    return network.graph_verdict(network.noded(_segments(v)))
+
+
+def _segments(v):
+    p = v("places").where("place_id < 400")
+    ahead = p.select((F.col("place_id") - 2).alias("place_id"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    return p.join(ahead, "place_id").select(F.col("place_id").alias("seg_id"), F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1")
+
+
+@query()
+def g10_shortest_paths(v):
+    edges = v("graph_edge").select(F.lit(0).cast("long").alias("graph_id"), "u", "v", (F.col("u") % 7 + 1).cast("double").alias("length"))
+    asked = v("graph_edge").select(F.lit(0).cast("long").alias("graph_id"), F.lit(5).cast("long").alias("source"), F.col("v").alias("target")).distinct()
+    return network.shortest_paths(edges, asked)
+
+
+@query()
+def c3_merge_records(v):
+    return curate.merge_records(v("places"), _names(v), v("observation"))
+
+
+@query()
+def c5_upsert(v):
+    p = v("places").select(F.col("place_id").alias("key"), "gers_id", "lon", "lat")
+    return curate.upsert(p.where("key % 2 = 0"), p.where("key % 2 = 1"))
+
+
+@query()
+def t16_wrapped(v):
+    return v("benchmark").select("item_id", prose.fenced(prose.wrapped("text")).alias("shown"))
