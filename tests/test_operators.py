@@ -234,3 +234,79 @@ def test_refresh_stream_converges(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("refreshed").collect()} == {(1, "a", 3, 90), (2, "b", 1, 1)}
+
+
+def test_canonical_json_numbers_and_keys():
+    from placeloom.functions import serialize
+
+    numbers = {1.0: "1", 0.1: "0.1", 1e21: "1e+21", 1e20: "100000000000000000000", 1e-7: "1e-7", 0.000001: "0.000001", -0.0: "0", 123456.789: "123456.789", 4.5e-10: "4.5e-10", 5e-324: "5e-324", 1.7976931348623157e308: "1.7976931348623157e+308", 9007199254740994.0: "9007199254740994", -33.25: "-33.25"}
+    assert {x: serialize._number(x) for x in numbers} == numbers
+    keys = {"€": 1, "\r": 2, "דּ": 3, "1": 4, "\U0001f600": 5, "\x80": 6, "ö": 7}
+    assert [v for v in json.loads(serialize.canonical_json(keys)).values()] == [2, 4, 6, 7, 1, 5, 3]
+
+
+def test_weekly_hours():
+    from placeloom.functions import hours
+
+    assert hours.weekly("24/7") == [(0, 7 * 1440)]
+    assert hours.weekly("Mo 22:00-02:00; Su 23:00-01:00") == [(0, 60), (1320, 1560), (6 * 1440 + 1380, 7 * 1440)]
+    assert hours.weekly('Mo-Fr 09:00-17:00 "ask"; We off') == [(d * 1440 + 540, d * 1440 + 1020) for d in (0, 1, 3, 4)]
+    assert hours.weekly("Fr-Mo 10:00-11:00,12:00-13:00")[0] == (600, 660) and hours.weekly("week 1 Mo") is None and hours.weekly(" ") is None and hours.weekly("25:00-26:00") is None
+
+
+def test_rings():
+    from placeloom.operators.network import valid_ring
+
+    assert valid_ring([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]) and not valid_ring([(0, 0), (4, 4), (4, 0), (0, 4)]) and not valid_ring([(0, 0), (1, 1), (2, 2)]) and not valid_ring([(0, 0), (200, 0), (0, 1)]) and not valid_ring(None)
+
+
+def test_noding_by_brute_force(spark):
+    from placeloom.operators import network
+
+    segments = [(1, 0, 0, 10, 10), (2, 0, 10, 10, 0), (3, 5, 5, 5, 20), (4, 20, 0, 30, 0), (5, 25, 0, 40, 0), (6, 100, 100, 110, 100)]
+    got = {tuple(r)[1:] for r in network.noded(spark.createDataFrame(segments, "seg_id long, x0 long, y0 long, x1 long, y1 long"), 8).collect()}
+    assert got == {(0, 0, 5, 5), (5, 5, 10, 10), (0, 10, 5, 5), (5, 5, 10, 0), (5, 5, 5, 20), (20, 0, 25, 0), (25, 0, 30, 0), (30, 0, 40, 0), (100, 100, 110, 100)}
+    verdict = network.graph_verdict(spark.createDataFrame([(1, *p) for p in got], "seg_id long, x0 long, y0 long, x1 long, y1 long")).first()
+    assert (verdict.components, verdict.pieces, verdict.kept) == (3, 9, 5)
+
+
+def test_shortest_paths(spark):
+    from placeloom.operators import network
+
+    edges = spark.createDataFrame([(1, 1, 2, 1.0), (1, 2, 3, 1.0), (1, 1, 3, 5.0), (1, 8, 9, 1.0), (2, 1, 3, 7.0)], "graph_id long, u long, v long, length double")
+    asked = spark.createDataFrame([(1, 1, 3), (1, 1, 9), (2, 3, 1)], "graph_id long, source long, target long")
+    assert {(r.graph_id, r.target): r.length for r in network.shortest_paths(edges, asked).collect()} == {(1, 3): 2.0, (1, 9): None, (2, 1): 7.0}
+
+
+def test_upsert_never_joins_different_identifiers(spark):
+    from placeloom.plans import curate
+
+    stored = spark.createDataFrame([(1, "a", 0.0, 0.0), (2, None, 1.0, 0.0)], "key long, gers_id string, lon double, lat double")
+    incoming = spark.createDataFrame([(1, "b", 0.0, 0.0), (2, "a", 9.0, 9.0), (3, None, 0.0, 0.0001), (4, "c", 1.0, 0.0), (5, None, 5.0, 5.0)], "key long, gers_id string, lon double, lat double")
+    assert {r.key: (r.site, r.how) for r in curate.upsert(stored, incoming).collect()} == {1: (None, "new"), 2: (1, "gers_id"), 3: (1, "spatial"), 4: (2, "spatial"), 5: (None, "new")}
+
+
+def test_tile_window_across_the_antimeridian(spark):
+    from placeloom.plans import curate
+
+    df = spark.createDataFrame([(1, 179.99, 0.0), (1, -179.99, 0.0), (2, 10.0, 50.0)], "key long, lon double, lat double")
+    got = {r.key: r for r in curate.tile_window(df).collect()}
+    assert got[1].west == pytest.approx(179.981, abs=1e-3) and got[1].east == pytest.approx(-179.981, abs=1e-3)
+    assert (got[2].north - got[2].south) * 111_320 == pytest.approx(2000, abs=1)
+
+
+def test_publish_writes_the_manifest_last(spark, tmp_path):
+    from placeloom.plans import curate
+
+    manifest = curate.publish(spark, f"file://{tmp_path}/b", {"sites": spark.range(3), "legs": spark.range(1)}).collect()
+    assert manifest and all(r.size > 0 and len(r.sha256) == 64 for r in manifest) and (tmp_path / "b/manifest").exists()
+    with pytest.raises(ValueError, match="unsafe"):
+        curate.publish(spark, f"file://{tmp_path}/b", {"../x": spark.range(1)})
+
+
+def test_wrapped_and_fenced(spark):
+    from placeloom.functions import prose
+
+    df = spark.createDataFrame([("word " * 40 + "x" * 120,), ("a ``` b",), (None,)], "t string")
+    got = [r[0] for r in df.select(prose.fenced(prose.wrapped("t"))).collect()]
+    assert max(map(len, got[0].split("\n")[1:-2])) <= 92 and got[1].startswith("````\n") and got[2] is None
