@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import components
 from .spatial import box_cells
@@ -102,3 +103,9 @@ def valid_ring(ring: list) -> bool:
             if turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0 or on(a, b, c) or on(a, b, d) or on(c, d, a) or on(c, d, b):
                 return False
     return True
+
+
+@F.pandas_udf(T.BooleanType())
+def ring_is_valid(rings: pd.Series) -> pd.Series:
+    """``valid_ring`` over arrays of (lon, lat) arrays."""
+    return rings.map(lambda r: False if r is None else valid_ring([tuple(p) for p in r]))

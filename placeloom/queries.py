@@ -1008,3 +1008,59 @@ def c5_upsert(v):
 @query()
 def t16_wrapped(v):
     return v("benchmark").select("item_id", prose.fenced(prose.wrapped("text")).alias("shown"))
+
+
+@query("select case when mod(place_id, 2) = 0 then 'node/' else 'way/' end || place_id as id, lon, lat, name from {places} where place_id < 500")
+def s6_element_feed(v):
+    p = v("places").where("place_id < 500")
+    centre = F.struct(F.col("lat"), F.col("lon"))
+    node = F.col("place_id") % 2 == 0
+    element = F.struct(F.when(node, "node").otherwise("way").alias("type"), F.col("place_id").alias("id"), F.when(node, F.col("lat")).alias("lat"), F.when(node, F.col("lon")).alias("lon"), F.when(~node, centre).alias("center"), F.create_map(F.lit("name"), F.col("name")).alias("tags"))
+    folder = shared_dir(p.sparkSession)
+    p.select(element.alias("e")).groupBy().agg(F.collect_list("e").alias("elements")).coalesce(1).write.json(folder)  # one answer of a feed is one document
+    return scans.element_feed(p.sparkSession, folder).select("id", "lon", "lat", F.element_at("tags", "name").alias("name"))
+
+
+@query("select zone_id, zone from {zone} where zone <> 'ASIA' union all select area_id, name from {area} where name <> 'NATION_3'")
+def s13_country_polygons(v):
+    both = v("zone").select("zone_id", "zone").unionByName(v("area").select(F.col("area_id").alias("zone_id"), F.col("name").alias("zone")))
+    return both.where(~F.col("zone").isin("ASIA", "NATION_3"))
+
+
+@query("select site_id, coalesce(min_by(license, src * 1000 + value) filter (field = 'N'), min_by(license, src * 1000 + value)) as license from {observation} where site_id < 100 group by site_id having count(distinct src * 1000 + value) = count(*)")
+def p2b_first_record_level(v):
+    o = v("observation").where("site_id < 100").withColumn("at", F.col("src") * 1000 + F.col("value"))
+    record = F.min_by(F.when(F.col("field") == "N", F.col("license")), F.when(F.col("field") == "N", F.col("at")))
+    return o.groupBy("site_id").agg(record.alias("r"), F.min_by("license", "at").alias("s"), F.countDistinct("at").alias("d"), F.count("*").alias("n")).where("d = n").select("site_id", F.coalesce("r", "s").alias("license"))
+
+
+@query("select site_id, count(distinct (field, observed_at, md5(kind || '|' || license || '|' || src), md5(cast(value as varchar)))) as keys from {observation} group by site_id")
+def k3_natural_keys(v):
+    rows = merge.ledger_rows(v("observation"))
+    return rows.distinct().groupBy("site_id").agg(F.count("*").alias("keys"))
+
+
+@query("select count(*) as files, true as sealed from (values (1), (2)) t(i)")
+def k6_artifact_digests(v):
+    spark = v("region").sparkSession
+    folder = shared_dir(spark)
+    manifest = curate.publish(spark, folder, {"regions": v("region").coalesce(1), "nations": v("nation").coalesce(1)})
+    return manifest.agg(F.count("*").alias("files"), F.bool_and((F.length("sha256") == 64) & (F.col("size") > 0)).alias("sealed"))
+
+
+@query("select area_id, mod(area_id, 3) = 0 as valid from {area}")
+def f7_valid_rings(v):
+    k = F.col("area_id") % 3
+    point = lambda x, y: F.array(F.lit(float(x)), F.lit(float(y)))
+    square, bow, line = (F.array(*(point(*p) for p in ps)) for ps in (((0, 0), (2, 0), (2, 2), (0, 2)), ((0, 0), (2, 2), (2, 0), (0, 2)), ((0, 0), (1, 1), (2, 2))))
+    return v("area").select("area_id", network.ring_is_valid(F.when(k == 0, square).when(k == 1, bow).otherwise(line)).alias("valid"))
+
+
+@query()
+def s16_decoded_paths(v):
+    return v("nation").select("n_nationkey", F.size(geo.decode_polyline6(F.lit("_p~iF~ps|U_ulLnnqC_mqNvxq`@"))).alias("n_points"))
+
+
+@query()
+def t2_name_agreement(v):
+    return resolve.name_agreement(resolve.near_pairs(v("places"), metres=40.0), _names(v)).select("a", "b", F.round("score", 6).alias("score"), "tag")
