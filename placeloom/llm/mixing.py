@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import n_buckets, staged
 
-#: Units that weights are rounded to, and sources beyond which the schedule would not fit the driver.
-UNITS, MOST_SOURCES = 1000, 5000
+#: Units that weights are rounded to, sources beyond which the schedule would not fit the driver (an error), and rows of it up to which it is broadcast.
+UNITS, MOST_SOURCES, MOST_BROADCAST = 1000, 1000, 200_000
 
 
 def period(units: dict[str, int]) -> dict[str, list[int]]:
@@ -93,9 +93,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     before = counts.select("_s", "_b", F.coalesce(F.sum("n").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy("_s", "_b").orderBy("_h", "_id")))
     placed = ranked.join(before, ["_s", "_b"]).withColumn("_at", F.col("_before") + F.col("_r") - 1).withColumn("_block", F.expr(f"_at div {block}"))
-    # Blocks to slots; the table has at most sources x (units + sources) rows, so it is broadcast.
+    # Blocks to slots; the table has at most sources x (units + sources) rows, and is broadcast only if it is small.
     on = (placed["_s"] == table["_s"]) & (F.col("_block") >= F.col("_from")) & (F.col("_block") < F.col("_to")) & (F.expr("(_block - _from) % _units") == F.col("_step"))
-    found = placed.join(F.broadcast(table), on).withColumn("slot", slot)
+    found = placed.join(F.broadcast(table) if len(steps) <= MOST_BROADCAST else table, on).withColumn("slot", slot)
     missing = F.expr("cast(array() as array<struct<at:bigint,n:bigint>>)") if not short else F.array(*(F.struct(F.lit(a).cast("long").alias("at"), F.lit(m).cast("long").alias("n")) for a, m in short))
     gap = F.aggregate(F.filter(missing, lambda x: x["at"] < F.col("slot")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
     source = F.when(placed["_s"] != "", F.substring(placed["_s"], 2, 1 << 30)).alias("source")
