@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -78,6 +80,14 @@ def sliding(x: np.ndarray, w: int, op) -> np.ndarray:
     return y
 
 
+def release() -> None:
+    """Gives freed memory back, as workers idle between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_chunks(column: pa.Array, most: int = 2 << 20):
     """(first row, byte buffer, offsets) of runs of whole rows of about ``most`` bytes; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

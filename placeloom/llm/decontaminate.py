@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import ALNUM, LOWER, prefix_hashes, range_hashes, split_words, text_chunks
+from .arrays import ALNUM, LOWER, prefix_hashes, range_hashes, release, split_words, text_chunks
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits binary, items array<string>"
 _BITS = 22
@@ -129,6 +129,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_bytes: i
                 columns = list(zip(*out)) or [[]] * 7
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary(), pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], [f.split()[0] for f in SCHEMA.split(", ")])
+            release()
 
         parts.append(rows.mapInArrow(run, SCHEMA))
     if len(parts) == 1:
@@ -204,6 +205,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: str
                     yield pa.RecordBatch.from_arrays([new if i == place else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
                 else:
                     yield batch.filter(pa.array(clean, pa.bool_()))
+            release()
 
         out = out.mapInArrow(run, out.schema)
     return out

@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrays import AS_IS, SPACED, split_words, text_chunks
+from .arrays import AS_IS, SPACED, release, split_words, text_chunks
 from .common import n_buckets
 
 _MAGIC, _STEP = b"PLWM", 4096
 SHARD_TOKENS = 4 << 20
-#: Encoded words that a worker keeps; beyond that it starts afresh.
-CACHED_WORDS = 1_500_000
+#: Encoded words in a worker's younger generation of words.
+CACHED_WORDS = 250_000
 
 
 class WaveletMatrix:
@@ -134,11 +134,39 @@ class WaveletMatrix:
         return cls(n, planes), ends
 
 
+class _Words:
+    """Ids of words by hash, in one pool."""
+
+    def __init__(self):
+        self.known: dict[int, int] = {}
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def add(self, hashes: list[int], flat: np.ndarray, lengths: np.ndarray) -> None:
+        have = len(self.known)
+        while have + len(hashes) > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.starts[have : have + len(hashes)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[have : have + len(hashes)] = lengths
+        self.used += len(flat)
+        self.known.update(zip(hashes, range(have, have + len(hashes))))
+
+    def ids(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words one after another, how many of each)."""
+        lengths = self.lengths[index].astype(np.int64)
+        before = np.cumsum(lengths) - lengths
+        return self.pool[np.repeat(self.starts[index] - before, lengths) + np.arange(int(lengths.sum()))], lengths
+
+
 class WordEncoder:
-    """Encodes texts word by word, each distinct word once.
+    """Encodes texts word by word, and a word again only when it has not been met for long.
 
     The tokenizer must drop white space and never join what white space parts, as this vocabulary does.
-    Words are told apart by 64-bit hashes.
+    Words are told apart by 64-bit hashes.  Two generations of words are kept: when the younger is full, the
+    older goes, so memory is bounded and common words stay.
     """
 
     def __init__(self, path: str):
@@ -146,49 +174,44 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(lengths.sum()))
-        have = len(self.known)
-        while have + len(words) > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.starts[have : have + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[have : have + len(words)] = lengths
-        self.used += len(flat)
-        self.known.update(zip(hashes, range(have, have + len(words))))
+        self.young, self.old = _Words(), _Words()
+
+    def _learn(self, hashes: list[int], words: list[str], step: int = 512) -> None:
+        """Words of a line break apart are encoded together; offsets tell whose an id is."""
+        joined = ["\n".join(words[i : i + step]) for i in range(0, len(words), step)]
+        flat, lengths = [], []
+        for i, e in enumerate(self.tokenizer.encode_batch(joined, add_special_tokens=False)):
+            mine = words[i * step : (i + 1) * step]
+            sizes = np.fromiter(map(len, mine), np.int64, len(mine)) + 1
+            at = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+            flat.append(np.array(e.ids, np.uint32))
+            lengths.append(np.bincount(np.searchsorted(np.cumsum(sizes), at, "right"), minlength=len(mine)))
+        self.young.add(hashes, np.concatenate(flat), np.concatenate(lengths))
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, each followed by end_id; ends of the rows)."""
         starts, ends, first, hashes = split_words(buf, offsets, SPACED, AS_IS)
         unique, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > CACHED_WORDS:
-            self.forget()
+        if len(self.young.known) > CACHED_WORDS:
+            self.old, self.young = self.young, _Words()
         listed = unique.tolist()
-        new = [i for i, h in enumerate(listed) if h not in self.known]
+        new = [i for i, h in enumerate(listed) if h not in self.young.known]
+        again = [i for i in new if listed[i] in self.old.known]
+        if again:
+            self.young.add([listed[i] for i in again], *self.old.ids(np.array([self.old.known[listed[i]] for i in again])))
+            new = [i for i in new if listed[i] not in self.old.known]
         if new:
             raw = buf.tobytes()
             self._learn([listed[i] for i in new], [raw[starts[place[i]] : ends[place[i]]].decode() for i in new])
-        index = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))[inverse]
-        lengths = self.lengths[index].astype(np.int64)
+        body, lengths = self.young.ids(np.fromiter(map(self.young.known.__getitem__, listed), np.int64, len(listed))[inverse])
         before = np.concatenate(([0], np.cumsum(lengths)))
         rows = len(offsets) - 1
         row_ends = before[first[1:]] + np.arange(1, rows + 1)
-        out = np.empty(int(before[-1]) + rows, np.uint32)
-        body = np.ones(len(out), bool)
-        body[row_ends - 1] = False
+        out = np.empty(len(body) + rows, np.uint32)
+        inside = np.ones(len(out), bool)
+        inside[row_ends - 1] = False
         out[row_ends - 1] = end_id
-        out[body] = self.pool[np.repeat(self.starts[index] - before[:-1], lengths) + np.arange(before[-1])]
+        out[inside] = body
         return out, row_ends
 
 
@@ -230,6 +253,8 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1,
                     ids, ends, doc_ids, total, at = [], [], [], 0, at + 1
         if doc_ids:
             yield shard()
+        ids, ends, doc_ids = [], [], []
+        release()
 
     dealt.mapInArrow(run, "shard long, n_tokens long, doc_ids array<long>, blob binary").write.option("compression", "zstd").parquet(folder)
 
@@ -246,6 +271,7 @@ def read_shards(spark, folder: str) -> DataFrame:
                 begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(begins, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(ends), pa.int64()), batch.column(2)[i].values, pa.array(begins, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64())], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+        release()
 
     decoded = files.select("shard", "n_tokens", "doc_ids", "blob").mapInArrow(run, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
     # Tokens before each shard: sums of groups of shards first, so no task orders more than a group or all groups.

@@ -269,6 +269,21 @@ def test_wavelet_matrix(values, bits):
     assert matrix.count(13) == 0 and matrix.select(3, values.count(3)) == -1 and matrix.count(1 << 20) == 0
 
 
+def test_word_encoder_equals_the_tokenizer(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 150)
+    rng = random.Random(5)
+    odd = ["İstanbul", "e\u0301te\u0301", "ß", "ﬁn", "don't", "we'll've", "x<|endoftext|>y", "<|startoftext|>", "\u0300", "中文字", "😀👍🏽", "a\u00a0b", "\u2003", "1234", "$$$!?", "ǅ", "\x00", "\x1f", "Ω\u0345"]
+    texts = [" ".join(rng.choice(odd) if rng.random() < 0.5 else "".join(chr(rng.choice((97, 98, 233, 0x301, 0x4E00, 39, 48, 65))) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    tokenizer, words, got = Tokenizer.from_file(queries.vocabulary_path()), tokens.WordEncoder(queries.vocabulary_path()), []
+    for _, buf, offsets in arrays.text_chunks(pa.array(texts), 400):
+        ids, ends = words.encode(buf, offsets, 1)
+        got += [x.tolist() for x in np.split(ids, ends[:-1])]
+    assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_wavelet_ranks_cross_blocks():
     values = np.random.default_rng(1).integers(0, 50, 20000).astype(np.uint16)
     matrix = tokens.WaveletMatrix.build(values, 6)
