@@ -40,8 +40,8 @@ def _settled(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(u, v)``: returns ``(node, root)``, root the least node.
 
-    Alternating large-star and small-star steps; each step is a partial minimum and an equi-join, so a hub
-    never gathers its neighbours in one task.  Steps are staged in the shared folder.  Self-loops make
+    Alternating large-star and small-star steps; each step is a partial minimum, staged, and an equi-join of two
+    tables, which adaptive execution can split where a hub is skewed.  Steps are staged in the shared folder.  Self-loops make
     singletons; an empty table gives an empty result.
     """
     nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
@@ -50,10 +50,10 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         # Large star: each neighbour above u is linked to the least node around u.
         sym = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = staged(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = staged(sym.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # Small star: u and its neighbours below are linked to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")))
         hop = large.join(low, "u")
         small = hop.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = staged(small.where("u <> v").distinct())
