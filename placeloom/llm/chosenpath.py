@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import AS_IS, SPACED, gram_hashes, mix, prefix_hashes, range_hashes, split_words, text_chunks, within_rows
+from .arrays import AS_IS, SPACED, gram_hashes, mix, prefix_hashes, range_hashes, release, split_words, text_chunks, within_rows
 from .common import components, n_buckets, staged
 
 SHINGLE, LEAF, DEPTH, BRANCHES, COORDINATES = 5, 256, 3, 2, 64
@@ -77,6 +77,7 @@ def _sketches(n: int):
                 sizes += count.tolist()
                 sketches += [x.tobytes() if c else None for x, c in zip(sketch, count.tolist())]
             yield pa.RecordBatch.from_arrays([keys, batch.column(1), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "row_key", "sid", "size", "sketch"])
+        release()
 
     return run
 
@@ -113,7 +114,7 @@ def leaves(reps: DataFrame, runs: int) -> DataFrame:
     nodes = staged(reps.select("sid", F.lit(0).cast("long").alias("node"), "sketch").mapInArrow(_split(runs), "sid long, node long"))
     found = None
     for depth in range(DEPTH + 1):
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
+        sizes = staged(nodes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1"))  # apart, so that the join below can split a large node
         now = staged(nodes.join(sizes, "node").select("sid", F.col("node").alias("leaf"), "members"))
         last = depth == DEPTH
         small = now if last else now.where(F.col("members") <= LEAF)
@@ -256,6 +257,7 @@ def _sets(n: int):
                 cuts = np.searchsorted(rows, np.arange(len(offsets)))
                 blobs += [grams[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["sid", "set"])
+        release()
 
     return run
 
