@@ -55,6 +55,13 @@ def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a large_string array without nulls."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
+
+
 def values_of(table: pa.Table, name: str) -> list[bytes]:
     """The column's values; a side of a cogroup without rows has no columns."""
     return table.column(name).to_pylist() if table.num_rows else []
@@ -229,17 +236,22 @@ class Repeats:
             docs = left.column("doc_id").to_numpy().copy() if not left.column("doc_id").null_count else np.array([_NULL if v is None else v for v in left.column("doc_id").to_pylist()], np.int64)
             flagged = np.isin(row_keys, keys)
             bucket = int(left.column("bucket")[0].as_py())
-            texts = left.column("text")
             out: list[tuple] = []
             given = left.column("doc_id").to_pylist()
-            bodies = texts.to_pylist()
+            texts = left.column("text").combine_chunks().cast(pa.large_string())
+            raw, offsets = _buffers(texts)
             for i in np.flatnonzero(~flagged).tolist():
-                out.append((DONE, bucket, None, given[i], *kind.finish(body := (bodies[i] or "").encode(), []), kind.remaining(body, []) if keep_text else None))
-            for i in np.flatnonzero(flagged).tolist():
-                out.append((TEXT, bucket, int(row_keys[i]), given[i], None, None, None, None, (bodies[i] or "").encode()))
-            once = np.flatnonzero(flagged)
-            once = once[np.unique(row_keys[once], return_index=True)[1]] if len(once) else once
-            out += self._stretches(pa.array([bodies[i] or "" for i in once.tolist()], pa.large_string()), row_keys[once], docs[once], keys, hashes, hot, n)
+                body = raw[offsets[i] : offsets[i + 1]].tobytes()
+                out.append((DONE, bucket, None, given[i], *kind.finish(body, []), kind.remaining(body, []) if keep_text else None))
+            rest = np.flatnonzero(flagged)
+            if len(rest):
+                # The texts travel on as one packed blob.
+                chosen = texts.take(pa.array(rest))
+                body, at = _buffers(chosen)
+                nulls = np.array([given[i] is None for i in rest.tolist()], np.uint8)
+                out.append((TEXT, bucket, None, None, None, None, None, None, pack(row_keys[rest], docs[rest], nulls, np.diff(at), body[at[0] : at[-1]])))
+                once = np.unique(row_keys[rest], return_index=True)[1]
+                out += self._stretches(chosen.take(pa.array(once)), row_keys[rest][once], docs[rest][once], keys, hashes, hot, n)
             return _table(out)
 
         right = repeated.select("bucket", "blob")
@@ -358,19 +370,22 @@ class Repeats:
             order = np.lexsort((a, keys))
             keys, a, b = keys[order], a[order].astype(np.int64), b[order].astype(np.int64)
             out = []
-            for key, doc, body in zip(left.column("row_key").to_pylist(), left.column("doc_id").to_pylist(), left.column("payload")):
-                low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                ranges: list[tuple[int, int]] = []
-                for x, y in zip(a[low:high].tolist(), b[low:high].tolist()):
-                    if ranges and x <= ranges[-1][1]:
-                        ranges[-1] = (ranges[-1][0], max(y, ranges[-1][1]))
-                    else:
-                        ranges.append((x, y))
-                body = body.as_py()
-                out.append((DONE, 0, None, doc, *kind.finish(body, ranges), kind.remaining(body, ranges) if keep_text else None))
+            for blob in left.column("payload").to_pylist():
+                row_keys, docs, nulls, sizes, pool = unpack(blob, np.int64, np.int64, np.uint8, np.int64, np.uint8)
+                ends = np.cumsum(sizes)
+                lows, highs = np.searchsorted(keys, row_keys, "left").tolist(), np.searchsorted(keys, row_keys, "right").tolist()
+                for doc, null, start, end, low, high in zip(docs.tolist(), nulls.tolist(), (ends - sizes).tolist(), ends.tolist(), lows, highs):
+                    ranges: list[tuple[int, int]] = []
+                    for x, y in zip(a[low:high].tolist(), b[low:high].tolist()):
+                        if ranges and x <= ranges[-1][1]:
+                            ranges[-1] = (ranges[-1][0], max(y, ranges[-1][1]))
+                        else:
+                            ranges.append((x, y))
+                    body = pool[start:end].tobytes()
+                    out.append((DONE, 0, None, None if null else doc, *kind.finish(body, ranges), kind.remaining(body, ranges) if keep_text else None))
             return _table(out)
 
-        texts = sent.where(F.col("kind") == TEXT).select("bucket", "row_key", "doc_id", "payload")
+        texts = sent.where(F.col("kind") == TEXT).select("bucket", "payload")
         finished = texts.groupBy("bucket").cogroup(marks.groupBy("to")).applyInArrow(run, SCHEMA)
         whole = sent.where(F.col("kind") == DONE)
         return whole.unionByName(finished).select("doc_id", "n", "n_removed", "n_spans", "sha", *(["payload"] if keep_text else []))
