@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import AS_IS, BYTE_VALUE, SPACED, gram_hashes, mix, sliding, split_words, text_chunks, within_rows
+from .arrays import AS_IS, BYTE_VALUE, SPACED, gram_hashes, mix, release, sliding, split_words, text_chunks, within_rows
 from .common import n_buckets, staged
 
 #: Holders beyond which an anchor's windows are dealt singly.
@@ -37,6 +37,7 @@ DONE, TEXT, STRETCHES, MARKS = range(4)
 
 
 def _table(rows: list[tuple]) -> pa.Table:
+    release()
     columns = list(zip(*rows)) or [[]] * len(_TYPES)
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
 
@@ -184,6 +185,7 @@ class Repeats:
                 if packs:
                     blobs = [pack(*self._by_row(p)) for p in packs.values()]
                     yield pa.RecordBatch.from_arrays([pa.array(list(packs), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            release()
 
         def find(table: pa.Table) -> pa.Table:
             parts = []
