@@ -231,6 +231,13 @@ def test_pii_terms_disclose(spark):
     assert "[EMAIL]" in clean[0] and "zebrafish" not in clean[0] and clean[100] == rows[-200][1]
 
 
+def test_pii_terms_of_values_met_once(spark):
+    """Values that never recur: a word on another line of texts with addresses of one domain tells of it."""
+    rows = [(i, f"the quokka of {i}\nthe mail went to p{i}@zoo.org today") for i in range(12)] + [(100 + i, f"the mail of {i} went to us today") for i in range(200)]
+    found = {r.doc_id: r for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.n_term == (i < 12) for i, r in found.items()) and "term:4:10" in found[0].spans.split(",")
+
+
 def test_pii_recall_of_sanitised_text(spark):
     rows = list(enumerate(PII_TEXTS))
     clean = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
