@@ -8,6 +8,11 @@ rejected ones, were the true false-rejection rate ``alpha / rules``, is at most
 over rules, grid and strata).  Each rule takes its least certified cutoff, or none; so with probability
 ``1 - delta`` at most ``alpha`` of the good documents of any stratum are rejected.
 
+``keep_good`` spends the same guarantee on one sequence of tests a stratum: a quarter of the holdout proposes a
+cutoff per rule, the rest tests all rules at once at the full ``alpha``, from cutoffs laxer by whole notches of
+the grid to those proposed, at ``delta`` over the strata.  Strata whose holdout could not certify even a rule
+without rejections are one pool, and the guarantee holds for the pool.
+
 Null texts count as empty, a null stratum is a stratum of its own, a document with any bad label is no good
 one, unlabelled strata get no cutoffs, an empty table gives an empty result.  Rows are judged one by one;
 extra columns are carried along.
@@ -15,6 +20,8 @@ extra columns are carried along.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,9 +100,35 @@ def cutoffs(scored: DataFrame, labels: DataFrame, stratum: str = "stratum", alph
     return sure.groupBy(stratum).agg(*(F.min(F.when(F.col("rule") == rule, F.col("cut"))).alias(f"cut_{rule}") for rule in RULES))
 
 
-def judge(scored: DataFrame, labels: DataFrame, stratum: str = "stratum", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+def tested_cutoffs(scored: DataFrame, labels: DataFrame, stratum: str = "stratum", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """As ``cutoffs``, all rules together in a fixed sequence of tests, small strata pooled."""
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+    flags = [F.expr(f"coalesce({score} > {cut}D, false)").alias(f"{rule}_{i}") for rule, (score, grid) in RULES.items() for i, cut in enumerate(grid)]
+    held = staged(scored.where("not base_failed").join(good, "doc_id").select(F.col(stratum).alias("_s"), (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("proposes"), *flags))
+    sizes = staged(held.groupBy("_s").agg(F.count_if(~F.col("proposes")).alias("n")))
+    n_strata = sizes.count()
+    level = delta / (n_strata + 1)
+    least = math.log(level) / math.log1p(-alpha)
+    small = lambda df: F.broadcast(df) if n_strata <= MOST_STRATA else df
+    groups = sizes.select("_s", F.when(F.col("n") < least, "pool").otherwise(F.to_json(F.struct("_s"))).alias("g"))
+    held = held.withColumnRenamed("_s", "_h").join(small(groups), F.col("_h").eqNullSafe(F.col("_s")))
+    # Per rule the strictest cutoff that rejects its share of what proposes; the grid's length for none.
+    rare = lambda rule, i: F.count_if(F.col("proposes") & F.col(f"{rule}_{i}")) <= F.count_if("proposes") * (alpha / len(RULES))
+    strictest = [F.coalesce(*(F.when((F.count_if("proposes") > 0) & rare(rule, i), i) for i in range(len(grid))), F.lit(len(grid))).alias(f"at_{rule}") for rule, (_, grid) in RULES.items()]
+    proposed = staged(held.groupBy("g").agg(*strictest))
+    notches = max(len(grid) for _, grid in RULES.values())
+    rejects = lambda lax: F.expr(" or ".join(f"coalesce(get(array({', '.join(f'{rule}_{i}' for i in range(len(grid)))}), at_{rule} + {lax}), false)" for rule, (_, grid) in RULES.items()))
+    tested = held.where("not proposes").join(small(proposed), "g").groupBy("g").agg(F.count("*").alias("n"), *(F.count_if(rejects(j)).alias(f"k_{j}") for j in range(notches)))
+    # Rejections only grow along the sequence, so what comes before a certified test is certified.
+    each = tested.select("g", "n", F.explode(F.array(*(F.struct(F.lit(j).alias("lax"), F.col(f"k_{j}").alias("k")) for j in range(notches)))).alias("x")).select("g", "n", "x.*")
+    sure = each.where(F.expr(f"k < n * {alpha}D")).where(F.expr(f"{binomial_tail('k', 'n', alpha)} <= {level!r}D")).groupBy("g").agg(F.min("lax").alias("lax"))
+    cuts = [F.expr(f"get(array({', '.join(f'{c}D' for c in grid)}), at_{rule} + lax)").alias(f"cut_{rule}") for rule, (_, grid) in RULES.items()]
+    return groups.join(proposed.join(sure, "g"), "g").select(F.col("_s").alias(stratum), *cuts)
+
+
+def judge(scored: DataFrame, labels: DataFrame, stratum: str = "stratum", alpha: float = 0.02, delta: float = 0.05, find=cutoffs) -> DataFrame:
     """``scored`` (staged, as it is read twice) with ``kept``."""
-    found = staged(cutoffs(scored, labels, stratum, alpha, delta))
+    found = staged(find(scored, labels, stratum, alpha, delta))
     few = found.limit(MOST_STRATA + 1).count() <= MOST_STRATA
     right = found.withColumnRenamed(stratum, "_stratum")
     joined = scored.join(F.broadcast(right) if few else right, scored[stratum].eqNullSafe(F.col("_stratum")), "left")
@@ -113,4 +146,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: fl
     """The rows of ``docs`` that are kept, whole."""
     whole = docs.select(F.struct("*").alias("row"), "doc_id", "lang", "text")
     scored = staged(features(whole, "row", "doc_id", "lang").withColumnRenamed("lang", "stratum"))
-    return judge(scored, labels, "stratum", alpha, delta).where("kept").select("row.*")
+    return judge(scored, labels, "stratum", alpha, delta, tested_cutoffs).where("kept").select("row.*")

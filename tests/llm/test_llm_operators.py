@@ -189,6 +189,17 @@ def test_cutoffs_hold_the_risk(spark):
     assert quality.judge(scored, few).where("not kept").count() == 0  # too few labels certify nothing
 
 
+def test_small_strata_get_cutoffs(spark):
+    """Some hundred labels a language, and a pool of smaller languages, certify what rejects junk; good documents stay."""
+    good = [(lang, "".join(f"w{i}{j}{lang} " for j in range(60)) + "# " * (i % 3)) for lang, n in (("en", 900), ("es", 400), ("it", 180), (None, 180)) for i in range(n)]
+    junk = [(lang, "".join(f"w{i}{j}{lang} # " for j in range(60))) for lang in ("en", "es", "it", None) for i in range(20)]
+    rows = [(i, lang, text) for i, (lang, text) in enumerate(good + junk)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, int(i < len(good))) for i in range(len(rows))], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.keep_good(docs, labels).collect()}
+    assert kept == set(range(len(good)))
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
