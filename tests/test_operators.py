@@ -310,3 +310,24 @@ def test_wrapped_and_fenced(spark):
     df = spark.createDataFrame([("word " * 40 + "x" * 120,), ("a ``` b",), (None,)], "t string")
     got = [r[0] for r in df.select(prose.fenced(prose.wrapped("t"))).collect()]
     assert max(map(len, got[0].split("\n")[1:-2])) <= 92 and got[1].startswith("````\n") and got[2] is None
+
+
+def test_network_queries_take_all_of_lineitem(spark, tmp_path):
+    from placeloom.queries import QUERIES
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(1, 400), rng.choice([5, *range(40)]), rng.randrange(12), rng.randrange(1, 5)) for _ in range(60)] + [(1, 5, 1, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    edges = {(p % 997, 1000 + (s * 31 + n) % 499) for _, p, s, n in rows}
+    root = {x: x for e in edges for x in e}
+    best = {5: 0.0}
+    for _ in range(len(root)):
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+            for a, b in ((u, v), (v, u)):
+                if a in best:
+                    best[b] = min(best.get(b, math.inf), best[a] + u % 7 + 1)
+    want = sorted((r, sum(x == r for x in root.values()), sum(root[u] == r for u, _ in edges)) for r in set(root.values()))
+    assert sorted((r.root, r.n_nodes, r.n_edges) for r in QUERIES["g6b_network_components"](spark, str(tmp_path)).collect()) == want
+    got = {r.target: r.length for r in QUERIES["g10_shortest_paths"](spark, str(tmp_path)).collect()}
+    assert {k: None if x is None or x != x else x for k, x in got.items()} == {v: best.get(v) for _, v in edges}
