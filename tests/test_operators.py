@@ -331,3 +331,12 @@ def test_network_queries_take_all_of_lineitem(spark, tmp_path):
     assert sorted((r.root, r.n_nodes, r.n_edges) for r in QUERIES["g6b_network_components"](spark, str(tmp_path)).collect()) == want
     got = {r.target: r.length for r in QUERIES["g10_shortest_paths"](spark, str(tmp_path)).collect()}
     assert {k: None if x is None or x != x else x for k, x in got.items()} == {v: best.get(v) for _, v in edges}
+
+
+def test_name_fold_query_folds_whole_texts(spark, tmp_path):
+    from placeloom.queries import QUERIES
+
+    rows = [(1, "Ródos, Ágios " * 30 + "END"), (2, "short"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.folded for r in QUERIES["t1_name_fold"](spark, str(tmp_path)).collect()}
+    assert got == {1: "rodos agios " * 30 + "end", 2: "short", 3: None, 4: ""}
