@@ -982,7 +982,7 @@ def g9_graph_verdict(v):
 
 
 def _segments(v):
-    p = v("places").where("place_id < 400")
+    p = v("places")
     ahead = p.select((F.col("place_id") - 2).alias("place_id"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     return p.join(ahead, "place_id").select(F.col("place_id").alias("seg_id"), F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1")
 

@@ -340,3 +340,36 @@ def test_name_fold_query_folds_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.folded for r in QUERIES["t1_name_fold"](spark, str(tmp_path)).collect()}
     assert got == {1: "rodos agios " * 30 + "end", 2: "short", 3: None, 4: ""}
+
+
+def test_segments_come_from_all_places(spark, tmp_path):
+    """Customers give places 2k, suppliers 2k + 1; each leads to the next of its kind, by brute force over exact crossings."""
+    from fractions import Fraction
+
+    from placeloom.queries import QUERIES
+
+    ids = [*range(195, 235), 901, 902]
+    for table, c, n in (("customer", "c_cust", "c"), ("supplier", "s_supp", "s")):
+        spark.createDataFrame([(i, f"n{i}", 1) for i in ids], f"{c}key long, {n}_name string, {n}_nationkey long").write.parquet(str(tmp_path / f"{table}.parquet"))
+    at = {2 * i: (2821000 + i * 7919 % 2000, 3644000 + i * 104729 % 1100) for i in ids} | {2 * i + 1: (2821000 + i * 7907 % 2000, 3644000 + i * 104723 % 1100) for i in ids}
+    segments = {i: (*p, *at[i + 2]) for i, p in at.items() if i + 2 in at}
+    near = lambda x: math.floor(x + Fraction(1, 2))
+    pieces = set()
+    for i, (ax, ay, bx, by) in segments.items():
+        cuts = {(ax, ay), (bx, by)}
+        for j, (px, py, qx, qy) in segments.items():
+            det = (bx - ax) * (qy - py) - (by - ay) * (qx - px)
+            if i != j and det:
+                t, u = Fraction((px - ax) * (qy - py) - (py - ay) * (qx - px), det), Fraction((px - ax) * (by - ay) - (py - ay) * (bx - ax), det)
+                if 0 <= t <= 1 and 0 <= u <= 1:
+                    cuts.add((near(ax + t * (bx - ax)), near(ay + t * (by - ay))))
+        line = sorted(cuts, key=lambda p: ((p[0] - ax) ** 2 + (p[1] - ay) ** 2, p))
+        pieces |= {tuple(sorted(x)) for x in zip(line, line[1:])}
+    got = {((r.x0, r.y0), (r.x1, r.y1)) for r in QUERIES["g5_noded_pieces"](spark, str(tmp_path)).collect()}
+    assert got == pieces and len(pieces) > len(segments) > 12
+    root = {p: p for x in pieces for p in x}
+    for _ in root:
+        for a, b in pieces:
+            root[a] = root[b] = min(root[a], root[b])
+    per = [sum(root[a] == r for a, _ in pieces) for r in set(root.values())]
+    assert tuple(QUERIES["g9_graph_verdict"](spark, str(tmp_path)).first()) == (len(per), len(pieces), max(per))
