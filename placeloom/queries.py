@@ -12,7 +12,7 @@ from .functions import geo, hours, prose, serialize, text
 from .functions.licenses import bundleable, bundleable_sql, canonical, canonical_sql, trust_sql
 from .operators import feasibility, merge, network, quarantine, resolve, spatial
 from .plans import curate, lifecycle
-from .runtime import shared_dir
+from .runtime import shared_dir, staged
 from .sources import scans, wikitext
 from .streaming import ledger
 from .views import oracle, view
@@ -562,6 +562,19 @@ def o2_rank_by_list(v):
     return few.select("place_id", F.row_number().over(W.orderBy(F.coalesce(at, F.col("place_id") + 5))).cast("long").alias("rank"))
 
 
+@query()
+def o2_rank_by_list_whole(v):
+    asked = F.array(*(F.lit(k).cast("long") for k in (40, 2, 30, 4)))
+    at = F.nullif(F.array_position(asked, F.col("place_id")), F.lit(0).cast("long"))
+    keyed = v("places").select("place_id", F.coalesce(at, F.col("place_id") + 5).alias("key"))
+    # Ranks within ranges, and the rows of the ranges before.
+    ranged = staged(keyed.repartitionByRange("key").withColumn("part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))  # a row per range
+    within = ranged.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy("key")))
+    return within.join(F.broadcast(offsets), "part").select("place_id", (F.col("r") + F.col("before")).cast("long").alias("rank"))
+
+
 @query("select plan_id, place_id, r from (select plan_id, place_id, row_number() over (partition by plan_id order by first_order) as r from (select plan_id, place_id, min(stop_order) as first_order from {stop} group by all) q) w where r <= 3")
 def o3_cap_stops(v):
     once = v("stop").groupBy("plan_id", "place_id").agg(F.min("stop_order").alias("first_order"))
@@ -1023,12 +1036,22 @@ def t16_wrapped(v):
 
 @query("select case when mod(place_id, 2) = 0 then 'node/' else 'way/' end || place_id as id, lon, lat, name from {places} where place_id < 500")
 def s6_element_feed(v):
-    p = v("places").where("place_id < 500")
+    return _fed(v("places").where("place_id < 500"))
+
+
+@query()
+def s6_element_feed_whole(v):
+    return _fed(v("places"))
+
+
+def _fed(p, size=20_000):
+    """The places written as a feed, a document per ``size`` ids, and read again."""
     centre = F.struct(F.col("lat"), F.col("lon"))
     node = F.col("place_id") % 2 == 0
     element = F.struct(F.when(node, "node").otherwise("way").alias("type"), F.col("place_id").alias("id"), F.when(node, F.col("lat")).alias("lat"), F.when(node, F.col("lon")).alias("lon"), F.when(~node, centre).alias("center"), F.create_map(F.lit("name"), F.col("name")).alias("tags"))
     folder = shared_dir(p.sparkSession)
-    p.select(element.alias("e")).groupBy().agg(F.collect_list("e").alias("elements")).coalesce(1).write.json(folder)  # one answer of a feed is one document
+    documents = p.select(F.floor(F.col("place_id") / size).alias("document"), element.alias("e")).groupBy("document").agg(F.collect_list("e").alias("elements"))
+    documents.write.partitionBy("document").json(folder)  # a file per document
     return scans.element_feed(p.sparkSession, folder).select("id", "lon", "lat", F.element_at("tags", "name").alias("name"))
 
 
@@ -1040,7 +1063,16 @@ def s13_country_polygons(v):
 
 @query("select site_id, coalesce(min_by(license, src * 1000 + value) filter (field = 'N'), min_by(license, src * 1000 + value)) as license from {observation} where site_id < 100 group by site_id having count(distinct src * 1000 + value) = count(*)")
 def p2b_first_record_level(v):
-    o = v("observation").where("site_id < 100").withColumn("at", F.col("src") * 1000 + F.col("value"))
+    return _first_records(v("observation").where("site_id < 100"))
+
+
+@query()
+def p2b_first_record_level_whole(v):
+    return _first_records(v("observation"))
+
+
+def _first_records(observation):
+    o = observation.withColumn("at", F.col("src") * 1000 + F.col("value"))
     record = F.min_by(F.when(F.col("field") == "N", F.col("license")), F.when(F.col("field") == "N", F.col("at")))
     return o.groupBy("site_id").agg(record.alias("r"), F.min_by("license", "at").alias("s"), F.countDistinct("at").alias("d"), F.count("*").alias("n")).where("d = n").select("site_id", F.coalesce("r", "s").alias("license"))
 

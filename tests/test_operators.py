@@ -373,3 +373,33 @@ def test_segments_come_from_all_places(spark, tmp_path):
             root[a] = root[b] = min(root[a], root[b])
     per = [sum(root[a] == r for a, _ in pieces) for r in set(root.values())]
     assert tuple(QUERIES["g9_graph_verdict"](spark, str(tmp_path)).first()) == (len(per), len(pieces), max(per))
+
+
+def test_whole_feeds_ranks_and_records(spark):
+    from placeloom.queries import QUERIES
+    from placeloom.views import view
+
+    sf = "/root/testdata/sf0.01"  # ids on both sides of the old bounds
+    places = {r.place_id: r for r in view(spark, sf, "places").collect()}
+    assert max(places) > 500
+    fed = {r.id: (r.lon, r.lat, r.name) for r in QUERIES["s6_element_feed_whole"](spark, sf).collect()}
+    assert fed == {("way/" if i % 2 else "node/") + str(i): (p.lon, p.lat, p.name) for i, p in places.items()}
+    asked = [40, 2, 30, 4]
+    order = sorted(places, key=lambda i: asked.index(i) + 1 if i in asked else i + 5)
+    got = QUERIES["o2_rank_by_list_whole"](spark, sf).collect()
+    assert {r["rank"]: r.place_id for r in got} == dict(enumerate(order, 1)) and len(got) == len(order)
+    sites = {}
+    for r in view(spark, sf, "observation").collect():
+        sites.setdefault(r.site_id, []).append((r.src * 1000 + r.value, r.field, r.license))
+    want = {}
+    for site, rows in sites.items():
+        if len({a for a, _, _ in rows}) == len(rows):
+            want[site] = (min((x for x in rows if x[1] == "N"), default=None) or min(rows))[2]
+    assert max(want) >= 100 and {r.site_id: r.license for r in QUERIES["p2b_first_record_level_whole"](spark, sf).collect()} == want
+
+
+def test_feed_of_many_documents(spark):
+    from placeloom.queries import _fed
+
+    places = spark.createDataFrame([(i, f"n{i}", 1.0 * i, 2.0) for i in range(25)], "place_id long, name string, lon double, lat double")
+    assert sorted((r.name, r.lon) for r in _fed(places, 10).collect()) == sorted((f"n{i}", 1.0 * i) for i in range(25))
