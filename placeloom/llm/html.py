@@ -3,7 +3,8 @@
 Tags build a tree of containers; text between block boundaries is a block.  A block (headings apart) gives
 points for its length and commas, discounted by its share of link text, to its container, and half, a third,
 ... of them to the containers above.  The best container, its own link density held against it, is kept whole
-with those siblings that score high enough by themselves or read like prose.  Menus, headers and footers of the
+with those siblings that score high enough by themselves.  Of the article or main around them, else of their
+parent, all that is not mostly links is kept too, headings and short blocks included.  Menus, headers and footers of the
 page, sidebars, notices, adverts, forms, scripts, styles and comments never count, by tag, role, class or id.
 
 Null and empty html give an empty text; unclosed and stray tags are closed or ignored; a page whose blocks all
@@ -25,6 +26,7 @@ DROPPED = frozenset("nav footer aside form button select option label fieldset m
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("html body main article section div header blockquote ul ol dl li dd td th tr table tbody thead tfoot figure figcaption details center address hgroup search".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre dt hr caption summary".split())
+PARTS = frozenset("blockquote ul ol dl li dd figure figcaption details hgroup header".split())
 OPTIONAL = frozenset("p li dt dd td th tr option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|comments?|disqus|sidebar|side|menu|nav\w*|breadcrumbs?|footer|masthead|header|share|sharing|social|related|recommend\w*|popup|modal|overlay|newsletter|subscribe|signup|login|notice|alert|widget|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
@@ -149,6 +151,7 @@ def extract(html: str | None) -> str:
         return ""
     n = len(page.parent)
     score, chars, linked = [0.0] * n, [0] * n, [0.0] * n
+    prose, prose_links = [0] * n, [0.0] * n  # without headings
     for node, text, share, heading in page.blocks:
         points = 0 if heading else (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - share)
         level = 1
@@ -156,6 +159,9 @@ def extract(html: str | None) -> str:
             score[node] += points / level
             chars[node] += len(text)
             linked[node] += share * len(text)
+            if not heading:
+                prose[node] += len(text)
+                prose_links[node] += share * len(text)
             node, level = page.parent[node], level + 1
     final = [s * (1 - (k / c if c else 0)) for s, c, k in zip(score, chars, linked)]
     best = max(range(n), key=lambda i: (final[i], -i))
@@ -163,13 +169,25 @@ def extract(html: str | None) -> str:
     for i in range(1, n):
         if i != best and page.parent[i] == page.parent[best] and final[i] >= max(10.0, 0.2 * final[best]):
             kept.add(i)
+    # The whole that holds them: the article or main around, else their parent; a list or quotation is a part of what is around it.
+    top = page.parent[best] if len(kept) > 1 else best
+    around = top
+    while around >= 0 and page.tags[around] not in ("article", "main"):
+        around = page.parent[around]
+    if around >= 0:
+        top = around
+    else:
+        while page.tags[top] in PARTS:
+            top = page.parent[top]
     out = []
     for node, text, share, heading in page.blocks:
-        at = node
-        while at >= 0 and at not in kept:
+        inside, plain, at = False, heading or share < 0.5, node
+        while at >= 0 and at != top:
+            inside |= at in kept
+            plain &= prose_links[at] < 0.5 * max(1, prose[at])
             at = page.parent[at]
-        # Beside the best container, prose of their common parent.
-        if at >= 0 or (node == page.parent[best] and not heading and len(text) > 80 and share < 0.25):
+        # Beside the best container, all of the whole but menus; and prose of their common parent.
+        if inside or top in kept and at == top or at == top and plain or (node == page.parent[best] and not heading and len(text) > 80 and share < 0.25):
             out.append(text)
     return "\n".join(out)
 

@@ -378,6 +378,17 @@ def test_html():
     assert html.extract(long).count("\n") >= 4999
 
 
+def test_html_keeps_all_of_a_nested_article():
+    long = "Some words, and more words, of the text that is long enough to count, as it goes on. "
+    wide = lambda inner: f"<body><div><p><a href=x>Home</a> <a href=y>News</a></p></div>{inner}<div><p><a href=z>All rights</a></p></div></body>"
+    many = "".join(f"<p>{i} {long * 3}</p>" for i in range(20))
+    lines = [f"{i} {(long * 3).strip()}" for i in range(20)]
+    assert html.extract(wide(f"<article><h1>T</h1><p>short lead</p><div class=body>{many}</div></article>")) == "\n".join(["T", "short lead", *lines])
+    assert html.extract(wide(f"<article><h1><a href=s>T</a></h1><section>{many}</section><section><h2>B</h2><p>brief</p></section><div><h3>More</h3><p><a href=q>other pages</a></p></div></article>")) == "\n".join(["T", *lines, "B", "brief"])
+    assert html.extract(wide(f"<article><h1>T</h1><p>lead</p><blockquote>{many}</blockquote><p>end</p></article>")) == "\n".join(["T", "lead", *lines, "end"])
+    assert html.extract(wide(f"<div><h1>T</h1><p>lead</p><blockquote>{many}</blockquote><p>end</p></div>")) == "\n".join(["T", "lead", *lines, "end"])
+
+
 def test_url_filters(spark):
     rows = [(1, "http://A.org/x", None), (2, "https://m.Example.org/es/1", ""), (3, "https://example.org/en/12?q#f", None), (4, "http://x.com/fr/", None), (5, "http://x.com/de", None), (6, "http://x.com/de/#a", None), (7, None, None), (8, "no-scheme/de/", None), (9, "http://y.net", None), (9, "http://y.net", None)]
     rows += [(20, "http://alias.net/a", '<link rel="canonical" href="https://x.com/de/1">'), (21, "http://other.net/b", "<meta http-equiv=refresh content='0; url=http://alias.net/a'>"), (22, "http://both.net/c", '<LINK href="http://alias2.net/q" rel=canonical>'), (23, "http://alias2.net/q", '<link rel=canonical href="http://example.org/es/9">'), (24, "http://third.net/z", '<link rel=canonical href="http://alias2.net/q">'), (25, "http://alias2.net/q2", '<link rel=canonical href="//good.org/1">'), (26, "http://r.com/de/s", '<link rel=canonical href="/en/s">'), (27, "http://r.com/en/s", None)]
