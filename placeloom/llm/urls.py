@@ -46,14 +46,26 @@ def decide(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.array(*fits)) if fits else F.expr("cast(null as struct<length:int,rule:string,action:string>)")
 
 
-def _absolute(target: Column, url: Column) -> Column:
-    """A link's url, if absolute, from the host's root, or without a scheme; else null."""
-    scheme = F.regexp_extract(url, "^([^:/?#]*)://", 1)
+def _absolute(target: Column, base: Column) -> Column:
+    """A link's url, resolved against ``base``; null if that has no ``://``, or for a scheme without ``//``."""
+    scheme = F.regexp_extract(base, "^([^:/?#]*)://", 1)
     target = F.trim(target)
+    rest = F.regexp_replace(rest_of(base), "#.*$", "")
+    root = F.concat(scheme, F.lit("://"), F.regexp_extract(rest, "^([^/?#]*)", 1))
+    path = path_of(rest)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    own, query = F.regexp_extract(target, "^([^?#]*)", 1), F.regexp_extract(target, "^[^?#]*(.*)$", 1)
+    full = F.when(target.startswith("/"), own).otherwise(F.concat(folder, own))
+    # Segments without . and ..; the last of these leaves a slash.
+    parts = F.split(F.regexp_replace(full, "^/", ""), "/", -1)
+    up = F.aggregate(parts, F.expr("cast(array() as array<string>)"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    clean = F.concat(F.lit("/"), F.array_join(up, "/"), F.when(full.rlike("(^|/)\\.\\.?$") & (F.size(up) > 0), F.lit("/")).otherwise(F.lit("")))
     return (
         F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | ~base.contains("://"), F.lit(None).cast("string"))
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("://"), F.regexp_extract(rest_of(url), "^([^/?#]*)", 1), target))
+        .when(own == "", F.concat(root, path, F.when(query.startswith("?"), query).otherwise(F.concat(F.regexp_extract(rest, "^[^?]*(.*)$", 1), query))))
+        .otherwise(F.concat(root, clean, query))
     )
 
 
@@ -64,15 +76,18 @@ def _node(url: Column) -> Column:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(u, v): a page's node and that of its canonical link or redirect target."""
+    """(u, v): a page's node and those of its canonical links and redirect targets."""
     html = F.coalesce("html", F.lit(""))
     attr = lambda tag, name: F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", 0)
     value = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?is)^\s*[a-z-]+\s*=\s*", ""), "^[\"']|[\"']$", "")
-    canonical = F.regexp_extract(html, r"(?is)<link\b[^>]*\srel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    refresh = F.regexp_extract(html, r"(?is)<meta\b[^>]*\shttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    to = F.regexp_replace(F.regexp_extract(value(attr(refresh, "content")), r"(?is)url\s*=\s*(.*)", 1), "^[\"']|[\"']$", "")
-    links = pages.select("url", F.explode(F.array(value(attr(canonical, "href")), to)).alias("target")).where("target <> ''")
-    return links.select(_node(F.col("url")).alias("u"), _node(_absolute(F.regexp_replace("target", "&amp;", "&"), F.col("url"))).alias("v")).where("u <> '' and v <> ''").distinct()
+    tags = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+    canonical = F.transform(tags(r"(?is)<link\b[^>]*\srel\s*=\s*[\"']?canonical\b[^>]*>"), lambda t: value(attr(t, "href")))
+    refresh = F.transform(tags(r"(?is)<meta\b[^>]*\shttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), lambda t: F.regexp_replace(F.regexp_extract(value(attr(t, "content")), r"(?is)url\s*=\s*(.*)", 1), "^[\"']|[\"']$", ""))
+    amp = lambda x: F.regexp_replace(x, "&amp;", "&")
+    base = amp(value(attr(F.regexp_extract(html, r"(?is)<base\b[^>]*\shref\s*=[^>]*>", 0), "href")))
+    links = pages.select("url", base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("target")).where("target <> ''")
+    links = links.withColumn("base", F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(_absolute(F.col("base"), F.col("url")), F.col("url"))))
+    return links.select(_node(F.col("url")).alias("u"), _node(_absolute(amp("target"), F.col("base"))).alias("v")).where("u <> '' and v <> ''").distinct()
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -389,6 +389,18 @@ def test_html_keeps_all_of_a_nested_article():
     assert html.extract(wide(f"<div><h1>T</h1><p>lead</p><blockquote>{many}</blockquote><p>end</p></div>")) == "\n".join(["T", "lead", *lines, "end"])
 
 
+def test_url_links_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    page = "http://h.net/a/b/c.html?q=1"
+    targets = ["page2.html", "?id=3", "../x", "./y", "../../../z", "..", "d/./e/../f?g=../h", "/r/../s", "//o.net/p", "https://k.net/l", "t#u"]
+    rows = [(page, f'<link rel=canonical href="{t}">') for t in targets] + [(page, f"<base href='/base/'><meta http-equiv=refresh content='0; url={t}'>") for t in targets]
+    rows += [("http://m.net", '<link rel=canonical href="one"><link rel=canonical href="two"><meta http-equiv=refresh content="0;url=three"><meta http-equiv=refresh content="0;url=four">'), ("http://n.net/x", '<link rel=canonical href="mailto:a@b.c">')]
+    strip = lambda u: u.split("://")[1].split("#")[0]
+    want = {(strip(page), strip(urljoin(b, t))) for b in (page, "http://h.net/base/") for t in targets} | {("m.net", f"m.net/{x}") for x in ("one", "two", "three", "four")}
+    assert {tuple(r) for r in urls.link_edges(spark.createDataFrame(rows, "url string, html string")).collect()} == want
+
+
 def test_url_filters(spark):
     rows = [(1, "http://A.org/x", None), (2, "https://m.Example.org/es/1", ""), (3, "https://example.org/en/12?q#f", None), (4, "http://x.com/fr/", None), (5, "http://x.com/de", None), (6, "http://x.com/de/#a", None), (7, None, None), (8, "no-scheme/de/", None), (9, "http://y.net", None), (9, "http://y.net", None)]
     rows += [(20, "http://alias.net/a", '<link rel="canonical" href="https://x.com/de/1">'), (21, "http://other.net/b", "<meta http-equiv=refresh content='0; url=http://alias.net/a'>"), (22, "http://both.net/c", '<LINK href="http://alias2.net/q" rel=canonical>'), (23, "http://alias2.net/q", '<link rel=canonical href="http://example.org/es/9">'), (24, "http://third.net/z", '<link rel=canonical href="http://alias2.net/q">'), (25, "http://alias2.net/q2", '<link rel=canonical href="//good.org/1">'), (26, "http://r.com/de/s", '<link rel=canonical href="/en/s">'), (27, "http://r.com/en/s", None)]
