@@ -4,38 +4,60 @@ A text's set is its shingles of ``SHINGLE`` words (words between white space, un
 but not none, has all its words as one shingle.  Equal sets are one class representative.  Each run starts one
 node for all sets; a node chooses ``BRANCHES`` coordinates of the sets' MinHash sketches by its own number and
 splits its sets by the token sampled there.  Nodes of at most ``LEAF`` sets are brute-forced, larger ones split
-on, up to ``DEPTH`` times (near copies never part, so what is still large then is brute-forced in tiles).  A
-pair of similarity s lives through one split with 1 - (1 - s q)**BRANCHES, so ``runs_for`` repeats the runs
-until the target recall.  A pair belongs to the least leaf that holds both, so it is counted once.  Sketches
-drop pairs that are five standard deviations off; the rest are verified on the sets.
+on, up to ``DEPTH`` times; near copies would never part, so a large node first looks for a dense group: sets
+around a centre are linked there exactly, from their differences (``centres``), and those near it leave the node.
+What is still large after the last split is brute-forced in tiles.  A pair of similarity s lives through one split
+with 1 - (1 - s q)**BRANCHES, so ``runs_for`` repeats the runs until the target recall.  A pair belongs to its
+least common centre, else to the least leaf that holds both, so it is counted once.  Sketches drop pairs that are
+five standard deviations off; the rest are verified on the sets.
 
 Only members and a spanning forest leave a tile, never its pairs.  Null and empty texts have no set: each is a
-class of its own without links.  Equal texts and repeated rows are links of each other.  Words are told apart by
-64-bit hashes.
+class of its own without links.  Equal texts and repeated rows are links of each other; a null doc_id comes after
+all others in a class.  A text of any length is one set, held whole by one task.  An empty table gives an empty
+result; extra columns are ignored, whatever their names.  Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import AS_IS, SPACED, gram_hashes, mix, prefix_hashes, range_hashes, release, split_words, text_chunks, within_rows
-from .common import components, n_buckets, staged
+from .centres import gather, group_links
+from .common import components, n_buckets, small_batches, staged
 
 SHINGLE, LEAF, DEPTH, BRANCHES, COORDINATES = 5, 256, 3, 2, 64
+_NO_CENTRE = np.uint64(2**64 - 1)
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
+def _least_agreement(s: float) -> float:
+    """Coordinates in which the sketches of a pair of the similarity agree, five standard deviations off at most."""
+    return COORDINATES * (s - 5 * math.sqrt(s * (1 - s) / COORDINATES))
+
+
 def runs_for(similarity: float, recall: float) -> int:
-    """Runs after which a pair of the similarity has met in a leaf with at least the recall, at full depth."""
-    alive = 1.0
+    """Runs after which a pair of the similarity has met in a leaf with at least the recall, at full depth.
+
+    All runs read the same sketches, so what they miss is averaged over the numbers of coordinates in which the
+    two may agree; pairs that agree too seldom for the sketches' filter count as missed.
+    """
+    agree = np.arange(COORDINATES + 1)
+    chance = np.array([math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in agree.tolist()])
+    passes = agree >= _least_agreement(similarity)
+    alive = np.ones(len(agree))
     for _ in range(DEPTH + 1):
-        alive = 1 - (1 - similarity * alive) ** BRANCHES
-    runs, missed = 1, 1 - alive
-    while missed > 1 - recall:
-        runs, missed = runs + 1, missed * (1 - alive)
+        alive = 1 - (1 - agree / COORDINATES * alive) ** BRANCHES
+    dropped = float(chance[~passes].sum())
+    if dropped >= 1 - recall:
+        raise ValueError("the sketches are too short for this recall")
+    runs = 1
+    while dropped + float((chance * (1 - alive) ** runs)[passes].sum()) > 1 - recall:
+        runs += 1
     return runs
 
 
@@ -58,6 +80,12 @@ def shingle_sets(buf, offsets, n: int):
     return rows[new], grams[new]
 
 
+def sketch_of(grams: np.ndarray) -> tuple[int, np.ndarray]:
+    """(number, sketch) of one set."""
+    number = mix(grams + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+    return int(number.view(np.int64)), np.array([(grams * a).min() >> np.uint64(32) for a in _FACTORS], np.uint32)
+
+
 def _sketches(n: int):
     def run(batches):
         for batch in batches:
@@ -109,21 +137,38 @@ def _split(runs: int = 0):
     return run
 
 
-def leaves(reps: DataFrame, runs: int) -> DataFrame:
-    """(sid, leaf, members) of leaves with two members or more."""
+def _sized(nodes: DataFrame) -> DataFrame:
+    """(sid, node, members) of nodes with two members or more."""
+    sizes = staged(nodes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1"))  # apart, so that the join can split a large node
+    return staged(nodes.join(sizes, "node").select("sid", "node", "members"))
+
+
+def leaves(reps: DataFrame, sets_of, runs: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
+    """((sid, leaf, members) of leaves with two members or more, members of dense groups or None)."""
     nodes = staged(reps.select("sid", F.lit(0).cast("long").alias("node"), "sketch").mapInArrow(_split(runs), "sid long, node long"))
-    found = None
+    found, groups = [], []
     for depth in range(DEPTH + 1):
-        sizes = staged(nodes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1"))  # apart, so that the join below can split a large node
-        now = staged(nodes.join(sizes, "node").select("sid", F.col("node").alias("leaf"), "members"))
-        last = depth == DEPTH
-        small = now if last else now.where(F.col("members") <= LEAF)
-        found = small if found is None else found.unionByName(small)
+        now = _sized(nodes)
+        found.append(now.where(F.col("members") <= LEAF))
         big = now.where(F.col("members") > LEAF)
-        if last or not big.limit(1).count():
+        if not big.limit(1).count():
             break
-        nodes = staged(big.join(reps.select("sid", "sketch"), "sid").select("sid", F.col("leaf").alias("node"), "sketch").mapInArrow(_split(), "sid long, node long"))
-    return found
+        wide = staged(big.join(reps.select("sid", "sketch"), "sid").select("sid", "node", "members", "sketch"))
+        members, leave = gather(wide, sets_of, sketch_of, COORDINATES, num, den)
+        groups.append(members)
+        rest = _sized(big.join(leave, ["sid", "node"], "left_anti").select("sid", "node"))
+        found.append(rest if depth == DEPTH else rest.where(F.col("members") <= LEAF))
+        big = rest.where(F.col("members") > LEAF)
+        if depth == DEPTH or not big.limit(1).count():
+            break
+        nodes = staged(big.join(reps.select("sid", "sketch"), "sid").select("sid", "node", "sketch").mapInArrow(_split(), "sid long, node long"))
+    united = found[0]
+    for part in found[1:]:
+        united = united.unionByName(part)
+    every = None
+    for part in groups:
+        every = part if every is None else every.unionByName(part)
+    return united.withColumnRenamed("node", "leaf"), every
 
 
 def _tile_pairs(t: dict, s_num: int, s_den: int):
@@ -148,34 +193,39 @@ def _tile_pairs(t: dict, s_num: int, s_den: int):
             go &= s_den * np.minimum(x, y) >= s_num * np.maximum(x, y)
             i, j = i[go], j[go]
             if len(i):
-                same = (t["sketch"][i] == t["sketch"][j]).sum(axis=1)
-                s = s_num / s_den
-                go = same >= COORDINATES * (s - 5 * np.sqrt(s * (1 - s) / COORDINATES))
+                go = (t["sketch"][i] == t["sketch"][j]).sum(axis=1) >= _least_agreement(s_num / s_den)
                 i, j = i[go], j[go]
             for p in range(0, len(i), 4096):
                 x, y = i[p : p + 4096], j[p : p + 4096]
                 u, v = t["leaves"][x], t["leaves"][y]
                 shared = np.where((u[:, :, None] == v[:, None, :]).any(axis=2), u, np.uint64(2**64 - 1)).min(axis=1)
                 own = shared == t["leaf"][x]
+                if t["centres"].shape[1]:
+                    u, v = t["centres"][x], t["centres"][y]
+                    own &= ~((u[:, :, None] == v[:, None, :]) & (u[:, :, None] != _NO_CENTRE)).any(axis=(1, 2))
                 if own.any():
                     yield x[own], y[own]
 
 
+def _wide(column: pa.ChunkedArray, fill) -> np.ndarray:
+    """The rows' lists as a matrix, filled up."""
+    lists = column.combine_chunks()
+    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    flat, size = flat[offsets[0] : offsets[-1]], np.diff(offsets)
+    wide = np.full((len(size), int(size.max(initial=0))), fill)
+    wide[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+    return wide
+
+
 def _read(table: pa.Table) -> dict:
     t = {c: table.column(c).to_numpy() for c in ("sid", "tile", "block", "low", "high", "size")}
     t["leaf"] = table.column("leaf").to_numpy().view(np.uint64)
     t["sketch"] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-    lists = table.column("leaves").combine_chunks()
-    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-    flat = flat[offsets[0] : offsets[-1]]
-    size = np.diff(offsets)
-    wide = np.full((len(size), int(size.max())), np.uint64(2**64 - 1))
-    wide[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
-    t["leaves"] = wide
+    t["leaves"], t["centres"] = _wide(table.column("leaves"), np.uint64(2**64 - 1)), _wide(table.column("centres"), _NO_CENTRE)
     return t
 
 
-_ROW = "bucket int, sid long, leaf long, tile long, block long, low long, high long, size long, mult long, sketch binary, leaves array<long>"
+_ROW = "bucket int, sid long, leaf long, tile long, block long, low long, high long, size long, mult long, sketch binary, leaves array<long>, centres array<long>"
 
 
 def _needed(s_num: int, s_den: int):
@@ -187,7 +237,9 @@ def _needed(s_num: int, s_den: int):
         for i, j in _tile_pairs(t, s_num, s_den):
             keep[i] = keep[j] = True
         kept = table.select([c.split()[0] for c in _ROW.split(", ")]).filter(pa.array(keep))
-        return kept.set_column(kept.num_columns - 1, "leaves", kept.column("leaves").cast(pa.list_(pa.int64())))
+        for name in ("leaves", "centres"):
+            kept = kept.set_column(kept.column_names.index(name), name, kept.column(name).cast(pa.list_(pa.int64())))
+        return kept
 
     return run
 
@@ -218,10 +270,13 @@ def _shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _link(s_num: int, s_den: int):
     """(sid, links, root): verified links of the bucket's tiles, and a spanning forest of them."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, given: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("sid", "links", "root")})
         t = _read(table)
         mult = table.column("mult").to_numpy()
-        sets = [np.frombuffer(b, np.uint64) for b in table.column("set").to_pylist()]
+        held = dict(zip(given.column("own").to_pylist(), (np.frombuffer(b, np.uint64) for b in given.column("set").to_pylist())))
+        sets = [held[x] for x in t["sid"].tolist()]
         links = np.zeros(table.num_rows, np.int64)
         parent: dict[int, int] = {}
 
@@ -265,26 +320,41 @@ def _sets(n: int):
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shingle: int = SHINGLE, recall: float = 0.9999) -> DataFrame:
     """Per row: doc_id, row_key, class_id (the class's least doc_id) and n_links (rows at least that similar)."""
     num, den = similarity
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
     sketched = staged(rows.mapInArrow(_sketches(shingle), "doc_id long, row_key long, sid long, size long, sketch binary"))
     equal = sketched.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("rep"), F.count("*").alias("mult"), F.max("size").alias("size"))
     # Equal sets have equal sketches: that of one row goes on.
     one = sketched.select("sid", "sketch", F.col("row_key").alias("rep"))
     reps = staged(equal.join(one.dropDuplicates(["sid", "rep"]), ["sid", "rep"]))
-    found = staged(leaves(reps, runs_for(num / den, recall)))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(sid, set) of the given sids, once each."""
+        keyed = wanted.join(reps.select("sid", "rep"), "sid")
+        texts = rows.select(F.col("row_key").alias("rep"), "text").join(keyed, "rep").select("sid", "text").dropDuplicates(["sid"])
+        return texts.mapInArrow(_sets(shingle), "sid long, set binary")
+
+    found, members = leaves(reps, sets_of, runs_for(num / den, recall), num, den)
+    found = staged(found)
     lists = found.groupBy("sid").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))
-    members = found.join(lists, "sid").join(reps.select("sid", "rep", "size", "mult", "sketch"), "sid")
+    rows_of = found.join(lists, "sid").join(reps.select("sid", "rep", "size", "mult", "sketch"), "sid")
+    none = F.expr("cast(array() as array<bigint>)")
+    if members is None:
+        grouped, rows_of = None, rows_of.withColumn("centres", none)
+    else:
+        grouped, centres = group_links(members, reps, num, den)
+        rows_of = rows_of.join(centres, "sid", "left").withColumn("centres", F.coalesce("centres", none))
     blocks = F.ceil(F.col("members") / LEAF)
-    tiled = members.withColumn("block", F.pmod(F.xxhash64("sid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    tiled = rows_of.withColumn("block", F.pmod(F.xxhash64("sid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     tiled = tiled.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).withColumn("tile", F.xxhash64("leaf", "low", "high"))
     n = n_buckets(found.select(F.lit(2000).alias("weight")), "weight")
     tiled = tiled.withColumn("bucket", F.pmod("tile", F.lit(n)).cast("int"))
     columns = [c.split()[0] for c in _ROW.split(", ")]
     needed = staged(tiled.select(*columns).groupBy("bucket").applyInArrow(_needed(num, den), _ROW))
-    wanted = needed.select("sid").distinct().join(reps.select("sid", "rep"), "sid")
-    texts = rows.select(F.col("row_key").alias("rep"), "text").join(wanted, "rep").select("sid", "text").dropDuplicates(["sid"])
-    sets = texts.select("sid", "text").mapInArrow(_sets(shingle), "sid long, set binary")
-    linked = staged(needed.join(sets, "sid").select(*columns, "set").groupBy("bucket").applyInArrow(_link(num, den), "sid long, links long, root long"))
+    # Sets go once to each bucket that needs them.
+    sent = needed.select("bucket", "sid").distinct().join(sets_of(needed.select("sid").distinct()), "sid").select(F.col("bucket").alias("to"), F.col("sid").alias("own"), "set")
+    linked = staged(needed.groupBy("bucket").cogroup(sent.groupBy("to")).applyInArrow(_link(num, den), "sid long, links long, root long"))
+    linked = linked if grouped is None else linked.unionByName(grouped)
     classes = components(linked.select(F.col("sid").alias("u"), F.col("root").alias("v")))
     counts = linked.groupBy("sid").agg(F.sum("links").alias("links"))
     placed = reps.select("sid", "least", "mult").join(classes, reps.sid == classes.node, "left").select("sid", "least", "mult", F.coalesce("root", "sid").alias("root"))
@@ -297,11 +367,10 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shing
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` with the least doc_id of each class, one row a class (of equal ids, the least row key)."""
     judged = staged(near_duplicates(docs, **how))
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
     # Texts without words are classes of their own, row by row.
-    first = judged.where("n_links > 0").groupBy("class_id").agg(F.min(F.struct("doc_id", "row_key")).alias("w")).select(F.col("w.row_key").alias("_key"))
-    alone = judged.where("n_links = 0").select(F.col("row_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_row", key)
-    kept = keyed.join(first.union(alone).distinct(), F.col("_row") == F.col("_key"), "left_semi")
+    first = judged.where("n_links > 0").groupBy("class_id").agg(F.min(F.struct("doc_id", "row_key")).alias("w")).select("w.row_key")
+    alone = judged.where("n_links = 0").select("row_key").distinct()
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("row_key"))
+    kept = keyed.join(first.union(alone).distinct(), "row_key", "left_semi")
     again = judged.where("n_links > 0").groupBy("row_key").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["_row"]) if again else kept).drop("_row")
+    return (kept.dropDuplicates(["row_key"]) if again else kept).select("row.*")

@@ -9,17 +9,34 @@ from pyspark.sql import functions as F
 
 from ..runtime import components, shared_dir, staged
 
-__all__ = ["TASK_BYTES", "components", "n_buckets", "shared_dir", "staged", "table"]
+__all__ = ["BATCH_BYTES", "TASK_BYTES", "components", "give_back", "n_buckets", "shared_dir", "small_batches", "staged", "table"]
 
 #: Bytes of text that one Python task is meant to hold.
 TASK_BYTES = 16 << 20
+#: Bytes of one Arrow batch between an executor's JVM and Python.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def n_buckets(df: DataFrame, size: str) -> int:
-    """Buckets of about ``TASK_BYTES`` each, and no fewer than the session's shuffle partitions."""
+def n_buckets(df: DataFrame, size: str, most: int = TASK_BYTES) -> int:
+    """Buckets of about ``most`` bytes each, and no fewer than the session's shuffle partitions."""
     total = df.agg(F.sum(size)).first()[0] or 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_BYTES))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / most))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES``: both the executor's JVM and its Python workers hold whole batches."""
+    now = spark.conf.get(_BATCH)
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def give_back(spark: SparkSession) -> None:
+    """Lets the driver drop what it no longer refers to; executors then delete the shuffle files of staged results."""
+    spark.sql("select 1").collect()  # the bus refers to the last plan it told of; this one holds nothing
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    spark.sparkContext._jvm.System.gc()
