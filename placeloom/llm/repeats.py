@@ -9,6 +9,10 @@
    Burrows-Wheeler transform), which tells the classes of equal windows.  All but the first of a class repeat.
 4. Marked ranges go back to their texts.
 
+An anchor that one task meets more than ``LOCAL`` times in a chunk of text is known to be hot: from then on the
+task tells its holders' buckets at once, and sends the anchor's own bucket one entry only.  So that bucket gathers
+a few entries a task of an anchor that all texts hold, not one a text.
+
 "First" is by doc_id; of one row, by place, where repeats within a row count (bytes).  Rows of equal doc_id are not earlier than each other.  Null texts
 are empty; a null doc_id comes before all; equal rows are judged alike; an empty table gives an empty result.
 Anchors, words and rows are told apart by 64-bit hashes; windows by the items themselves.
@@ -19,21 +23,28 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import AS_IS, BYTE_VALUE, SPACED, gram_hashes, mix, release, sliding, split_words, text_chunks, within_rows
-from .common import n_buckets, staged
+from .arrays import AS_IS, BYTE_VALUE, SPACED, gram_hashes, mix, prefix_hashes, range_hashes, release, sliding, split_words, text_chunks, within_rows
+from .common import give_back, n_buckets, small_batches, staged
 
 #: Holders beyond which an anchor's windows are dealt singly.
 HOT = 512
+#: Holders in one chunk of text beyond which an anchor is known to be hot.
+LOCAL = 32
+#: Bytes of text that one bucket is meant to hold, and that are hashed at once (each takes some 80 bytes).
+BUCKET_BYTES, CHUNK = 8 << 20, 1 << 20
 _NULL = np.iinfo(np.int64).min
 SCHEMA = "kind int, bucket int, row_key long, doc_id long, n long, n_removed long, n_spans long, sha string, payload binary"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
 DONE, TEXT, STRETCHES, MARKS = range(4)
+#: Entries of anchors: for the anchor's bucket, for the holder's bucket as it is hot, and that it is hot.
+ONCE, TOLD, NEW = range(3)
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -129,6 +140,15 @@ def anchors(grams: np.ndarray, ok: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero((sliding(padded, w, np.maximum) == grams) & (sliding(np.concatenate((np.zeros(w - 1, bool), ok, np.zeros(w - 1, bool))), w, np.logical_or)))
 
 
+def parts_by(bucket: np.ndarray):
+    """(bucket, places of its entries) of the buckets that have any."""
+    order = np.argsort(bucket, kind="stable")
+    s = bucket[order]
+    heads = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
+    for a, z in zip(heads.tolist(), [*heads[1:].tolist(), len(s)]):
+        yield int(s[a]), order[a:z]
+
+
 def later(classes: np.ndarray, docs: np.ndarray, keys: np.ndarray, places: np.ndarray, inner: bool) -> np.ndarray:
     """Which occurrences have an earlier one in their class: in a smaller document, or (inner) before in the row."""
     order = np.lexsort((places, keys, docs, classes))
@@ -143,11 +163,35 @@ def later(classes: np.ndarray, docs: np.ndarray, keys: np.ndarray, places: np.nd
     return out
 
 
-def content_ids(items: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Equal ids for equal stretches of items."""
-    ids: dict[bytes, int] = {}
-    raw, w = items.tobytes(), items.itemsize
-    return np.fromiter((ids.setdefault(raw[a * w : (a + n) * w], len(ids)) for a, n in zip(starts.tolist(), sizes.tolist())), np.int64, len(starts))
+def places_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of stretches, one stretch after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def content_ids(items: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int = 1 << 19) -> np.ndarray:
+    """Equal ids for equal stretches of items: hashes propose them, the items decide."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    total, slabs, low = np.cumsum(sizes), [], 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + step, "right")))
+        slabs.append((low, high))
+        low = high
+    hashes = np.empty(len(starts), np.uint64)
+    for low, high in slabs:
+        size = sizes[low:high]
+        c = prefix_hashes(mix(items[places_of(starts[low:high], size)].astype(np.uint64) + np.uint64(1)))
+        ends = np.cumsum(size)
+        hashes[low:high] = range_hashes(c, ends - size, ends) ^ mix(size.astype(np.uint64))
+    ids, _ = pd.factorize(hashes)
+    heads = np.flatnonzero(np.diff(np.maximum.accumulate(ids), prepend=-1))[ids]
+    for low, high in slabs:
+        part = low + np.flatnonzero(heads[low:high] != np.arange(low, high))
+        if (sizes[part] != sizes[heads[part]]).any() or (items[places_of(starts[part], sizes[part])] != items[places_of(starts[heads[part]], sizes[part])]).any():
+            told: dict[bytes, int] = {}  # two contents of one hash
+            raw, w = items.tobytes(), items.itemsize
+            return np.fromiter((told.setdefault(raw[a * w : (a + n) * w], len(told)) for a, n in zip(starts.tolist(), sizes.tolist())), np.int64, len(starts))
+    return ids.astype(np.int64)
 
 
 class Repeats:
@@ -167,53 +211,54 @@ class Repeats:
         """(bucket of the row, blob of (row key, anchor hash, hot)) of anchors found more than once."""
 
         def send(batches):
+            hot = np.zeros(0, np.uint64)
             for batch in batches:
                 keys = batch.column(1).to_numpy(zero_copy_only=False)
-                packs: dict[int, list] = {}
-                for at, buf, offsets in text_chunks(batch.column(0), 4 << 20):
+                packs: dict[tuple[int, int], list] = {}
+                for at, buf, offsets in text_chunks(batch.column(0), CHUNK):
                     grams, ok, first, *_ = self._anchors(buf, offsets)
                     place = anchors(grams, ok, self.length - self.gram + 1) if ok.any() else np.zeros(0, np.int64)
-                    row = np.searchsorted(first, place, "right") - 1
-                    h = grams[place]
-                    bucket = (h >> np.uint64(32)) % np.uint64(n)
-                    order = np.argsort(bucket, kind="stable")
-                    cuts = np.searchsorted(bucket[order], np.arange(n + 1).astype(np.uint64))
-                    for b in range(n):
-                        mine = order[cuts[b] : cuts[b + 1]]
-                        if len(mine):
-                            packs.setdefault(b, []).append((h[mine], keys[at + row[mine]]))
+                    h, own = grams[place], keys[at + np.searchsorted(first, place, "right") - 1]
+                    values, count = np.unique(h, return_counts=True)
+                    new = np.setdiff1d(values[count > LOCAL], hot, assume_unique=True)
+                    hot = np.union1d(hot, new)
+                    known = np.isin(h, hot)
+                    for kind, some_h, some_keys, to in (
+                        (ONCE, h[~known], own[~known], (h[~known] >> np.uint64(32)) % np.uint64(n)),
+                        (TOLD, h[known], own[known], np.mod(own[known], n)),
+                        (NEW, new, np.zeros(len(new), np.int64), (new >> np.uint64(32)) % np.uint64(n)),
+                    ):
+                        for b, mine in parts_by(to):
+                            packs.setdefault((kind, b), []).append((some_h[mine], some_keys[mine]))
                 if packs:
                     blobs = [pack(*self._by_row(p)) for p in packs.values()]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(packs), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+                    kinds, buckets = zip(*packs)
+                    yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
             release()
 
         def find(table: pa.Table) -> pa.Table:
-            parts = []
-            for blob in values_of(table, "blob"):
+            parts: tuple[list, list, list] = ([], [], [])
+            for kind, blob in zip(table.column("kind").to_pylist(), values_of(table, "blob")):
                 h, keys, counts = unpack(blob, np.uint64, np.int64, np.uint32)
-                parts.append([h, np.repeat(keys, counts)])
-            h, keys = concat(parts, (np.uint64, np.int64))
+                parts[kind].append([h, np.repeat(keys, counts)])
+            h, keys = concat(parts[ONCE], (np.uint64, np.int64))
+            told = np.unique(concat(parts[NEW], (np.uint64, np.int64))[0])
             order = np.argsort(h)
             s = h[order]
             head = np.ones(len(s), bool)
             head[1:] = s[1:] != s[:-1]
             number = np.cumsum(head) - 1
             size = np.bincount(number) if len(s) else np.zeros(0, np.int64)
+            size = size + (HOT + 1) * np.isin(s[head], told)
             again = size[number] > 1
             order, size = order[again], size[number][again]
-            h, keys, hot = h[order], keys[order], (size > HOT).astype(np.uint8)
-            to = np.mod(keys, n)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(n + 1))
-            buckets, blobs = [], []
-            for b in range(n):
-                mine = order[cuts[b] : cuts[b + 1]]
-                if len(mine):
-                    buckets.append(b)
-                    blobs.append(pack(keys[mine], h[mine], hot[mine]))
-            return pa.table({"bucket": pa.array(buckets, pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-        sent = rows.select("text", "row_key").mapInArrow(send, "bucket int, blob binary")
+            direct_h, direct_keys = concat(parts[TOLD], (np.uint64, np.int64))
+            h, keys = np.concatenate((h[order], direct_h)), np.concatenate((keys[order], direct_keys))
+            hot = np.concatenate(((size > HOT).astype(np.uint8), np.ones(len(direct_h), np.uint8)))
+            found = [(b, pack(keys[mine], h[mine], hot[mine])) for b, mine in parts_by(np.mod(keys, n))]
+            return pa.table({"bucket": pa.array([b for b, _ in found], pa.int32()), "blob": pa.array([x for _, x in found], pa.binary())})
+
+        sent = rows.select("text", "row_key").mapInArrow(send, "bucket int, kind int, blob binary")
         return sent.groupBy("bucket").applyInArrow(find, "bucket int, blob binary")
 
     @staticmethod
@@ -267,14 +312,14 @@ class Repeats:
         known, hot = known[sort], hot[sort] > 0
         got: list[tuple] = []
         used = 0
-        for at, buf, offsets in text_chunks(texts):
+        for at, buf, offsets in text_chunks(texts, CHUNK):
             values, first, _, _, items = self.kind.items(buf, offsets)
             grams, ok = gram_hashes(values, self.gram), within_rows(len(values), first, L)
             window = np.flatnonzero(ok)
             if not len(window):
                 continue
             runs = np.lib.stride_tricks.sliding_window_view(grams, w)
-            least = np.concatenate([window[s : s + (1 << 15)] + runs[window[s : s + (1 << 15)]].argmin(axis=1) for s in range(0, len(window), 1 << 15)])
+            least = np.concatenate([window[s : s + (1 << 13)] + runs[window[s : s + (1 << 13)]].argmin(axis=1) for s in range(0, len(window), 1 << 13)])
             row = np.searchsorted(first, window, "right") - 1
             heads = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (row[1:] != row[:-1]))))
             size = np.diff(np.append(heads, len(window)))
@@ -301,22 +346,14 @@ class Repeats:
         drop = later(content_ids(pool, start, size + L - 1), docs, keys, place, self.kind.inner)
         out = self._marks(keys[drop], place[drop], size[drop], n)
         keep = np.flatnonzero(~drop)
-        bucket = (deal[keep] >> np.uint64(32)) % np.uint64(n)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(n + 1).astype(np.uint64))
-        for b in range(n):
-            mine = keep[order[cuts[b] : cuts[b + 1]]]
-            if len(mine):
-                long = size[mine] + L - 1
-                index = np.repeat(start[mine] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))
-                out.append((STRETCHES, b, None, None, None, None, None, None, pack(pool[index], long.astype(np.uint32), deal[mine], keys[mine], docs[mine], place[mine].astype(np.uint32))))
+        for b, part in parts_by((deal[keep] >> np.uint64(32)) % np.uint64(n)):
+            mine = keep[part]
+            long = size[mine] + L - 1
+            out.append((STRETCHES, b, None, None, None, None, None, None, pack(pool[places_of(start[mine], long)], long.astype(np.uint32), deal[mine], keys[mine], docs[mine], place[mine].astype(np.uint32))))
         return out
 
     def _marks(self, keys, place, windows, n):
-        to = np.mod(keys, n)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(n + 1))
-        return [(MARKS, b, None, None, None, None, None, None, pack(keys[m], place[m].astype(np.uint32), (place[m] + windows[m] + self.length - 1).astype(np.uint32))) for b in range(n) if len(m := order[cuts[b] : cuts[b + 1]])]
+        return [(MARKS, b, None, None, None, None, None, None, pack(keys[m], place[m].astype(np.uint32), (place[m] + windows[m] + self.length - 1).astype(np.uint32))) for b, m in parts_by(np.mod(keys, n))]
 
     # -- pass 3
     def settle(self, sent: DataFrame, n: int) -> DataFrame:
@@ -358,11 +395,16 @@ class Repeats:
     def results(self, docs: DataFrame, keep_text: bool = False) -> DataFrame:
         """Per row: doc_id, n, n_removed, n_spans, sha of what remains, and with keep_text ``payload``, its bytes."""
         kind = self.kind
+        small_batches(docs.sparkSession)
         rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-        n = n_buckets(rows.select(F.octet_length("text").alias("size")), "size")
+        n = n_buckets(rows.select(F.octet_length("text").alias("size")), "size", BUCKET_BYTES)
         rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("bucket", F.pmod("row_key", F.lit(n)).cast("int"))
-        sent = staged(self.stretches(rows, self.repeated_anchors(rows, n), n, keep_text))
-        marks = sent.where(F.col("kind") == MARKS).unionByName(self.settle(sent, n)).select(F.col("bucket").alias("to"), F.col("payload").alias("marks"))
+        repeated = staged(self.repeated_anchors(rows, n))
+        give_back(docs.sparkSession)
+        sent = staged(self.stretches(rows, repeated, n, keep_text))
+        give_back(docs.sparkSession)
+        marks = staged(sent.where(F.col("kind") == MARKS).unionByName(self.settle(sent, n)).select(F.col("bucket").alias("to"), F.col("payload").alias("marks")))
+        give_back(docs.sparkSession)
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows:

@@ -1,10 +1,11 @@
 """Deduplication by bytes with a run-length index over the stretches that may repeat.
 
-A bucket's stretches are joined into one text, each with its own terminator.  Its Burrows-Wheeler transform is
-kept as runs, with the text places at run ends as samples.  Only at a run's head is the common prefix of two
-neighbouring suffixes compared byte by byte (there it is irreducible); streaming on through the text, each next
-one within a run is one less.  That yields the matching statistics of the text against itself; windows joined
-by matches of at least ``L`` bytes are one class.
+A bucket's stretches are joined into one text, each with its own terminator.  Of its Burrows-Wheeler transform only
+the runs stay: per run the text place at its head, the place at the end of the run before (the sampled run ends),
+and how long the suffixes at the two match, which is compared byte by byte.  The suffix order goes once the runs
+are known.  Texts are streamed against the runs: within a run the neighbour above a place is one after that of the
+place before and matches one byte less, so the sample at or before a place gives its matching statistics, how many
+bytes match and where.  Places whose neighbour matches ``L`` bytes or more follow it to the first of their class.
 """
 
 from __future__ import annotations
@@ -43,33 +44,37 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class RunIndex:
-    """run heads, samples (text places at run heads and ends) and the permuted common prefixes they imply."""
+    """Per run, in order of the text: the place at its head, the place above it and their common bytes."""
 
     def __init__(self, text: np.ndarray, ends: np.ndarray):
-        self.order = order = suffix_order(text, ends)
+        order = suffix_order(text, ends)
         starts = np.ones(len(text), bool)
         starts[1:] = ends[1:] != ends[:-1]
-        before = np.where(starts[order], 256 + np.arange(len(text)), text[np.maximum(order - 1, 0)])  # each terminator is a character of its own
-        head = np.ones(len(text), bool)
-        head[1:] = before[1:] != before[:-1]
-        self.heads = np.flatnonzero(head)
-        self.symbols = before[self.heads]
-        self.samples = order[self.heads], order[np.append(self.heads[1:], len(text)) - 1]
-        common = np.zeros(len(text), np.int64)
-        inner = self.heads[self.heads > 0]
-        common[order[inner]] = _common(text, ends, order[inner - 1], order[inner])
-        # Reducible ones: one less than at the place before.
-        irreducible = np.zeros(len(text), bool)
-        irreducible[order[self.heads]] = True
-        last = np.maximum.accumulate(np.where(irreducible, np.arange(len(text)), 0))
-        self.matches = common[last] - (np.arange(len(text)) - last)
-
-    def classes(self, length: int) -> np.ndarray:
-        """Per place: a number shared by the places whose next ``length`` items match."""
-        joined = self.matches[self.order] >= length
-        out = np.empty(len(self.order), np.int64)
-        out[self.order] = np.cumsum(~joined)
-        return out
+        before = np.where(starts[order], 256 + order, text[np.maximum(order - 1, 0)])  # each terminator is a character of its own
+        heads = np.flatnonzero(before[1:] != before[:-1]) + 1
+        self.places, self.above = np.concatenate((order[:1], order[heads])), np.concatenate(([-1], order[heads - 1]))
+        self.common = np.concatenate(([0], _common(text, ends, order[heads - 1], order[heads])))
+        by_place = np.argsort(self.places)
+        self.places, self.above, self.common = self.places[by_place], self.above[by_place], self.common[by_place]
+        self.nbytes = self.places.nbytes + self.above.nbytes + self.common.nbytes
+
+    def matching(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(neighbour above, bytes in common) of places of the text; place 0 starts a run."""
+        run = np.searchsorted(self.places, places, "right") - 1
+        past = places - self.places[run]
+        return self.above[run] + past, np.maximum(self.common[run] - past, 0)
+
+    def classes(self, n: int, length: int, step: int = 1 << 18) -> np.ndarray:
+        """Per place of a text of n: a number shared by the places whose next ``length`` items match."""
+        first = np.arange(n)
+        for s in range(0, n, step):
+            above, common = self.matching(first[s : s + step])
+            first[s : s + step] = np.where(common >= length, above, first[s : s + step])
+        while True:
+            ahead = first[first]
+            if (ahead == first).all():
+                return first
+            first = ahead
 
 
 def _common(text, ends, a, b, step: int = 1 << 15) -> np.ndarray:
@@ -90,7 +95,7 @@ def _common(text, ends, a, b, step: int = 1 << 15) -> np.ndarray:
     return out
 
 
-def classes(items: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int, shard: np.ndarray, most: int = 3 << 19) -> np.ndarray:
+def classes(items: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int, shard: np.ndarray, most: int = 1 << 19) -> np.ndarray:
     """A class per window of the stretches; anchors are indexed together, some ``most`` bytes at a time, never one apart."""
     out, base = [], 0
     head = np.concatenate(([True], shard[1:] != shard[:-1]))
@@ -105,7 +110,7 @@ def classes(items: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: in
         own = np.cumsum(size) - size
         text = items[np.repeat(starts[low:high] - own, size) + np.arange(int(size.sum()))]
         ends = np.repeat(own + size, size)
-        number = RunIndex(text, ends).classes(length)
+        number = RunIndex(text, ends).classes(len(text), length)
         out.append(base + number[ends - np.arange(len(text)) >= length])
         base += len(text) + 1
         low = high
