@@ -12,19 +12,22 @@ table makes no shard.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import struct
 import sys
 import types
 import zlib
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrays import AS_IS, SPACED, release, split_words, text_chunks
-from .common import n_buckets
+from .common import n_buckets, small_batches
 
 _MAGIC, _STEP = b"PLWM", 4096
 SHARD_TOKENS = 4 << 20
@@ -33,22 +36,26 @@ CACHED_WORDS = 250_000
 
 
 class WaveletMatrix:
-    """Bit-planes of a sequence of ids; access, rank and select take O(bits) steps."""
+    """Bit-planes of a sequence of ids.  Access, rank and select take a step a plane, each within one block of bits (select finds the block by a binary search of the ranks)."""
 
     def __init__(self, n: int, planes: list[tuple[int, np.ndarray, np.ndarray]]):
         self.n, self.planes = n, planes
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        planes, now = [], ids
+        planes, now, n = [], ids, len(ids)
+        spare = [np.empty_like(ids), np.empty_like(ids)]
         for b in range(bits - 1, -1, -1):
-            ones = (now >> np.asarray(b, now.dtype)) & np.asarray(1, now.dtype) != 0
+            ones = (now & np.asarray(1 << b, now.dtype)) != 0
             packed = np.packbits(ones, bitorder="little")
             counts = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), _STEP // 8), dtype=np.uint32) if len(packed) else np.zeros(0, np.uint32)
             ranks = np.concatenate(([0], np.cumsum(counts, dtype=np.uint32)[:-1])).astype(np.uint32) if len(counts) else counts
-            lower = now[~ones]
-            planes.append((len(lower), ranks, packed))
-            now = np.concatenate((lower, now[ones]))
+            zeros = n - int(np.count_nonzero(ones))
+            np.compress(~ones, now, out=spare[0][:zeros])
+            np.compress(ones, now, out=spare[0][zeros:])
+            planes.append((zeros, ranks, packed))
+            now = spare[0]
+            spare.reverse()
         return cls(len(ids), planes)
 
     def ids(self) -> np.ndarray:
@@ -57,9 +64,10 @@ class WaveletMatrix:
         now = np.zeros(self.n, np.uint16 if bits <= 16 else np.uint32)
         for b, (zeros, _, packed) in enumerate(reversed(self.planes)):
             ones = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
+            now[zeros:] |= np.asarray(1 << b, now.dtype)
             up = np.empty_like(now)
-            up[~ones] = now[:zeros]
-            up[ones] = now[zeros:] | np.asarray(1 << b, now.dtype)
+            up[np.flatnonzero(~ones)] = now[:zeros]
+            up[np.flatnonzero(ones)] = now[zeros:]
             now = up
         return now
 
@@ -100,15 +108,30 @@ class WaveletMatrix:
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
+    def _find(self, plane: int, bit: int, k: int) -> int:
+        """Place of the k-th (from 0) bit of the kind: a block by its rank, then a byte, then the bit."""
+        _, ranks, packed = self.planes[plane]
+        before = ranks.astype(np.int64) if bit else np.arange(len(ranks)) * _STEP - ranks
+        block = int(np.searchsorted(before, k, "right")) - 1
+        part = packed[block * _STEP // 8 : (block + 1) * _STEP // 8]
+        counts = np.cumsum(np.bitwise_count(part if bit else ~part), dtype=np.int64)
+        rest = k - int(before[block])
+        byte = int(np.searchsorted(counts, rest, "right"))
+        rest -= int(counts[byte - 1]) if byte else 0
+        value = int(part[byte]) if bit else ~int(part[byte]) & 255
+        at = [i for i in range(8) if value >> i & 1][rest]
+        return block * _STEP + 8 * byte + at
+
     def select(self, token: int, k: int) -> int:
-        """Place of the k-th occurrence, from 0; -1 if there are fewer."""
+        """Place of the k-th occurrence, from 0; -1 if there are fewer.  Up the planes, a step of ``_find`` each."""
         if k < 0 or k >= self.count(token):
             return -1
-        low, high = 0, self.n - 1
-        while low < high:
-            mid = (low + high) // 2
-            low, high = (low, mid) if self.rank(token, mid + 1) > k else (mid + 1, high)
-        return low
+        bits = len(self.planes)
+        at = self._range(token, 0)[0] + k
+        for p in range(bits - 1, -1, -1):
+            bit = token >> (bits - 1 - p) & 1
+            at = self._find(p, bit, at - self.planes[p][0] if bit else at)
+        return at
 
     def to_bytes(self, ends: np.ndarray) -> bytes:
         out = [_MAGIC, struct.pack("<IQQ", len(self.planes), self.n, len(ends)), ends.astype("<u8").tobytes()]
@@ -138,29 +161,48 @@ class _Words:
     """Ids of words by hash, in one pool."""
 
     def __init__(self):
-        self.known: dict[int, int] = {}
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def add(self, hashes: list[int], flat: np.ndarray, lengths: np.ndarray) -> None:
-        have = len(self.known)
-        while have + len(hashes) > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.starts[have : have + len(hashes)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[have : have + len(hashes)] = lengths
-        self.used += len(flat)
-        self.known.update(zip(hashes, range(have, have + len(hashes))))
+        self.hashes, self.table = np.zeros(0, np.uint64), pd.Index(np.zeros(0, np.uint64))
+        self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the words, -1 for those not held."""
+        return self.table.get_indexer(hashes)
+
+    def add(self, hashes: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(lengths) - lengths))
+        self.lengths = np.concatenate((self.lengths, lengths))
+        self.pool = np.concatenate((self.pool, flat))
+        self.hashes = np.concatenate((self.hashes, hashes))
+        self.table = pd.Index(self.hashes)
 
     def ids(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words one after another, how many of each)."""
-        lengths = self.lengths[index].astype(np.int64)
+        lengths = self.lengths[index]
         before = np.cumsum(lengths) - lengths
         return self.pool[np.repeat(self.starts[index] - before, lengths) + np.arange(int(lengths.sum()))], lengths
 
 
+_LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_STOP[[ord(c) for c in ".,;:!?"]] = True
+
+
+def _pieces(words: list[str], buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """1 for words of letters, 2 for such with one stop behind, 0 for all others.
+
+    Tokenizers that part runs of letters from what follows make so many pieces of them.
+    """
+    other = np.concatenate(([0], np.cumsum(~_LETTER[buf], dtype=np.int64)))
+    odd, stop = other[ends] - other[starts], _STOP[buf[ends - 1]]
+    out = np.where(odd == 0, 1, np.where((odd == 1) & stop & (ends - starts > 1), 2, 0))
+    high = np.concatenate(([0], np.cumsum(buf >= 0x80, dtype=np.int64)))
+    for i in np.flatnonzero((out == 0) & (high[ends] > high[starts])).tolist():
+        core = words[i][:-1] if stop[i] else words[i]
+        if core.isalpha() and core.lower().isalpha():
+            out[i] = 1 + int(stop[i])
+    return out
+
+
 class WordEncoder:
     """Encodes texts word by word, and a word again only when it has not been met for long.
 
@@ -170,44 +212,83 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        self.type = np.uint16 if self.size <= 1 << 16 else np.uint32
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = None
+        if suffix:
+            self.last = np.zeros(self.size, bool)
+            self.last[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(suffix)]] = True
         self.young, self.old = _Words(), _Words()
 
-    def _learn(self, hashes: list[int], words: list[str], step: int = 512) -> None:
+    def _learn(self, words: list[str], parts: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, how many of each) of words; ``parts``: how many pieces each is parted into before it is encoded, 0 for unknown."""
+        known = np.flatnonzero(parts > 0) if self.last is not None else np.zeros(0, np.int64)
+        flat, lengths = np.zeros(0, self.type), np.zeros(len(words), np.int64)
+        plain = None
+        if len(known):
+            # The last token of each piece tells where it ends, so no offsets are needed.
+            joined = [" ".join([words[j] for j in known[i : i + step].tolist()]) for i in range(0, len(known), step)]
+            plain = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)), self.type)
+            ends = np.flatnonzero(self.last[plain]) + 1
+            pieces = np.cumsum(parts[known])
+            if len(ends) == pieces[-1]:
+                lengths[known] = np.diff(ends[pieces - 1], prepend=0)
+            else:
+                known = known[:0]
+        rest = np.setdiff1d(np.arange(len(words)), known, assume_unique=True)
+        odd, sizes = self._learn_by_offsets([words[i] for i in rest.tolist()], step)
+        lengths[rest] = sizes
+        # In the order of the words.
+        begin = np.cumsum(lengths) - lengths
+        flat = np.empty(int(lengths.sum()), self.type)
+        for mine, ids in ((known, plain), (rest, odd)):
+            if len(mine):
+                n = lengths[mine]
+                flat[np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return flat, lengths
+
+    def _learn_by_offsets(self, words: list[str], step: int) -> tuple[np.ndarray, np.ndarray]:
         """Words of a line break apart are encoded together; offsets tell whose an id is."""
         joined = ["\n".join(words[i : i + step]) for i in range(0, len(words), step)]
-        flat, lengths = [], []
+        flat, lengths = [np.zeros(0, self.type)], [np.zeros(0, np.int64)]
         for i, e in enumerate(self.tokenizer.encode_batch(joined, add_special_tokens=False)):
             mine = words[i * step : (i + 1) * step]
             sizes = np.fromiter(map(len, mine), np.int64, len(mine)) + 1
-            at = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
-            flat.append(np.array(e.ids, np.uint32))
+            ids = e.ids
+            at = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(ids))[::2]
+            flat.append(np.array(ids, self.type))
             lengths.append(np.bincount(np.searchsorted(np.cumsum(sizes), at, "right"), minlength=len(mine)))
-        self.young.add(hashes, np.concatenate(flat), np.concatenate(lengths))
+        return np.concatenate(flat), np.concatenate(lengths)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, each followed by end_id; ends of the rows)."""
         starts, ends, first, hashes = split_words(buf, offsets, SPACED, AS_IS)
-        unique, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.young.known) > CACHED_WORDS:
+        number, unique = pd.factorize(hashes)
+        if len(self.young.hashes) > CACHED_WORDS:
             self.old, self.young = self.young, _Words()
-        listed = unique.tolist()
-        new = [i for i, h in enumerate(listed) if h not in self.young.known]
-        again = [i for i in new if listed[i] in self.old.known]
-        if again:
-            self.young.add([listed[i] for i in again], *self.old.ids(np.array([self.old.known[listed[i]] for i in again])))
-            new = [i for i in new if listed[i] not in self.old.known]
-        if new:
-            raw = buf.tobytes()
-            self._learn([listed[i] for i in new], [raw[starts[place[i]] : ends[place[i]]].decode() for i in new])
-        body, lengths = self.young.ids(np.fromiter(map(self.young.known.__getitem__, listed), np.int64, len(listed))[inverse])
-        before = np.concatenate(([0], np.cumsum(lengths)))
+        known = self.young.find(unique)
+        new = np.flatnonzero(known < 0)
+        before = self.old.find(unique[new])
+        again, new = new[before >= 0], new[before < 0]
+        added = [(unique[again], *self.old.ids(before[before >= 0]))]
+        if len(new):
+            place = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))[new]
+            raw, from_, to = buf.tobytes(), starts[place], ends[place]
+            words = [raw[a:b].decode() for a, b in zip(from_.tolist(), to.tolist())]
+            added.append((unique[new], *self._learn(words, _pieces(words, buf, from_, to))))
+        known[np.concatenate((again, new))] = len(self.young.hashes) + np.arange(len(again) + len(new))
+        if len(again) + len(new):
+            self.young.add(*(np.concatenate(x) for x in zip(*added)))
+        body, lengths = self.young.ids(known[number])
+        at = np.concatenate(([0], np.cumsum(lengths)))
         rows = len(offsets) - 1
-        row_ends = before[first[1:]] + np.arange(1, rows + 1)
-        out = np.empty(len(body) + rows, np.uint32)
+        row_ends = at[first[1:]] + np.arange(1, rows + 1)
+        out = np.empty(len(body) + rows, self.type if end_id <= np.iinfo(self.type).max else np.uint32)
         inside = np.ones(len(out), bool)
         inside[row_ends - 1] = False
         out[row_ends - 1] = end_id
@@ -223,6 +304,7 @@ def encoder(path: str) -> WordEncoder:
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, order: tuple = ("doc_id", "text"), shard_tokens: int = SHARD_TOKENS) -> None:
     """Encodes every text and writes the shards, documents in ascending ``order``."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *(F.col(c) for c in order if c not in ("doc_id", "text")))
     n = n_buckets(rows.select(F.octet_length("text").alias("size")), "size")
     dealt = rows.repartitionByRange(n, *[c for c in order if c != "text"]).sortWithinPartitions(*order).select("doc_id", "text")
