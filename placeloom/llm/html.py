@@ -4,8 +4,9 @@ Tags build a tree of containers; text between block boundaries is a block.  A bl
 points for its length and commas, discounted by its share of link text, to its container, and half, a third,
 ... of them to the containers above.  The best container, its own link density held against it, is kept whole
 with those siblings that score high enough by themselves.  Of the article or main around them, else of their
-parent, all that is not mostly links is kept too, headings and short blocks included.  Menus, headers and footers of the
-page, sidebars, notices, adverts, forms, scripts, styles and comments never count, by tag, role, class or id.
+parent, all that is not mostly links is kept too, headings and short blocks included, and a title that stands in a
+box of its own before them.  Menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts,
+styles and comments never count, by tag, role, class or id; a paragraph named like a side box stays if it is prose.
 
 Null and empty html give an empty text; unclosed and stray tags are closed or ignored; a page whose blocks all
 are left out gives an empty text.  Texts of any length are kept whole.  Rows are judged one by one.
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Fixed tag sets.
 RAW = frozenset("script style textarea noscript template title xmp iframe noembed noframes svg math".split())
 DROPPED = frozenset("nav footer aside form button select option label fieldset menu dialog head object audio video canvas map".split())
@@ -29,40 +32,54 @@ BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre dt hr caption summary".
 PARTS = frozenset("blockquote ul ol dl li dd figure figcaption details hgroup header".split())
 OPTIONAL = frozenset("p li dt dd td th tr option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|comments?|disqus|sidebar|side|menu|nav\w*|breadcrumbs?|footer|masthead|header|share|sharing|social|related|recommend\w*|popup|modal|overlay|newsletter|subscribe|signup|login|notice|alert|widget|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
+_word = lambda words: re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)
+#: Words of class and id: of what is never text, of containers that are not (a paragraph by such a name may be prose), and of the page's head.
+UNLIKELY = _word(r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|comments?|disqus|sidebar|menu|nav\w*|breadcrumbs?|popup|modal|overlay|newsletter|subscribe|signup|login|pagination|pager|toolbar|skip")
+ASIDE = _word(r"side|footer|share|sharing|social|related|recommend\w*|notice|alert|widget")
+HEAD = _word(r"masthead|header")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form toolbar".split())
+#: Characters beyond which a paragraph is prose.
+PROSE = 80
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)|([^<]++)|(<)""", re.S)
 _ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
-def _unwanted(tag: str, attrs: str, inside: int) -> bool:
+def _judge(tag: str, attrs: str, inside: int) -> str:
+    """Whether an element is to go ("drop"), is short of proof ("suspect": its text goes unless it is prose) or stays ("")."""
     if tag in DROPPED or (tag == "header" and not inside):
-        return True
+        return "drop"
     if not attrs.strip() or tag in ("body", "html", "article", "main"):
-        return False
+        return ""
+    found = ""
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and UNLIKELY.search(value) or name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+        if name in ("class", "id"):
+            if UNLIKELY.search(value) or (ASIDE.search(value) and tag in CONTAINERS) or (HEAD.search(value) and tag in CONTAINERS and not inside):
+                return "drop"
+            if ASIDE.search(value) and tag in BLOCKS:
+                found = "suspect"
+        elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return "drop"
+    return found
 
 
 class _Page:
-    """The containers (parent, sum of link and text characters) and blocks (container, text, link share, heading)."""
+    """The containers (parent, tag) and blocks (container, text, link share, tag of a heading or "")."""
 
     def __init__(self, html: str):
         self.parent, self.blocks = [-1], []
         self.tags = ["#root"]
         stack, dropped, drop_at = [0], [], None  # open containers; open tags below what is dropped
         words: list[str] = []
-        linked, in_link, heading, articles = 0, 0, False, 0
+        linked, in_link, heading, suspect, articles = 0, 0, "", False, 0
 
         def flush():
             nonlocal words, linked
             if words:
                 text = " ".join(unescape("".join(words)).split())
-                if text:
-                    self.blocks.append((stack[-1], text, min(1.0, linked / len(text)), heading))
+                share = min(1.0, linked / len(text)) if text else 0.0
+                if text and not (suspect and (len(text) <= PROSE or share >= 0.25)):
+                    self.blocks.append((stack[-1], text, share, heading))
             words, linked = [], 0
 
         at, n = 0, len(html)
@@ -107,7 +124,7 @@ class _Page:
                     in_link = 0
                 if tag in BLOCKS:
                     flush()
-                    heading = False
+                    heading, suspect = "", False
                 if tag in CONTAINERS:
                     for i in range(len(stack) - 1, 0, -1):
                         if self.tags[stack[i]] == tag:
@@ -116,12 +133,13 @@ class _Page:
                             in_link = 0
                             break
                 continue
+            verdict = _judge(tag, attrs, articles) if tag not in VOID else ""
             if tag in BLOCKS:
                 flush()
-                heading = tag in HEADINGS
+                heading, suspect = tag if tag in HEADINGS else "", verdict == "suspect"
             elif tag == "br":
                 words.append(" ")
-            if tag not in VOID and _unwanted(tag, attrs, articles):
+            if verdict == "drop":
                 if not attrs.endswith("/"):
                     flush()
                     drop_at, dropped = tag, [tag]
@@ -179,21 +197,27 @@ def extract(html: str | None) -> str:
     else:
         while page.tags[top] in PARTS:
             top = page.parent[top]
-    out = []
+    out, title = [], None
     for node, text, share, heading in page.blocks:
-        inside, plain, at = False, heading or share < 0.5, node
+        inside, plain, at = False, heading != "" or share < 0.5, node
         while at >= 0 and at != top:
             inside |= at in kept
             plain &= prose_links[at] < 0.5 * max(1, prose[at])
             at = page.parent[at]
         # Beside the best container, all of the whole but menus; and prose of their common parent.
-        if inside or top in kept and at == top or at == top and plain or (node == page.parent[best] and not heading and len(text) > 80 and share < 0.25):
+        if inside or top in kept and at == top or at == top and plain or (node == page.parent[best] and not heading and len(text) > PROSE and share < 0.25):
+            # Without an article or main, the title may stand in a box of its own before the text.
+            if title is not None and not out and around < 0 and heading != "h1":
+                out.append(title)
             out.append(text)
+        elif heading == "h1" and share < 0.5:
+            title = text
     return "\n".join(out)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
+    small_batches(pages.sparkSession)
 
     def run(batches):
         for batch in batches:
