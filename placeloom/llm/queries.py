@@ -14,6 +14,10 @@ __all__ = ["ORACLES", "QUERIES", "vocabulary_path"]
 VOCABULARY = "word_bpe_49k.json"
 
 
+#: Target weights of the mix; sources that are not named weigh 1.
+TARGETS = {"src0": 4, "src1": 2.5, "src2": 1.5, "src3": 0.25}
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -39,7 +43,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents"), None, 64, "doc_id")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), TARGETS, 64, "doc_id")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
