@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from placeloom.llm import arrays, automata, chosenpath, decontaminate, html, mixing, pii, quality, queries, repeats, runindex, tokens, urls
+from placeloom.llm import arrays, automata, centres, chosenpath, decontaminate, html, mixing, pii, quality, queries, repeats, runindex, tokens, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_key long, bucket long, sid long, stratum string, t string"
@@ -78,18 +78,20 @@ def removed(rows, length, split, inner):
     return out
 
 
-@pytest.mark.parametrize("hot", [512, 3])
-def test_substring_dedup(docs, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "local"), [(512, 32), (3, 32), (512, 1)])
+def test_substring_dedup(docs, monkeypatch, hot, local):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "LOCAL", local)
     want = sorted((order(i), len(w), sum(f), hashlib.sha256(b" ".join(x for x, y in zip(w, f) if not y)).hexdigest()) for i, w, f in removed(ROWS, 13, lambda b: re.findall(rb"[^\x20\x09-\x0D]+", b), False))
     got = sorted((order(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in automata.substring_dedup(docs).collect())
     assert got == want
 
 
-@pytest.mark.parametrize("hot", [512, 3])
+@pytest.mark.parametrize(("hot", "local"), [(512, 32), (3, 32), (512, 1)])
 @pytest.mark.parametrize("window", [100, 20])
-def test_byte_dedup(docs, monkeypatch, hot, window):
+def test_byte_dedup(docs, monkeypatch, hot, local, window):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "LOCAL", local)
     want = sorted((order(i), len(b), sum(f), sum(y and not x for x, y in zip([False, *f], f)), hashlib.sha256(bytes(x for x, y in zip(b, f) if not y)).hexdigest()) for i, b, f in removed(ROWS, window, list, True))
     got = sorted((order(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in runindex.byte_dedup(docs, window).collect())
     assert got == want
@@ -111,6 +113,43 @@ def test_run_index_classes(texts, length):
         assert len({*zip(windows, found.tolist())}) == len(set(windows)) == len(set(found.tolist()))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", min_size=0, max_size=6), max_size=40), st.integers(1, 20), st.booleans())
+def test_content_ids(texts, step, clash):
+    """Equal stretches and no others have equal ids, also where hashes clash."""
+    items = np.frombuffer("".join(texts).encode(), np.uint8)
+    sizes = np.array(list(map(len, texts)), np.int64)
+    was = repeats.range_hashes
+    try:
+        repeats.range_hashes = (lambda c, a, b: was(c, a, b) & np.uint64(1)) if clash else was
+        ids = repeats.content_ids(items, np.cumsum(sizes) - sizes, sizes, step).tolist()
+    finally:
+        repeats.range_hashes = was
+    assert len(set(zip(texts, ids))) == len(set(texts)) == len(set(ids))
+
+
+def test_run_index_follows_runs():
+    """Copies add runs only for their ends, and the matching statistics are those of the suffixes."""
+    rng = random.Random(4)
+    copies = lambda n: [bytes(text)] * n
+    text = [rng.randrange(97, 101) for _ in range(3000)]
+
+    def built(parts):
+        sizes = np.array(list(map(len, parts)))
+        return runindex.RunIndex(np.frombuffer(b"".join(parts), np.uint8), np.repeat(np.cumsum(sizes), sizes))
+
+    one, many = built(copies(1)), built(copies(40))
+    assert many.nbytes < 1.2 * one.nbytes and not any(len(x) >= 40 * 3000 for x in vars(many).values() if isinstance(x, np.ndarray))
+    parts = [b"banana", b"bananas", b"nan", b"ananas"]
+    index, whole = built(parts), b"".join(parts)
+    ends = np.repeat(np.cumsum([len(x) for x in parts]), [len(x) for x in parts])
+    order = sorted(range(len(whole)), key=lambda i: (whole[i : ends[i]], i))
+    above, common = index.matching(np.arange(len(whole)))
+    for a, b in zip(order, order[1:]):
+        x, y = whole[a : ends[a]], whole[b : ends[b]]
+        assert above[b] == a and common[b] == next((i for i, (c, d) in enumerate(zip(x, y)) if c != d), min(len(x), len(y)))
+
+
 def links(rows):
     sets = []
     for _, t in rows:
@@ -142,6 +181,63 @@ def test_chosen_path_join(docs, monkeypatch, leaf):
     assert got == sorted(links(ROWS))
 
 
+def dense_texts(n, words=120, most=4):
+    """A group of near copies, texts of their own, and what lies far from the group's middle."""
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    base, texts = [rng.choice(vocab) for _ in range(words)], []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, most) if i % 20 else 9):
+            w[rng.randrange(words)] = rng.choice(vocab)
+        texts.append(" ".join(w))
+    return texts + [" ".join(rng.choice(vocab) for _ in range(words)) for _ in range(n // 4)]
+
+
+@pytest.mark.parametrize("block", [1 << 17, 1 << 12])
+def test_dense_groups_are_exact(spark, monkeypatch, block):
+    """Copies around a centre, whose nodes split: every link is counted once, in one block and in many."""
+    monkeypatch.setattr(chosenpath, "LEAF", 64)
+    monkeypatch.setattr(centres, "BLOCK", block)
+    texts = dense_texts(500)
+    sets, number = [], {}
+    for t in texts:
+        w = t.split()
+        sets.append({number.setdefault(tuple(w[j : j + 5]), len(number)) for j in range(len(w) - 4)})
+    met, size = np.zeros((len(sets), len(sets)), np.int64), np.array(list(map(len, sets)))
+    holders = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    for at in holders.values():
+        met[np.ix_(at, at)] += 1
+    link = 5 * met >= 4 * (size[:, None] + size[None, :] - met)
+    degree = link.sum(axis=1) - 1
+    near = link
+    while ((more := near.astype(int) @ near.astype(int) > 0) != near).any():
+        near = more
+    got = {r.doc_id: (r.class_id, r.n_links) for r in chosenpath.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [(int(near[i].argmax()), int(degree[i])) for i in range(len(texts))]
+
+
+def test_centres_hold_sets_of_any_distance():
+    """The bounds on u decide as the sets themselves do."""
+    rng = random.Random(3)
+    for _ in range(300):
+        c = set(range(rng.randint(1, 40)))
+        pair = [({x for x in c if rng.random() < 0.9} | {100 + rng.randrange(8) for _ in range(rng.randrange(4))}) for _ in range(2)]
+        x, y = pair
+        u = [5 * len(c - s) + 4 * len(s - c) for s in pair]
+        shared = len((x ^ c) & (y ^ c))
+        assert (sum(u) - 9 * shared <= len(c)) == (5 * len(x & y) >= 4 * len(x | y))
+
+
+def test_clashing_names_survive(spark):
+    rows = [(1, "a b c d e f", 7, 8, 9), (2, "a b c d e f", 7, 8, 9), (3, None, 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key long, _row long, row_key long")
+    assert sorted(map(tuple, chosenpath.keep_one(docs).collect())) == [rows[0], rows[2]]
+
+
 def test_keep_one(docs):
     judged = links(ROWS)
     kept = collections.Counter(r.text for r in chosenpath.keep_one(docs).collect() if WORD.search(r.text or ""))
@@ -339,7 +435,7 @@ def test_decontaminate(spark, most):
     assert sorted(tuple(r)[:6] for r in found.collect()) == sorted(want)
     kept = decontaminate.remove_leaks(docs, bench, action="documents", most_bytes=most)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(w[0] for w in want if not w[5])
-    spans = {r.doc_id: r.text for r in decontaminate.remove_leaks(docs, bench, action="spans", most_bytes=1 << 20).collect()}
+    spans = {r.doc_id: r.text for r in decontaminate.remove_leaks(docs, bench, action="spans", most_bytes=most).collect()}
     assert spans[2] == "x  y" and spans[4] == "a  b short" and spans[0] is None
 
 
@@ -365,6 +461,34 @@ def test_schedule_is_pfair(sources):
     assert sorted(slots) == list(range(sum(blocks.values()))) and collections.Counter(slots.values()) == blocks
 
 
+def test_weights_are_exact_or_refused():
+    blocks = {"a": 2000, "b": 2000, "c": 2}
+    plan = mixing.schedule(blocks, {"a": 0.1, "b": 0.3, "c": 0.0001})
+    first = {s: (u, p) for s, _, _, u, p, at, _ in plan if at == 0}
+    assert first["a"] == (1000, 4001) and first["b"] == (3000, 4001) and sum(b - a for s, a, b, *_ in plan) == 4002
+    assert first.get("c", (1, 4001)) == (1, 4001)  # a source far below a thousandth keeps its weight
+    for bad in (0, 0.0, -1, -0.5):
+        with pytest.raises(ValueError, match="above zero"):
+            mixing.schedule(blocks, {"a": bad, "b": 1})
+    with pytest.raises(ValueError, match="shorter period"):
+        mixing.schedule({"a": 10**9, "b": 10**9}, {"a": 1.0000000000001, "b": 1})
+
+
+def test_mix_follows_target_weights(spark):
+    """At every slot, while all sources last, each is less than one block from its target; ids and texts may be null."""
+    docs = spark.createDataFrame([(i if i % 50 else None, "x" if i % 7 else None, ("a", "b", None)[i % 3], i) for i in range(3000)], "doc_id long, text string, source string, slot long")
+    weights = {"a": 5, "b": 1.5, "gone": 9}
+    got = mixing.mix_sources(docs, weights, 4, "doc_id", default=0.5).collect()
+    assert sorted(r.position for r in got) == list(range(3000))
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i if i % 50 else None for i in range(3000))
+    seen, share = collections.Counter(), {"a": 5 / 7, "b": 1.5 / 7, None: 0.5 / 7}
+    for slot, source in sorted({(r.slot, r.source) for r in got}, key=lambda x: x[0]):
+        assert all(abs(seen[s] - share[s] * slot) < 1 for s in share)
+        seen[source] += 1
+        if seen["a"] == 250:
+            break
+
+
 def test_html():
     page = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>if (a<b) document.write("</p>")</script></head><body class=home>
     <header><p>Site, name, here</p></header><nav><ul><li><a href="/">Home</a><li><a href="/x">X</a></ul></nav><div class="ad">Buy, buy, buy, now</div>
@@ -389,6 +513,26 @@ def test_html_keeps_all_of_a_nested_article():
     assert html.extract(wide(f"<div><h1>T</h1><p>lead</p><blockquote>{many}</blockquote><p>end</p></div>")) == "\n".join(["T", "lead", *lines, "end"])
 
 
+def test_html_keeps_the_odd_parts_of_an_article():
+    """Sections, tables, items, boxes, a named paragraph and the head of an article stay; what is no article goes."""
+    prose = "Some words, and more words, of the text that is long enough to count, as it goes on."
+    page = lambda x: f"<html><body><header><h1>Site</h1></header><nav><a href=x>Home</a></nav>{x}<footer>foot</footer></body></html>"
+    body = "".join(f"<p>{i} {prose} {prose}</p>" for i in range(4))
+    lines = [f"{i} {prose} {prose}" for i in range(4)]
+    cells = "".join(f"<tr><td>{i}, {prose}</td><td>{prose}</td></tr>" for i in range(8))
+    for inner, want in (
+        (f"<article><h1>T</h1><section><h2>A</h2>{body}</section><section><h2>B</h2><p>brief</p></section></article>", ["T", "A", *lines, "B", "brief"]),
+        (f"<article><h1>T</h1><p>intro</p><table>{cells}</table><p>end</p></article>", ["T", "intro", *(x for i in range(8) for x in (f"{i}, {prose}", prose)), "end"]),
+        (f"<article><h1>T</h1><p>intro</p><ul><li>one</li><li>{prose * 6}</li><li>three</li></ul></article>", ["T", "intro", "one", prose * 6, "three"]),
+        (f"<article><h1>T</h1><div>lead</div><div>{prose}</div><div>{prose}</div><div>end</div></article>", ["T", "lead", prose, prose, "end"]),
+        (f"<article><h1>T</h1><p id=social>{prose}</p><p class=share>Share this</p><p>end</p></article>", ["T", prose, "end"]),
+        (f"<article><header class=article-header><h1>T</h1></header>{body}</article>", ["T", *lines]),
+        (f"<div><div class=top><h1>T</h1></div><div class=body>{body}<p>end</p></div></div>", ["T", *lines, "end"]),
+        (f"<article><h1>T</h1>{body}<div class=related><p>{prose}</p></div><section id=comments><p>{prose}</p></section></article>", ["T", *lines]),
+    ):
+        assert html.extract(page(inner)).split("\n") == want, inner[:60]
+
+
 def test_url_links_are_resolved(spark):
     from urllib.parse import urljoin
 

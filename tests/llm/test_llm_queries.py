@@ -57,7 +57,7 @@ def test_pipeline(spark, duck):
     text = dict(rows)
     clean = [i for i in one if not any(tuple(w[j : j + n]) in windows for w in [split(text[i])] for n in {len(x) for x in windows} for j in range(len(w) - n + 1))]
     assert ids(after[2]) == clean == ids(after[3])
-    placed = {r.doc_id: r.position for r in mixing.mix_sources(after[2], None, 64, "doc_id").collect()}
+    placed = {r.doc_id: r.position for r in mixing.mix_sources(after[2], queries.TARGETS, 64, "doc_id").collect()}
     tokenizer = Tokenizer.from_file(queries.vocabulary_path())
     at, want = 0, []
     for i in sorted(clean, key=placed.get):
