@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from placeloom.llm import chosenpath, decontaminate, mixing, quality, tokens
 from placeloom.llm.common import shared_dir, staged, table
-from placeloom.llm.queries import vocabulary_path
+from placeloom.llm.queries import TARGETS, vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,7 +30,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.in_mixed_order(docs.select(*COLUMNS))
+    return mixing.in_mixed_order(docs.select(*COLUMNS), TARGETS)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
