@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import dominant_script, romanise_greek, script_counts
+from .text import expected_scripts, romanise_greek, script_check, script_counts
 
 WIDTH = 92
 
@@ -43,16 +43,24 @@ def event_frames(stream: Column) -> Column:
 
 
 def latin_twin(tag: Column, name: Column, has_twin: Column) -> Column:
-    """Struct (tag, name, confidence) of the derived Latin name: for Greek names without one; null otherwise.
+    """Struct (tag, name, confidence) of the derived Latin name: for Greek names whose script is as their tag says, without one; null otherwise.
 
-    Confidence is 0.9 times the share of Latin letters, to two places.
+    The tag keeps its region.  Confidence is 0.9 times the share of Latin letters, to two places.
     """
     latin = romanise_greek(name)
     counts = script_counts(latin)
     share = F.aggregate(F.filter(counts, lambda c: c["script"] == "Latn"), F.lit(0), lambda t, c: t + c["n"]) / F.aggregate(counts, F.lit(0), lambda t, c: t + c["n"])
-    return F.when((dominant_script(name) == "Grek") & ~has_twin, F.struct(F.concat(tag, F.lit("-Latn")).alias("tag"), latin.alias("name"), F.round(0.9 * share, 2).alias("confidence")))
+    region = F.filter(F.slice(F.split(tag, "-"), 2, 9), lambda x: ~x.rlike("^[A-Za-z]{4}$"))
+    own = F.array_join(F.concat(F.array(F.lower(F.get(F.split(tag, "-"), F.lit(0))), F.lit("Latn")), region), "-")
+    greek = (script_check(name, tag) == "match") & F.array_contains(expected_scripts(tag), "Grek")
+    return F.when(greek & ~has_twin, F.struct(own.alias("tag"), latin.alias("name"), F.round(0.9 * share, 2).alias("confidence")))
 
 
 def walk_seconds(metres: Column, kmh: Column) -> Column:
     """Whole seconds at a speed held to 3.5..5 km/h; halves go to the even one."""
     return F.bround(metres / (F.least(F.greatest(kmh, F.lit(3.5)), F.lit(5.0)) / 3.6)).cast("long")
+
+
+def post_checks(words: Column, verbatim: Column, coordinates: Column, least: int = 40, most: int = 220) -> Column:
+    """Why a narration is refused, the first reason in order: its length, a run of words taken from its source, a pair of coordinates; null to keep it."""
+    return F.when(~words.between(least, most), "words").when(verbatim, "verbatim").when(coordinates, "coordinate")

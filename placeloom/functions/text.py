@@ -7,13 +7,16 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed values of the area fold: sequences that full case folding expands, and single letters it unifies.
 EXPANSIONS = {"i̇": "i", "ß": "ss", "ŉ": "ʼn", "և": "եւ", "ẚ": "aʾ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ﬓ": "մն", "ﬔ": "մե", "ﬕ": "մի", "ﬖ": "վն", "ﬗ": "մխ"}
-VARIANTS = dict(zip("ſµͅιϐϵϑϴϰϖϱςϕẛᲀᲁᲂᲃᲄᲅᲆᲇᲈ", "sμιιβεθθκπρσφṡвдосттъѣꙋ"))
+VARIANTS = {
+    "ſ": "s", "µ": "μ", "\u0345": "ι", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ς": "σ", "ϴ": "θ", "ϵ": "ε",
+    "ᲀ": "в", "ᲁ": "д", "ᲂ": "о", "ᲃ": "с", "ᲄ": "т", "ᲅ": "т", "ᲆ": "ъ", "ᲇ": "ѣ", "ᲈ": "ꙋ", "ẛ": "ṡ", "\u1fbe": "ι",
+}
 # First and last code points of scripts.
 SCRIPTS = {
     "Latn": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)), "Grek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)), "Cyrl": ((0x400, 0x52F), (0x2DE0, 0x2DFF)), "Armn": ((0x530, 0x58F),), "Hebr": ((0x590, 0x5FF),),
@@ -66,11 +69,17 @@ def name_fold(names: pd.Series) -> pd.Series:
 def fold_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two folded names, the same either way round; 0 if one is empty."""
 
+    known: dict[tuple[str, str], float] = {}
+
     def one(x, y):
         if not x or not y:
             return 0.0
-        x, y = min(x, y), max(x, y)
-        return 1.0 if x == y else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+        if x == y:
+            return 1.0
+        pair = (x, y) if x < y else (y, x)
+        if pair not in known:
+            known[pair] = difflib.SequenceMatcher(None, *pair, autojunk=False).ratio()
+        return known[pair]
 
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
 
@@ -91,6 +100,35 @@ def dominant_script(text: Column) -> Column:
     return F.get(F.array_sort(F.transform(script_counts(text), lambda c: F.struct((-c["n"]).alias("rank"), c["script"].alias("script")))), F.lit(0))["script"]
 
 
+# Scripts that a language is written in; all other languages of this list are written in Latin.
+EXPECTED_SCRIPTS = {
+    "am": ("Ethi",), "ar": ("Arab",), "be": ("Cyrl",), "bg": ("Cyrl",), "bn": ("Beng",), "bo": ("Tibt",), "dv": ("Thaa",), "el": ("Grek",), "fa": ("Arab",),
+    "gu": ("Gujr",), "he": ("Hebr",), "hi": ("Deva",), "hy": ("Armn",), "ja": ("Hani", "Hira", "Kana"), "ka": ("Geor",), "km": ("Khmr",), "kn": ("Knda",), "ko": ("Hang",),
+    "lo": ("Laoo",), "mk": ("Cyrl",), "ml": ("Mlym",), "mr": ("Deva",), "my": ("Mymr",), "ne": ("Deva",), "or": ("Orya",), "pa": ("Guru",), "ru": ("Cyrl",), "si": ("Sinh",),
+    "sr": ("Cyrl", "Latn"), "ta": ("Taml",), "te": ("Telu",), "th": ("Thai",), "ti": ("Ethi",), "uk": ("Cyrl",), "ur": ("Arab",), "yi": ("Hebr",), "zh": ("Hani",),
+} | {x: ("Latn",) for x in "af az ca cs cy da de en es et eu fi fr ga gl hr hu id is it lt lv ms mt nl no pl pt ro sk sl sq sv sw tl tr uz vi".split()}
+
+
+def expected_scripts(tag: Column) -> Column:
+    """Scripts that a value of the language tag may have: that of its subtag, else the language's; empty for unknown languages."""
+    own = F.filter(F.slice(F.split(tag, "-"), 2, 9), lambda x: x.rlike("^[A-Za-z]{4}$"))
+    known = F.create_map(*(x for k, v in EXPECTED_SCRIPTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    usual = F.coalesce(F.try_element_at(known, F.lower(F.get(F.split(tag, "-"), F.lit(0)))), F.expr("cast(array() as array<string>)"))
+    return F.when(F.size(own) > 0, F.array(F.initcap(F.get(own, F.size(own) - 1)))).otherwise(usual)
+
+
+def script_check(text: Column, tag: Column) -> Column:
+    """match, mismatch, unknown (no script is expected) or empty (no letters).
+
+    The declared script must be there, and no other script but Latin may have as many letters.
+    """
+    counts, expected = script_counts(text), expected_scripts(tag)
+    most = lambda keep: F.coalesce(F.array_max(F.transform(F.filter(counts, keep), lambda c: c["n"])), F.lit(0))
+    declared = F.aggregate(F.filter(counts, lambda c: F.array_contains(expected, c["script"])), F.lit(0), lambda a, c: a + c["n"])
+    rival = most(lambda c: ~F.array_contains(expected, c["script"]) & (c["script"] != "Latn"))
+    return F.when(F.size(counts) == 0, "empty").when(F.size(expected) == 0, "unknown").when((declared == 0) | (rival >= declared), "mismatch").otherwise("match")
+
+
 def word_count(text: Column) -> Column:
     """Runs without white space; in scripts without spaces each character."""
     return F.regexp_count(text, F.lit(f"[{UNSPACED}]|[^\\s{UNSPACED}]+"))
@@ -106,47 +144,62 @@ def runs(tokens: Column, width: int) -> Column:
     return F.when(F.size(tokens) >= width, F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, width)))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
-# Fixed values of the Greek romanisation: letters, clusters, digraphs, and what makes upsilon a v.
-LETTERS = dict(zip("αβγδεζηθικλμνξοπρστυφχψω", "a v g d e z i th i k l m n x o p r s t y f ch ps o".split()))
-CLUSTERS = {"γγ": "ng", "γξ": "nx", "γχ": "nch"}
-STOPS = {"μπ": ("b", "mp"), "ντ": ("d", "nt"), "γκ": ("g", "ng")}
+def shared_runs(left: DataFrame, right: DataFrame, a: str, b: str, width: int) -> DataFrame:
+    """(a, b, n_runs): distinct runs of ``width`` tokens (column t) that rows of both share.
+
+    Hashes of the few rows' runs (``right``) find candidates; the words themselves decide.
+    """
+    each = lambda df, key: df.select(key, "t", F.posexplode(runs(F.col("t"), width)).alias("i", "h"))
+    words = lambda t: F.slice(t, F.col("i") + 1, width)
+    wanted = each(right, b).select(b, "h", F.array_join(words(F.col("t")), " ").alias("words")).distinct()
+    found = each(left, a).join(wanted.select("h").distinct(), "h", "left_semi").select(a, "h", F.array_join(words(F.col("t")), " ").alias("words")).distinct()
+    return found.join(wanted, ["h", "words"]).groupBy(a, b).agg(F.count("*").alias("n_runs"))
+
+
+# Fixed values of the Greek romanisation, after ELOT 743: letters, pairs of consonants (some by their place), pairs of vowels.
+LETTERS = {
+    "α": "a", "β": "v", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "i", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m",
+    "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "τ": "t", "υ": "y", "φ": "f", "χ": "ch", "ψ": "ps", "ω": "o",
+}
+CONSONANTS = {"γγ": "ng", "γξ": "nx", "γχ": "nch", "γκ": "ng", "μπ": "mp", "ντ": "nt"}
+FIRST = {"γκ": "g", "μπ": "b", "ντ": "d"}
 VOWELS = {"αι": "ai", "ει": "ei", "οι": "oi", "ου": "ou", "υι": "yi"}
-BEFORE_UPSILON = {"α": "a", "ε": "e", "η": "i"}
-VOICED = "αεηιουωβγδζλμνρ"
-GREEK_VARIANTS = {"ϐ": "β", "ϑ": "θ", "ϰ": "κ", "ϱ": "ρ", "ϲ": "σ", "ς": "σ"}
-ACCENTS = "̀́̂̃̄̆̓̔͂ͅ"
-_GREEK = "".join(LETTERS) + "".join(LETTERS).upper() + "".join(GREEK_VARIANTS) + "ΣϹ"
-_MARKED = re.compile(f"([{_GREEK}])([\u0300-\u036f]*)")
-_GREEK_RUN = re.compile(f"(?:[{_GREEK}][\u0300-\u036f]*)+")
-
-
-def _romanise_run(run: re.Match) -> str:
-    """A run of decomposed Greek letters: clusters first, then what accents and diaereses let join."""
-    found = _MARKED.findall(run[0])
-    bases = [GREEK_VARIANTS.get(c.lower(), c.lower()) for c, _ in found]
-    accented = [any(m in ACCENTS for m in marks) for _, marks in found]
-    split = ["\u0308" in marks for _, marks in found]
-    out, i = "", 0
-    while i < len(bases):
-        pair = "".join(bases[i : i + 2])
-        joined = len(pair) == 2 and not accented[i] and not split[i + 1]
-        taken = 2
-        if pair in CLUSTERS:
-            out += CLUSTERS[pair]
-        elif pair in STOPS:
-            out += STOPS[pair][i > 0]
-        elif joined and pair[1] == "υ" and pair[0] in BEFORE_UPSILON:
-            out += BEFORE_UPSILON[pair[0]] + ("v" if "".join(bases[i + 2 : i + 3]) in tuple(VOICED) else "f")
-        elif joined and pair in VOWELS:
-            out += VOWELS[pair]
-        else:
-            out, taken = out + LETTERS[bases[i]], 1
-        i += taken
-    upper = [c != c.lower() for c, _ in found]
-    return out.upper() if all(upper) else out[:1].upper() + out[1:] if upper[0] else out
+BEFORE_VOICED = {"αυ": "av", "ευ": "ev", "ηυ": "iv"}
+ELSEWHERE = {"αυ": "af", "ευ": "ef", "ηυ": "if"}
+VOICED = "αβγδεζηιλμνορυω"
+GREEK_VARIANTS = {"ϐ": "β", "ϑ": "θ", "ϰ": "κ", "ϱ": "ρ", "ς": "σ", "ϲ": "σ"}
+ACCENTS = "\u0300\u0301\u0302\u0303\u0304\u0306\u0313\u0314\u0342\u0345"
+_MARK = "[\u0300-\u036f]"
+_GREEK = "".join([*LETTERS, *GREEK_VARIANTS]) + "".join([*LETTERS, "ϲ"]).upper()
+_GREEK_RUN = re.compile(f"(?:[{_GREEK}]{_MARK}*)+")
+
+
+def _rules() -> tuple[re.Pattern, list[str]]:
+    """One pattern, a group for each rule, the longest and most particular first; and what each gives."""
+    both = f"{{0}}{_MARK}*{{1}}{_MARK}*"
+    start = f"(?<![{''.join(LETTERS)}\u0300-\u036f])"
+    # A pair of vowels is one sound unless the first has an accent or the second a diaeresis.
+    one_sound = f"{{0}}(?!{_MARK}*[{ACCENTS}]){_MARK}*{{1}}(?!{_MARK}*\u0308){_MARK}*"
+    rules = [(start + both.format(*pair), latin) for pair, latin in FIRST.items()]
+    rules += [(both.format(*pair), latin) for pair, latin in CONSONANTS.items()]
+    rules += [(one_sound.format(*pair) + f"(?=[{VOICED}])", latin) for pair, latin in BEFORE_VOICED.items()]
+    rules += [(one_sound.format(*pair), latin) for pair, latin in (ELSEWHERE | VOWELS).items()]
+    rules += [(f"{letter}{_MARK}*", latin) for letter, latin in LETTERS.items()]
+    return re.compile("|".join(f"({pattern})" for pattern, _ in rules)), [latin for _, latin in rules]
+
+
+_RULES, _LATIN = _rules()
+
+
+def _latin(run: re.Match) -> str:
+    """A run of decomposed Greek letters; its case is that of the run."""
+    bare = re.sub(_MARK, "", run[0])
+    low = run[0].lower().translate(str.maketrans(GREEK_VARIANTS))
+    out = _RULES.sub(lambda m: _LATIN[m.lastindex - 1], low)
+    return out.upper() if bare.isupper() else out[:1].upper() + out[1:] if bare[0].isupper() else out
 
 
 @F.pandas_udf(T.StringType())
 def romanise_greek(names: pd.Series) -> pd.Series:
     """Greek letters in Latin ones for display; all else stays."""
-    return names.map(lambda n: None if n is None else unicodedata.normalize("NFC", _GREEK_RUN.sub(_romanise_run, unicodedata.normalize("NFD", n))))
+    return names.map(lambda n: None if n is None else unicodedata.normalize("NFC", _GREEK_RUN.sub(_latin, unicodedata.normalize("NFD", n))))
