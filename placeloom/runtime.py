@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests), below a local one."""
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, below a local one if all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
         else:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="placeloom-")
             spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/placeloom-{uuid.uuid4().hex}"
