@@ -109,3 +109,19 @@ def absolute_urls(texts: pd.Series) -> pd.Series:
             return None
 
     return texts.map(one)
+
+
+def frozen(itinerary: Column, frame: Column, itinerary_fields: list[str], frame_fields: list[str]) -> Column:
+    """The approved itinerary and its local frame as one canonical JSON text.
+
+    Fields of one name in both are refused when the plan is made; a row without a frame, or with half of one, is an error.
+    """
+    clash = sorted(set(itinerary_fields) & set(frame_fields))
+    if clash:
+        raise ValueError(f"the frame would overwrite {', '.join(clash)}")
+    whole = frame.isNotNull()
+    for f in frame_fields:
+        whole &= frame[f].isNotNull()
+    both = F.struct(*(itinerary[f].alias(f) for f in itinerary_fields), *(frame[f].alias(f) for f in frame_fields))
+    return F.when(whole, jcs(F.to_json(both, {"ignoreNullFields": "false"}))).otherwise(F.raise_error(F.lit("an itinerary is frozen with its whole local frame")).cast("string"))
+

@@ -89,3 +89,38 @@ def verdicts(stops: DataFrame, plans: DataFrame, places: DataFrame, opening: Dat
     known = stops.join(places.select("place_id"), "place_id", "left_semi")
     shut = first_uncovered(known, opening).select("plan_id", F.lit("outside_opening_window").alias("code"), F.col("stop_order").cast("long"))
     return over.unionByName(lost).unionByName(shut).withColumn("blocking", F.col("code") != "hours_unknown")
+
+
+def day_verdicts(stops: DataFrame, plans: DataFrame, sites: DataFrame, opening: DataFrame) -> DataFrame:
+    """(plan_id, code, stop_order, reason, blocking) of whole days; stop_order is null for a budget.
+
+    ``plans``: plan_id, budget_m, budget_h, day (a date), timezone (null: no local frame); ``sites``: place_id,
+    unreadable (why its hours cannot be judged, null if they can); ``opening``: place_id, week_from, week_to, merged
+    minutes of the week from Monday.  Budgets are of metres and of hours from the first start to the last end.  Each
+    stop gives one verdict at most: an unknown site, hours that cannot be judged (advisory), or the first minute of
+    the visit that is shut, on the day that its start falls on after rollovers.
+    """
+    begun = stops.join(local_starts(stops), ["plan_id", "stop_order"]).join(plans, "plan_id")
+    whole = begun.groupBy("plan_id").agg(
+        F.sum("leg_m").alias("walked"), F.first("budget_m").alias("budget_m"), F.first("budget_h").alias("budget_h"),
+        (F.max_by(F.col("start_s") + F.col("dwell") * 60, "stop_order") - F.min_by("start_s", "stop_order")).alias("elapsed"),
+    )
+    over = whole.select(
+        "plan_id", F.explode(F.array_compact(F.array(
+            F.when(exceeds(F.col("walked").cast("double"), F.col("budget_m").cast("double")), "walking_budget"),
+            F.when(exceeds(F.col("elapsed") / 3600, F.col("budget_h").cast("double")), "time_budget"),
+        ))).alias("code"), F.lit(None).cast("long").alias("stop_order"), F.lit(None).cast("string").alias("reason"),
+    )
+    known = begun.join(sites.select("place_id", "unreadable", F.lit(True).alias("known")), "place_id", "left")
+    cause = F.when(F.col("known").isNull(), "unknown_site").when(F.col("timezone").isNull(), "no_timezone").otherwise(F.col("unreadable"))
+    judged = known.withColumn("cause", cause)
+    unread = judged.where("cause is not null").select("plan_id", F.when(F.col("cause") == "unknown_site", "unknown_site").otherwise("hours_unknown").alias("code"), F.col("stop_order").cast("long"), F.nullif("cause", F.lit("unknown_site")).alias("reason"))
+    # The visit in minutes of its week; windows of a week are read twice, so that a visit may pass its end.
+    week = 7 * 1440
+    first = (F.weekday(F.date_add("day", F.floor(F.col("start_s") / DAY_S).cast("int"))) * 1440 + F.floor(F.pmod("start_s", F.lit(DAY_S)) / 60)).cast("long")
+    visits = judged.where("cause is null").select("plan_id", F.col("stop_order").cast("long").alias("stop_order"), "place_id", first.alias("a"), (first + F.greatest("dwell", F.lit(1))).alias("b"))
+    listed = opening.groupBy("place_id").agg(F.array_sort(F.collect_list(F.struct(F.col("week_from").cast("long").alias("o"), F.col("week_to").cast("long").alias("c")))).alias("w"))
+    twice = F.concat("w", F.transform("w", lambda x: F.struct((x["o"] + week).alias("o"), (x["c"] + week).alias("c"))))
+    reach = F.aggregate(F.coalesce(twice, F.expr("cast(array() as array<struct<o:bigint,c:bigint>>)")), F.col("a"), lambda at, x: F.when((x["o"] <= at) & (x["c"] > at), x["c"]).otherwise(at))
+    shut = visits.join(listed, "place_id", "left").withColumn("at", reach).where("at < b").select("plan_id", F.lit("outside_opening_window").alias("code"), "stop_order", F.concat(F.lit("closed at "), F.lpad(F.floor(F.pmod("at", F.lit(1440)) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.pmod("at", F.lit(60)).cast("string"), 2, "0")).alias("reason"))
+    return over.unionByName(unread).unionByName(shut).withColumn("blocking", F.col("code") != "hours_unknown")

@@ -14,17 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import components
-from .spatial import box_cells
+from .spatial import meeting
 
 
 def noded(segments: DataFrame, step: int = 256) -> DataFrame:
     """(seg_id, x0, y0, x1, y1) pieces that meet only at their ends: cut where two cross, touch or overlap."""
     boxed = segments.select("seg_id", F.col("x0").alias("ax"), F.col("y0").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by"), F.least("x0", "x1").alias("x0"), F.least("y0", "y1").alias("y0"), F.greatest("x0", "x1").alias("x1"), F.greatest("y0", "y1").alias("y1"))
-    cells = box_cells(boxed, step)
-    other = cells.select("cx", "cy", F.col("seg_id").alias("o_id"), F.col("ax").alias("px"), F.col("ay").alias("py"), F.col("bx").alias("qx"), F.col("by").alias("qy"), *(F.col(c).alias(f"o_{c}") for c in ("x0", "y0", "x1", "y1")))
-    # Boxes that overlap meet in the one cell of the overlap's low corner.
-    low = (F.col("cx") == F.floor(F.greatest("x0", "o_x0") / step)) & (F.col("cy") == F.floor(F.greatest("y0", "o_y0") / step))
-    met = cells.join(other, ["cx", "cy"]).where("seg_id <> o_id and x0 <= o_x1 and o_x0 <= x1 and y0 <= o_y1 and o_y0 <= y1").where(low).select("seg_id", "ax", "ay", "bx", "by", "px", "py", "qx", "qy")
+    other = boxed.toDF("o_id", "px", "py", "qx", "qy", "u0", "v0", "u1", "v1")
+    met = meeting(boxed, other, step).where("seg_id <> o_id").select("seg_id", "ax", "ay", "bx", "by", "px", "py", "qx", "qy")
     c = {n: F.col(n).cast("double") for n in ("ax", "ay", "bx", "by", "px", "py", "qx", "qy")}
     det = (c["bx"] - c["ax"]) * (c["qy"] - c["py"]) - (c["by"] - c["ay"]) * (c["qx"] - c["px"])
     t = ((c["px"] - c["ax"]) * (c["qy"] - c["py"]) - (c["py"] - c["ay"]) * (c["qx"] - c["px"])) / F.nullif(det, F.lit(0.0))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from ..functions.licenses import bundleable, canonical
 
 # Licenses that demand a credit.
@@ -60,3 +62,56 @@ def uncredited(obs: DataFrame, credit: str) -> DataFrame:
     """Rows that must not be published: not allowed, or owing a credit that is missing."""
     c = canonical(F.col("license"))
     return obs.where(~bundleable(F.col("kind"), F.col("license")) | (c.isin(*CREDITED) & (F.coalesce(F.col(credit), F.lit("")) == "")))
+
+
+class UnknownStructure(ValueError):
+    """A structure that no rule covers: the job stops before it reads a row, rather than let it pass."""
+
+
+_NO_PATHS = "cast(array() as array<string>)"
+
+
+def quarantined(column: Column, kind: T.DataType, containers: frozenset[str], never: frozenset[str]) -> tuple[Column, Column]:
+    """(the nested value without what may not leave, the paths of what was withheld, as they were before).
+
+    The type decides: a struct of ``value`` and ``source`` is a stamped value; another struct with ``source`` is
+    ruled on and then searched; one without must be named in ``containers`` or ``never`` (by its path without
+    places, as ``stories[]`` or ``names{}``), else UnknownStructure is raised.  Maps and lists lose their refused
+    entries; elsewhere what is refused becomes null.
+    """
+    kept, dropped, paths = _ruled(column, kind, F.lit(""), "", containers, never)
+    return F.when(~dropped, kept), paths
+
+
+def _ruled(x: Column, kind: T.DataType, path: Column, shape: str, containers, never) -> tuple[Column, Column, Column]:
+    """(kept, whether it is dropped, withheld paths)."""
+    none = F.expr(_NO_PATHS)
+    if isinstance(kind, T.ArrayType):
+        at = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+        part = lambda j: lambda e, i: _ruled(e, kind.elementType, at(i), shape + "[]", containers, never)[j]
+        each = F.transform(x, lambda e, i: F.struct(part(0)(e, i).alias("kept"), part(1)(e, i).alias("gone")))
+        kept = F.transform(F.filter(each, lambda e: ~e["gone"]), lambda e: e["kept"])
+        return kept, F.lit(False), F.coalesce(F.flatten(F.transform(x, part(2))), none)
+    if isinstance(kind, T.MapType):
+        at = lambda k: F.concat(path, F.lit("."), k.cast("string"))
+        part = lambda j: lambda e: _ruled(e["value"], kind.valueType, at(e["key"]), shape + "{}", containers, never)[j]
+        listed = F.map_entries(x)
+        each = F.transform(listed, lambda e: F.struct(e["key"].alias("key"), part(0)(e).alias("kept"), part(1)(e).alias("gone")))
+        kept = F.map_from_entries(F.transform(F.filter(each, lambda e: ~e["gone"]), lambda e: F.struct(e["key"], e["kept"])))
+        return kept, F.lit(False), F.coalesce(F.flatten(F.transform(listed, part(2))), none)
+    if not isinstance(kind, T.StructType):
+        return x, F.lit(False), none
+    if shape in never:
+        return F.lit(None).cast(kind), x.isNotNull(), F.when(x.isNotNull(), F.array(path)).otherwise(none)
+    names = kind.fieldNames()
+    if "source" not in names and shape not in containers:
+        raise UnknownStructure(f"no rule for the structure at {shape or 'the top'!r}")
+    dropped = F.lit(False)
+    if "source" in names:
+        dropped = x.isNotNull() & ~F.coalesce(bundleable(x["source"]["kind"], x["source"]["license"]), F.lit(False))
+    if {"value", "source"} <= set(names):
+        return x, dropped, F.when(dropped, F.array(path)).otherwise(none)
+    inner = {f.name: _ruled(x[f.name], f.dataType, F.concat(path, F.lit("." if shape else ""), F.lit(f.name)), f"{shape}.{f.name}".lstrip("."), containers, never) for f in kind.fields if f.name != "source"}
+    kept = F.struct(*(x["source"].alias("source") if n == "source" else F.when(~inner[n][1], inner[n][0]).alias(n) for n in names))
+    paths = F.flatten(F.array(*(p for _, _, p in inner.values()))) if inner else none
+    return F.when(x.isNotNull(), kept), dropped, F.when(dropped, F.array(path)).otherwise(F.coalesce(paths, none))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,35 +10,67 @@ from ..functions.geo import overlap_area
 from ..runtime import components
 
 
-def box_cells(df: DataFrame, step: int) -> DataFrame:
-    """A row per grid cell that the box x0, y0, x1, y1 touches."""
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / step), F.floor(F.col(b) / step))
-    return df.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
+#: Each level's cells are four times as wide as those before; the last level holds boxes of any size.
+LEVELS = 16
+
+
+def _cells(df: DataFrame, step: int, level: Column, corners: tuple[str, str, str, str]) -> DataFrame:
+    """A row per cell of the level that the box touches; at or above its own level these are four at most."""
+    at = df.withColumn("level", level).withColumn("wide", F.lit(step) * F.pow(F.lit(4), F.col("level")).cast("long"))
+    x0, y0, x1, y1 = corners
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / F.col("wide")), F.floor(F.col(b) / F.col("wide")))
+    return at.withColumn("cx", F.explode(span(x0, x1))).withColumn("cy", F.explode(span(y0, y1)))
+
+
+def meeting(left: DataFrame, right: DataFrame, step: int) -> DataFrame:
+    """Pairs of boxes that overlap or touch, once each: left with x0, y0, x1, y1, right with u0, v0, u1, v1 (x0 <= x1, ...).
+
+    A box stands in the grid of the level whose cells are as wide as it is, and looks around in the coarser grids that
+    the other side has boxes in, so it takes four cells a level at most, however large it is.
+    """
+    sides = (left, ("x0", "y0", "x1", "y1")), (right, ("u0", "v0", "u1", "v1"))
+    levelled = []
+    for df, c in sides:
+        longest = F.greatest(F.col(c[2]) - F.col(c[0]), F.col(c[3]) - F.col(c[1]))
+        own = F.when(longest <= step, 0).otherwise(F.least(F.ceil(F.log2(longest / step) / 2), F.lit(LEVELS - 1))).cast("int")
+        levelled.append((df.withColumn("own", own), c))
+    held = [sorted(r[0] for r in df.select("own").distinct().collect()) for df, _ in levelled]  # LEVELS numbers at most
+    parts = []
+    for (home, c), (guest, d), levels, finer in ((levelled[0], levelled[1], held[0], False), (levelled[1], levelled[0], held[1], True)):
+        looked = F.explode(F.filter(F.array(*map(F.lit, levels)) if levels else F.expr("cast(array() as array<int>)"), (lambda x: x > F.col("own")) if finer else (lambda x: x >= F.col("own"))))
+        at_home = _cells(home, step, F.col("own"), c).drop("own", "wide")
+        around = _cells(guest.withColumn("look", looked), step, F.col("look"), d).drop("own", "look")
+        parts.append(at_home.join(around, ["level", "cx", "cy"]))
+    met = parts[0].unionByName(parts[1].select(parts[0].columns))
+    touch = (F.col("x0") <= F.col("u1")) & (F.col("u0") <= F.col("x1")) & (F.col("y0") <= F.col("v1")) & (F.col("v0") <= F.col("y1"))
+    # Of the cells where two meet, the one of their overlap's low corner counts.
+    low = (F.col("cx") == F.floor(F.greatest("x0", "u0") / F.col("wide"))) & (F.col("cy") == F.floor(F.greatest("y0", "v0") / F.col("wide")))
+    return met.where(touch & low).drop("level", "cx", "cy", "wide")
+
+
+def _right(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(*keep, F.col("x0").alias("u0"), F.col("y0").alias("v0"), F.col("x1").alias("u1"), F.col("y1").alias("v1"))
 
 
 def places_in(areas: DataFrame, places: DataFrame, step: int = 100) -> DataFrame:
-    """(area_id, place_id) of points inside boxes, edges included: an equi-join on cells, then the exact test."""
-    cells = box_cells(areas.select("area_id", "x0", "y0", "x1", "y1"), step)
-    points = places.select("place_id", "x", "y", F.floor(F.col("x") / step).alias("cx"), F.floor(F.col("y") / step).alias("cy"))
-    return cells.join(points, ["cx", "cy"]).where("x between x0 and x1 and y between y0 and y1").select("area_id", "place_id")
+    """(area_id, place_id) of points inside boxes, edges included."""
+    points = places.select("place_id", F.col("x").alias("u0"), F.col("y").alias("v0"), F.col("x").alias("u1"), F.col("y").alias("v1"))
+    return meeting(areas.select("area_id", "x0", "y0", "x1", "y1"), points, step).select("area_id", "place_id")
 
 
 def largest_overlap(areas: DataFrame, zones: DataFrame, step: int = 100) -> DataFrame:
     """Per area the zone that shares most of it, sums per zone name, of equals the first by name."""
-    a = box_cells(areas.select("area_id", "x0", "y0", "x1", "y1"), step)
-    z = box_cells(zones.select("zone_id", "zone", "x0", "y0", "x1", "y1"), step).select("zone_id", "zone", F.col("x0").alias("u0"), F.col("y0").alias("v0"), F.col("x1").alias("u1"), F.col("y1").alias("v1"), "cx", "cy")
-    met = a.join(z, ["cx", "cy"]).drop("cx", "cy").distinct()
+    met = meeting(areas.select("area_id", "x0", "y0", "x1", "y1"), _right(zones, "zone_id", "zone"), step)
     shared = overlap_area(*(F.col(c) for c in ("x0", "y0", "x1", "y1", "u0", "v0", "u1", "v1")))
     sums = met.groupBy("area_id", "zone").agg(F.sum(shared.cast("long")).alias("shared")).where("shared > 0")
     best = sums.groupBy("area_id").agg(F.min_by(F.struct("zone", "shared"), F.struct(-F.col("shared"), F.col("zone"))).alias("b"))
     return best.select("area_id", "b.zone", "b.shared")
 
 
-def coverage(requests: DataFrame, researched: DataFrame) -> DataFrame:
+def coverage(requests: DataFrame, researched: DataFrame, step: int = 100) -> DataFrame:
     """Per request (request_id, box) the area of the union of researched boxes in it, by coordinate compression, and its own."""
-    cut = researched.select(F.col("x0").alias("u0"), F.col("y0").alias("v0"), F.col("x1").alias("u1"), F.col("y1").alias("v1"))
-    met = requests.join(cut, (F.col("x0") < F.col("u1")) & (F.col("x1") > F.col("u0")) & (F.col("y0") < F.col("v1")) & (F.col("y1") > F.col("v0")))
-    clip = met.select("request_id", F.greatest("x0", "u0").alias("a0"), F.greatest("y0", "v0").alias("b0"), F.least("x1", "u1").alias("a1"), F.least("y1", "v1").alias("b1")).distinct()
+    met = meeting(requests.select("request_id", "x0", "y0", "x1", "y1"), _right(researched), step)
+    clip = met.select("request_id", F.greatest("x0", "u0").alias("a0"), F.greatest("y0", "v0").alias("b0"), F.least("x1", "u1").alias("a1"), F.least("y1", "v1").alias("b1")).where("a0 < a1 and b0 < b1").distinct()
     # Strips between neighbouring x edges; in each, the union of y intervals by a running maximum.
     edges = clip.select("request_id", F.explode(F.array("a0", "a1")).alias("s0")).distinct()
     strips = edges.withColumn("s1", F.lead("s0").over(W.partitionBy("request_id").orderBy("s0"))).where("s1 is not null")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,26 +10,10 @@ from .functions import geo, hours, prose, serialize, text
 from .functions.licenses import bundleable, bundleable_sql, canonical, canonical_sql, trust_sql
 from .operators import feasibility, merge, network, quarantine, resolve, spatial
 from .plans import curate, lifecycle
+from .registry import ORACLES, QUERIES, query
 from .runtime import shared_dir, staged
 from .sources import scans, wikitext
 from .streaming import ledger
-from .views import oracle, view
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of a loader ``v(name)`` under its own name."""
-
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: view(spark, sf_dir, name))
-        if sql:
-            ORACLES[f.__name__] = oracle(sql)
-        return f
-
-    return register
-
 
 WINDOW = (2821200, 3644200, 2822000, 3644800)
 HAVERSINE = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"
@@ -104,49 +86,18 @@ def s19_event_log(v):
 # ---------------------------------------------------------------- rows
 
 
-@query("""select place_id, case when place_id is null then 'no_id' when x > 2822900 then 'outside' when trim(license) = '' then 'no_license' when name = '' then 'no_name' end as drop_reason from {places}""")
-def p1_drop_reasons(v):
-    reason = F.when(F.col("place_id").isNull(), "no_id").when(F.col("x") > 2822900, "outside").when(F.trim("license") == "", "no_license").when(F.col("name") == "", "no_name")
-    return v("places").select("place_id", reason.alias("drop_reason"))
-
-
-@query("""select site_id, coalesce(min(case when field = 'R' then license end), max(case when field = 'N' then license end)) as license from (select site_id, field, license from {observation}) o group by site_id""")
-def p2_license_pointer(v):
-    own, whole = F.min(F.when(F.col("field") == "R", F.col("license"))), F.max(F.when(F.col("field") == "N", F.col("license")))
-    return v("observation").groupBy("site_id").agg(F.coalesce(own, whole).alias("license"))
-
-
 @query("""select p_partkey, string_agg(c, '|' order by i) as categories from (select p_partkey, c, min(i) as i from (select p_partkey, p_brand as c, 0 as i from {part} union all select p_partkey, p_type, 1 from {part} union all select p_partkey, p_brand, 2 from {part} union all select p_partkey, split_part(p_type, ' ', 1), 3 from {part}) q where c <> '' group by p_partkey, c) w group by p_partkey""")
 def p3_categories(v):
     listed = F.array("p_brand", "p_type", "p_brand", F.split_part("p_type", F.lit(" "), F.lit(1)))
     return v("part").select("p_partkey", F.array_join(F.array_distinct(F.filter(listed, lambda x: x != "")), "|").alias("categories"))
 
 
-@query("""select o_orderkey, concat_ws(',', case when o_orderpriority is not null then 'priority.' || o_orderpriority end, case when o_orderstatus not in ('F') then 'status.' || o_orderstatus end) as categories from {orders}""")
-def p4_tag_categories(v):
-    tags = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"))
-    keys = F.array(F.lit("priority"), F.lit("status"))
-    out = F.filter(F.transform(keys, lambda k: F.when(~F.element_at(tags, k).isin("F"), F.concat(k, F.lit("."), F.element_at(tags, k)))), lambda c: c.isNotNull())
-    return v("orders").select("o_orderkey", F.array_join(F.array_distinct(out), ",").alias("categories"))
-
-
 @query("select c_custkey, nullif(concat_ws(', ', nullif(c_name, ''), nullif(c_mktsegment, ''), cast(c_nationkey as varchar)), '') as address from {customer}")
 def p5_address(v):
     blank = F.lit("")
     return v("customer").select("c_custkey", F.nullif(F.concat_ws(", ", F.nullif("c_name", blank), F.nullif("c_mktsegment", blank), F.col("c_nationkey").cast("string")), blank).alias("address"))
 
 
-@query("select lang as tag, count(*) as n, sum(case when regexp_matches(lang, '^[a-z]{{2,3}}(-[A-Z][a-z]{{3}})?(-([A-Z]{{2}}|[0-9]{{3}}))?$') then 0 else 1 end)::bigint as unusable from {documents} group by lang".replace("{{", "{{").replace("}}", "}}"))
-def p6_name_tags(v):
-    ok = F.col("lang").rlike("^[a-z]{2,3}(-[A-Z][a-z]{3})?(-([A-Z]{2}|[0-9]{3}))?$")
-    return v("documents").groupBy(F.col("lang").alias("tag")).agg(F.count("*").alias("n"), F.sum(F.when(ok, 0).otherwise(1)).alias("unusable"))
-
-
-@query("select s_suppkey, least(greatest(coalesce(round(s_acctbal / 10000, 4), 0.5), 0.0), 1.0) as confidence from {supplier}")
-def p7_confidence(v):
-    return v("supplier").select("s_suppkey", F.least(F.greatest(F.coalesce(F.round(F.col("s_acctbal") / 10000, 4), F.lit(0.5)), F.lit(0.0)), F.lit(1.0)).alias("confidence"))
-
-
 @query("""select kind, case when trim(license) = '' then 'no_license' when license = 'proprietary' then 'refused' else 'kept' end as reason, count(*) as n from {places} group by all""")
 def p8_drop_counters(v):
     reason = F.when(F.trim("license") == "", "no_license").when(F.col("license") == "proprietary", "refused").otherwise("kept")
@@ -186,17 +137,6 @@ def p15_keyed_lists(v):
     return v("conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda t: t["role"]), ">").alias("roles"))
 
 
-@query("select o.o_orderkey, coalesce(c.c_acctbal, 0.0) as balance, c.c_custkey is null as missing from {orders} o left join {customer} c on o.o_custkey = c.c_custkey and c.c_acctbal > 0")
-def p16_fallback_join(v):
-    c = v("customer").where("c_acctbal > 0")
-    return v("orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("c_acctbal", F.lit(0.0)).alias("balance"), F.col("c_custkey").isNull().alias("missing"))
-
-
-@query("select plan_id, stop_order as leg, leg_m, leg_s, leg_m is null or leg_m = 0 as no_route from {stop} where stop_order > 0")
-def p18_stamped_legs(v):
-    return v("stop").where("stop_order > 0").select("plan_id", F.col("stop_order").alias("leg"), "leg_m", "leg_s", (F.col("leg_m").isNull() | (F.col("leg_m") == 0)).alias("no_route"))
-
-
 @query("""select n_name as label from {nation} union select r_name from {region}""")
 def p20_label_text(v):
     return v("nation").select(F.col("n_name").alias("label")).union(v("region").select("r_name")).distinct()
@@ -270,14 +210,6 @@ def f9_path_safety(v):
     return v("pages").select("page_id", path.alias("path")).withColumn("safe", ~bad)
 
 
-@query("""select l_orderkey, l_linenumber, l_partkey, first, least(last, size - 1) as last, first < size as satisfiable from (select distinct l_orderkey, l_linenumber, l_partkey, mod(l_partkey, 90) as first, mod(l_partkey, 90) + mod(l_suppkey, 40) as last, 100 - mod(l_partkey, 50) as size from {lineitem}) q""")
-def f10_byte_ranges(v):
-    header = F.format_string("bytes=%d-%d", F.col("l_partkey") % 90, F.col("l_partkey") % 90 + F.col("l_suppkey") % 40)
-    r = v("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", header.alias("h"), (100 - F.col("l_partkey") % 50).alias("size")).distinct()
-    part = lambda i: F.regexp_extract("h", r"^bytes=(\d+)-(\d+)$", i).cast("long")
-    return r.select("l_orderkey", "l_linenumber", "l_partkey", part(1).alias("first"), F.least(part(2), F.col("size") - 1).alias("last"), (part(1) < F.col("size")).alias("satisfiable"))
-
-
 @query("select plan_id, user_id, status from {plan} where user_id = 7")
 def f11_owner_scope(v):
     return v("plan").where("user_id = 7").select("plan_id", "user_id", "status")
@@ -296,12 +228,6 @@ def f13_rule_precedence(v):
     return v("events").select("event_id", F.substring(F.array_min(rules), 2, 9).alias("action"))
 
 
-@query("select plan_id, count(*) filter (stop_order <> r) as misnumbered, count(*) - count(distinct stop_order) as repeated from (select plan_id, stop_order, row_number() over (partition by plan_id order by stop_order) - 1 as r from {stop}) q group by plan_id")
-def f14_referential(v):
-    s = v("stop").withColumn("r", F.row_number().over(W.partitionBy("plan_id").orderBy("stop_order")) - 1)
-    return s.groupBy("plan_id").agg(F.count(F.when(F.col("stop_order") != F.col("r"), 1)).alias("misnumbered"), (F.count("*") - F.countDistinct("stop_order")).alias("repeated"))
-
-
 @query("select event_id, (case when mod(event_id, 3) = 0 then user_id end is null) <> (case when mod(event_id, 2) = 0 then user_id end is null) as one_target from {events}")
 def f15_one_target(v):
     a, b = F.when(F.col("event_id") % 3 == 0, F.col("user_id")), F.when(F.col("event_id") % 2 == 0, F.col("user_id"))
@@ -433,10 +359,11 @@ def j17_plan_index(v):
 ORDER = f"confidence desc, {trust_sql('kind')}, observed_at desc, kind, src, cast(value as varchar)"
 
 
-@query("select area_id, count(place_id) as n, min(place_id) as first_id from {area} a left join {places} p on p.x between a.x0 and a.x1 and p.y between a.y0 and a.y1 group by area_id")
+@query("select area_id, count(distinct p.place_id) as n, min(observed_at) as first_seen from {area} a left join {places} p on p.x between a.x0 and a.x1 and p.y between a.y0 and a.y1 left join {observation} o on o.site_id = p.place_id group by area_id")
 def a1_site_counts(v):
-    inside = spatial.places_in(v("area"), v("places")).groupBy("area_id").agg(F.count("*").alias("n"), F.min("place_id").alias("first_id"))
-    return v("area").select("area_id").join(inside, "area_id", "left").select("area_id", F.coalesce("n", F.lit(0)).alias("n"), "first_id")
+    seen = v("observation").groupBy(F.col("site_id").alias("place_id")).agg(F.min("observed_at").alias("first"))
+    inside = spatial.places_in(v("area"), v("places")).join(seen, "place_id", "left").groupBy("area_id").agg(F.count("*").alias("n"), F.min("first").alias("first_seen"))
+    return v("area").select("area_id").join(inside, "area_id", "left").select("area_id", F.coalesce("n", F.lit(0)).alias("n"), "first_seen")
 
 
 @query(f"select site_id, field, value, kind, src, confidence, observed_at from (select *, row_number() over (partition by site_id, field order by {ORDER}) as r from {{observation}}) q where r = 1")
@@ -554,16 +481,8 @@ def o1_newest(v):
     return lifecycle.newest(v("plan")).select("plan_id", "created_at", "status")
 
 
-@query("select place_id, row_number() over (order by coalesce(list_position([40, 2, 30, 4], place_id), 4 + place_id + 1)) as rank from {places} where place_id < 60")
+@query("select place_id, row_number() over (order by coalesce(list_position([40, 2, 30, 4], place_id), 4 + place_id + 1)) as rank from {places}")
 def o2_rank_by_list(v):
-    asked = F.array(*(F.lit(k).cast("long") for k in (40, 2, 30, 4)))
-    at = F.nullif(F.array_position(asked, F.col("place_id")), F.lit(0).cast("long"))
-    few = v("places").where("place_id < 60")  # a model's list is short
-    return few.select("place_id", F.row_number().over(W.orderBy(F.coalesce(at, F.col("place_id") + 5))).cast("long").alias("rank"))
-
-
-@query()
-def o2_rank_by_list_whole(v):
     asked = F.array(*(F.lit(k).cast("long") for k in (40, 2, 30, 4)))
     at = F.nullif(F.array_position(asked, F.col("place_id")), F.lit(0).cast("long"))
     keyed = v("places").select("place_id", F.coalesce(at, F.col("place_id") + 5).alias("key"))
@@ -663,10 +582,9 @@ def t10_word_bounds(v):
  b as (select item_id, unnest(list_distinct(list_transform(range(1, len(t) - 19), lambda i: array_to_string(t[i:i+20], ' ')))) as g from (select item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') as t from {benchmark}) q where len(t) >= 21)
  select doc_id, item_id, count(*) as n_runs from d join b using (g) group by all""")
 def t11_verbatim_runs(v):
-    grams = lambda df, key: df.select(key, F.explode(F.array_distinct(text.runs(F.col("t"), 21))).alias("g"))
     docs = v("documents").select("doc_id", text.word_tokens(F.col("text")).alias("t"))
     items = v("benchmark").select("item_id", text.word_tokens(F.col("text")).alias("t"))
-    return grams(docs, "doc_id").join(grams(items, "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_runs"))
+    return text.shared_runs(docs, items, "doc_id", "item_id", 21)
 
 
 @query(r"select doc_id, len(regexp_extract_all(text, '[-+]?[0-9]{{1,3}}\.[0-9]+[ ,;]+[-+]?[0-9]{{1,3}}\.[0-9]+'))::bigint as pairs from {documents}")
@@ -698,12 +616,6 @@ def t15_glyph_ranges(v):
     return t15_ranges(v("documents"))
 
 
-@query(r"""select doc_id, case when not (w between 40 and 220) then 'words' when c > 0 then 'coordinate' end as refused from (select doc_id, len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) as w, len(regexp_extract_all(text, '[-+]?[0-9]{{1,3}}\.[0-9]+[ ,;]+[-+]?[0-9]{{1,3}}\.[0-9]+')) as c from {documents}) q""")
-def t17_post_checks(v):
-    words, pairs = text.word_count(F.col("text")), F.regexp_count("text", F.lit(r"[-+]?[0-9]{1,3}\.[0-9]+[ ,;]+[-+]?[0-9]{1,3}\.[0-9]+"))
-    return v("documents").select("doc_id", F.when(~words.between(40, 220), "words").when(pairs > 0, "coordinate").alias("refused"))
-
-
 @query(r"select distinct lower(split_part(regexp_replace(cmd, '^([A-Z]+=[^ ]* )+', ''), ' ', 1)) as head from (select 'ENV=' || o_orderstatus || ' ' || o_orderpriority as cmd from {orders}) q")
 def t18_rule_heads(v):
     cmd = F.concat(F.lit("ENV="), F.col("o_orderstatus"), F.lit(" "), F.col("o_orderpriority"))
@@ -978,12 +890,6 @@ def t19_event_frames(v):
     return v("events").select("event_id", F.explode(prose.event_frames(stream)).alias("f")).select("event_id", F.col("f.event").alias("event"), F.col("f.data").alias("data"))
 
 
-@query("select n_nationkey, 'el-Latn' as tag, 'Rodos ' || lower(n_name) as name, 0.9::double as confidence from {nation} where mod(n_nationkey, 2) = 0")
-def t9_latin_twins(v):
-    twin = prose.latin_twin(F.lit("el"), F.lit("Ρόδος "), F.col("n_nationkey") % 2 != 0)
-    return v("nation").select("n_nationkey", twin.alias("t"), F.lower("n_name").alias("n")).where("t is not null").select("n_nationkey", F.col("t.tag").alias("tag"), F.concat("t.name", "n").alias("name"), F.col("t.confidence").alias("confidence"))
-
-
 @query()
 def g5_noded_pieces(v):
     return network.noded(_segments(v))
@@ -995,25 +901,14 @@ def g9_graph_verdict(v):
 
 
 def _segments(v):
-    p = v("places")
-    ahead = p.select((F.col("place_id") - 2).alias("place_id"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    return p.join(ahead, "place_id").select(F.col("place_id").alias("seg_id"), F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1")
-
-
-def _network(v):
-    """The edges of ``graph_edge`` over all of lineitem; that view, which g6_components and its SQL share, holds one order in 37."""
-    part, line = F.col("l_partkey") % 997, (F.col("l_suppkey") * 31 + F.col("l_linenumber")) % 499
-    return v("lineitem").select(part.cast("long").alias("u"), (line + 1000).cast("long").alias("v")).distinct()
-
-
-@query()
-def g6b_network_components(v):
-    return spatial.component_sizes(_network(v))
+    """A short way from every place."""
+    k = F.col("place_id")
+    return v("places").select(k.alias("seg_id"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + k * 31 % 61 - 30).alias("x1"), (F.col("y") + k * 17 % 61 - 30).alias("y1"))
 
 
 @query()
 def g10_shortest_paths(v):
-    edges = _network(v).select(F.lit(0).cast("long").alias("graph_id"), "u", "v", (F.col("u") % 7 + 1).cast("double").alias("length"))
+    edges = v("graph_edge").select(F.lit(0).cast("long").alias("graph_id"), "u", "v", (F.col("u") % 7 + 1).cast("double").alias("length"))
     asked = edges.select("graph_id", F.lit(5).cast("long").alias("source"), F.col("v").alias("target")).distinct()
     return network.shortest_paths(edges, asked)
 
@@ -1034,13 +929,8 @@ def t16_wrapped(v):
     return v("benchmark").select("item_id", prose.fenced(prose.wrapped("text")).alias("shown"))
 
 
-@query("select case when mod(place_id, 2) = 0 then 'node/' else 'way/' end || place_id as id, lon, lat, name from {places} where place_id < 500")
+@query("select case when mod(place_id, 2) = 0 then 'node/' else 'way/' end || place_id as id, lon, lat, name from {places}")
 def s6_element_feed(v):
-    return _fed(v("places").where("place_id < 500"))
-
-
-@query()
-def s6_element_feed_whole(v):
     return _fed(v("places"))
 
 
@@ -1061,20 +951,11 @@ def s13_country_polygons(v):
     return both.where(~F.col("zone").isin("ASIA", "NATION_3"))
 
 
-@query("select site_id, coalesce(min_by(license, src * 1000 + value) filter (field = 'N'), min_by(license, src * 1000 + value)) as license from {observation} where site_id < 100 group by site_id having count(distinct src * 1000 + value) = count(*)")
+@query("""select site_id, coalesce(min_by(license, lpad(src::varchar, 3, '0') || lpad(value::varchar, 6, '0') || license) filter (field = 'N'), min_by(license, lpad(src::varchar, 3, '0') || lpad(value::varchar, 6, '0') || license)) as license from {observation} group by site_id""")
 def p2b_first_record_level(v):
-    return _first_records(v("observation").where("site_id < 100"))
-
-
-@query()
-def p2b_first_record_level_whole(v):
-    return _first_records(v("observation"))
-
-
-def _first_records(observation):
-    o = observation.withColumn("at", F.col("src") * 1000 + F.col("value"))
-    record = F.min_by(F.when(F.col("field") == "N", F.col("license")), F.when(F.col("field") == "N", F.col("at")))
-    return o.groupBy("site_id").agg(record.alias("r"), F.min_by("license", "at").alias("s"), F.countDistinct("at").alias("d"), F.count("*").alias("n")).where("d = n").select("site_id", F.coalesce("r", "s").alias("license"))
+    at = F.struct("src", "value", "license")
+    record = F.min_by(F.when(F.col("field") == "N", F.col("license")), F.when(F.col("field") == "N", at))
+    return v("observation").groupBy("site_id").agg(F.coalesce(record, F.min_by("license", at)).alias("license"))
 
 
 @query("select site_id, count(distinct (field, observed_at, md5(kind || '|' || license || '|' || src), md5(cast(value as varchar)))) as keys from {observation} group by site_id")
@@ -1107,3 +988,6 @@ def s16_decoded_paths(v):
 @query()
 def t2_name_agreement(v):
     return resolve.name_agreement(resolve.near_pairs(v("places"), metres=40.0), _names(v)).select("a", "b", F.round("score", 6).alias("score"), "tag")
+
+
+from . import row_queries  # noqa: E402, F401  (registers the queries of rows)

@@ -20,7 +20,11 @@ VIEWS = {
                mod(place_id * 37, 101) as confidence, case when mod(place_id, 3) = 0 then concat('g', cast(mod(place_id, 400) as varchar(20))) end as gers_id, area_key
         from (select c_custkey * 2 as place_id, c_name as name, 2821000 + mod(c_custkey * 7919, 2000) as x, 3644000 + mod(c_custkey * 104729, 1100) as y, c_nationkey as area_key from {customer}
               union all
-              select s_suppkey * 2 + 1, s_name, 2821000 + mod(s_suppkey * 7907, 2000), 3644000 + mod(s_suppkey * 104723, 1100), s_nationkey from {supplier}) q""",
+              select s_suppkey * 2 + 1, s_name, 2821000 + mod(s_suppkey * 7907, 2000), 3644000 + mod(s_suppkey * 104723, 1100), s_nationkey from {supplier}
+              union all
+              select 3000000000 + n_nationkey * 2, concat('Museum of ', n_name), 2821000 + mod(n_nationkey * 7919, 2000), 3644000 + mod(n_nationkey * 104729, 1100), n_nationkey from {nation}
+              union all
+              select 3000000000 + n_nationkey * 2 + 1, concat('museum  of ', lower(n_name)), 2821002 + mod(n_nationkey * 7919, 2000), 3644001 + mod(n_nationkey * 104729, 1100), n_nationkey from {nation}) q""",
     "observation": """
         select l_partkey as site_id, l_returnflag as field, cast(l_quantity as bigint) as value, mod(l_suppkey, 11) as src,
                case mod(l_linenumber, 5) when 0 then 'overture' when 1 then 'osm' when 2 then 'wikivoyage' when 3 then 'user' else 'open_web' end as kind,
@@ -42,7 +46,7 @@ VIEWS = {
                    mod(l_partkey, 3300) as place_id, cast(l_quantity as bigint) as dwell, mod(l_suppkey * 13 + l_linenumber * 97, 1440) as start_min,
                    mod(cast(round(l_extendedprice) as bigint), 5000) as leg_m, mod(cast(round(l_extendedprice) as bigint), 5000) * 9 as leg_s
             from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate from {lineitem} group by all) d) q""",
-    "graph_edge": """select distinct mod(l_partkey, 997) as u, 1000 + mod(l_suppkey * 31 + l_linenumber, 499) as v from {lineitem} where mod(l_orderkey, 37) = 0""",
+    "graph_edge": """select distinct mod(l_partkey, 997) as u, 1000 + mod(l_suppkey * 31 + l_linenumber, 499) as v from {lineitem}""",
     "step": """select plan_id, status, revision from {plan}""",
 }
 
