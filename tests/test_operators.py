@@ -328,7 +328,7 @@ def test_network_queries_take_all_of_lineitem(spark, tmp_path):
                 if a in best:
                     best[b] = min(best.get(b, math.inf), best[a] + u % 7 + 1)
     want = sorted((r, sum(x == r for x in root.values()), sum(root[u] == r for u, _ in edges)) for r in set(root.values()))
-    assert sorted((r.root, r.n_nodes, r.n_edges) for r in QUERIES["g6b_network_components"](spark, str(tmp_path)).collect()) == want
+    assert sorted((r.root, r.n_nodes, r.n_edges) for r in QUERIES["g6_components"](spark, str(tmp_path)).collect()) == want
     got = {r.target: r.length for r in QUERIES["g10_shortest_paths"](spark, str(tmp_path)).collect()}
     assert {k: None if x is None or x != x else x for k, x in got.items()} == {v: best.get(v) for _, v in edges}
 
@@ -343,16 +343,18 @@ def test_name_fold_query_folds_whole_texts(spark, tmp_path):
 
 
 def test_segments_come_from_all_places(spark, tmp_path):
-    """Customers give places 2k, suppliers 2k + 1; each leads to the next of its kind, by brute force over exact crossings."""
+    """Customers give places 2k, suppliers 2k + 1; a short way leads from each, by brute force over exact crossings."""
     from fractions import Fraction
 
     from placeloom.queries import QUERIES
 
-    ids = [*range(195, 235), 901, 902]
+    ids = [*range(195, 235), *range(901, 1400)]
     for table, c, n in (("customer", "c_cust", "c"), ("supplier", "s_supp", "s")):
         spark.createDataFrame([(i, f"n{i}", 1) for i in ids], f"{c}key long, {n}_name string, {n}_nationkey long").write.parquet(str(tmp_path / f"{table}.parquet"))
+    spark.createDataFrame([], "n_nationkey long, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
     at = {2 * i: (2821000 + i * 7919 % 2000, 3644000 + i * 104729 % 1100) for i in ids} | {2 * i + 1: (2821000 + i * 7907 % 2000, 3644000 + i * 104723 % 1100) for i in ids}
-    segments = {i: (*p, *at[i + 2]) for i, p in at.items() if i + 2 in at}
+    segments = {i: (x, y, x + i * 31 % 61 - 30, y + i * 17 % 61 - 30) for i, (x, y) in at.items()}
+    segments = {i: s for i, s in segments.items() if s[:2] != s[2:]}
     near = lambda x: math.floor(x + Fraction(1, 2))
     pieces = set()
     for i, (ax, ay, bx, by) in segments.items():
@@ -382,20 +384,17 @@ def test_whole_feeds_ranks_and_records(spark):
     sf = "/root/testdata/sf0.01"  # ids on both sides of the old bounds
     places = {r.place_id: r for r in view(spark, sf, "places").collect()}
     assert max(places) > 500
-    fed = {r.id: (r.lon, r.lat, r.name) for r in QUERIES["s6_element_feed_whole"](spark, sf).collect()}
+    fed = {r.id: (r.lon, r.lat, r.name) for r in QUERIES["s6_element_feed"](spark, sf).collect()}
     assert fed == {("way/" if i % 2 else "node/") + str(i): (p.lon, p.lat, p.name) for i, p in places.items()}
     asked = [40, 2, 30, 4]
     order = sorted(places, key=lambda i: asked.index(i) + 1 if i in asked else i + 5)
-    got = QUERIES["o2_rank_by_list_whole"](spark, sf).collect()
+    got = QUERIES["o2_rank_by_list"](spark, sf).collect()
     assert {r["rank"]: r.place_id for r in got} == dict(enumerate(order, 1)) and len(got) == len(order)
     sites = {}
     for r in view(spark, sf, "observation").collect():
-        sites.setdefault(r.site_id, []).append((r.src * 1000 + r.value, r.field, r.license))
-    want = {}
-    for site, rows in sites.items():
-        if len({a for a, _, _ in rows}) == len(rows):
-            want[site] = (min((x for x in rows if x[1] == "N"), default=None) or min(rows))[2]
-    assert max(want) >= 100 and {r.site_id: r.license for r in QUERIES["p2b_first_record_level_whole"](spark, sf).collect()} == want
+        sites.setdefault(r.site_id, []).append(((r.src, r.value, r.license), r.field, r.license))
+    want = {site: (min((x for x in rows if x[1] == "N"), default=None) or min(rows))[2] for site, rows in sites.items()}
+    assert max(want) >= 100 and {r.site_id: r.license for r in QUERIES["p2b_first_record_level"](spark, sf).collect()} == want
 
 
 def test_feed_of_many_documents(spark):
