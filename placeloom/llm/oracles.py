@@ -11,12 +11,16 @@ _ALNUM = rf"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2
 
 
 def _quality(alpha: float = 0.02, delta: float = 0.05) -> str:
-    """Features, the exact binomial test of every cutoff, and the verdict."""
-    rate = alpha / len(quality.RULES)
-    tried = " union all ".join(f"select stratum, '{rule}' as rule, {cut}::double as cut, count(*) as n, count(*) filter ({score.replace(' / ', '::double / ')} > {cut}::double) as k from held group by stratum" for rule, (score, grid) in quality.RULES.items() for cut in grid)
-    tests = sum(len(grid) for _, grid in quality.RULES.values())
-    term = f"exp(lgamma(n + 1.0::double) - lgamma(j + 1.0::double) - lgamma(n - j + 1.0::double) + j * ln({rate!r}::double) + (n - j) * ln(1 - {rate!r}::double))"
-    passed = " and ".join(f"coalesce({score.replace(' / ', '::double / ')} <= (select min(cut) from sure s where s.stratum is not distinct from f.stratum and s.rule = '{rule}'), true)" for rule, (score, _) in quality.RULES.items())
+    """Features, proposed cutoffs, the sequence of exact binomial tests, and the verdict."""
+    rules = {rule: (score.replace(" / ", "::double / "), grid) for rule, (score, grid) in quality.RULES.items()}
+    notches = max(len(grid) for _, grid in rules.values())
+    over = ", ".join(f"count(*) filter (proposes and coalesce({score} > {cut}::double, false)) as {rule}_{i}" for rule, (score, grid) in rules.items() for i, cut in enumerate(grid))
+    strictest = ", ".join(f"case when np = 0 then {len(grid)} " + " ".join(f"when {rule}_{i} <= np * {alpha / len(rules)!r} then {i}" for i in range(len(grid))) + f" else {len(grid)} end as at_{rule}" for rule, (_, grid) in rules.items())
+    listed = {rule: "[" + ", ".join(f"{c}::double" for c in grid) + "]" for rule, (_, grid) in rules.items()}
+    rejects = " or ".join(f"coalesce({score} > ({listed[rule]})[at_{rule} + lax + 1], false)" for rule, (score, _) in rules.items())
+    cuts = ", ".join(f"({listed[rule]})[at_{rule} + lax + 1] as cut_{rule}" for rule in rules)
+    passed = " and ".join(f"coalesce({score} <= cut_{rule}, true)" for rule, (score, _) in rules.items())
+    term = f"exp(lgamma(n + 1.0::double) - lgamma(j + 1.0::double) - lgamma(n - j + 1.0::double) + j * ln({alpha!r}::double) + (n - j) * ln(1 - {alpha!r}::double))"
     return rf"""with d as (select doc_id, lang as stratum, coalesce(text, '') as t, {_WORDS} as w from documents),
  windows as (select doc_id, i, array_to_string(w[i:i+2], ' ') as g from d, lateral (select unnest(range(1, len(w) - 1)) as i) r),
  again as (select doc_id, unnest([i, i + 1, i + 2]) as i from windows join (select doc_id, g from windows group by all having count(*) > 1) x using (doc_id, g)),
@@ -25,10 +29,15 @@ def _quality(alpha: float = 0.02, delta: float = 0.05) -> str:
   (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_SPACED}'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_SPACED}')))))::bigint as n_dup_lines,
   coalesce(n_repeat_words, 0)::bigint as n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_capitals, length(regexp_replace(t, '[^!?|]', '', 'g')) as n_marks,
   len(w) < 50 or 100 * coalesce(n_repeat_words, 0) > 50 * len(w) as base_failed from d left join repeats using (doc_id)),
- held as (select * from f where not base_failed and doc_id in (select doc_id from labels group by doc_id having min(quality) = 1)),
- tried as ({tried}),
- sure as (select * from tried where k < n * {rate!r} and list_sum(list_transform(range(0, k + 1), lambda j: {term})) <= {delta} / ({tests} * (select count(distinct coalesce('=' || stratum, '')) from held)))
- select doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and ({passed}) as kept from f"""
+ held as (select *, {quality.PROPOSES} as proposes from f where not base_failed and doc_id in (select doc_id from labels group by doc_id having min(quality) = 1)),
+ sizes as (select stratum, count(*) filter (not proposes) as n from held group by stratum), risk as (select {delta}::double / (count(*) + 1) as level from sizes),
+ groups as (select stratum, case when n < ln(level) / ln(1 - {alpha}::double) then 'pool' else coalesce('=' || stratum, '') end as g from sizes, risk),
+ pooled as (select held.*, g from held join groups on held.stratum is not distinct from groups.stratum),
+ counted as (select g, count(*) filter (proposes) as np, {over} from pooled group by g), proposed as (select g, {strictest} from counted),
+ tested as (select g, lax, count(*) as n, count(*) filter ({rejects}) as k from pooled join proposed using (g), (select unnest(range(0, {notches})) as lax) l where not proposes group by g, lax),
+ sure as (select g, min(lax) as lax from tested, risk where k < n * {alpha}::double and list_sum(list_transform(range(0, k + 1), lambda j: {term})) <= level group by g),
+ cut as (select stratum, {cuts} from groups join proposed using (g) join sure using (g))
+ select doc_id, f.stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and ({passed}) as kept from f left join cut on f.stratum is not distinct from cut.stratum"""
 
 
 ORACLES = {

@@ -3,15 +3,13 @@
 Words are runs of ``[^\\x20\\x09-\\x0D]``.  A document fails the base rules with under 50 words, or with over
 half of its words in 3-word windows found twice or more.  Of the rest, each rule (a score and a cutoff per
 stratum) rejects what scores above its cutoff.  Cutoffs come from a fixed grid.  The labelled good documents
-that pass the base rules are the holdout: a cutoff is certified if the exact binomial probability of as few
-rejected ones, were the true false-rejection rate ``alpha / rules``, is at most ``delta / tests`` (Bonferroni
-over rules, grid and strata).  Each rule takes its least certified cutoff, or none; so with probability
-``1 - delta`` at most ``alpha`` of the good documents of any stratum are rejected.
-
-``keep_good`` spends the same guarantee on one sequence of tests a stratum: a quarter of the holdout proposes a
-cutoff per rule, the rest tests all rules at once at the full ``alpha``, from cutoffs laxer by whole notches of
-the grid to those proposed, at ``delta`` over the strata.  Strata whose holdout could not certify even a rule
-without rejections are one pool, and the guarantee holds for the pool.
+that pass the base rules are the holdout.  A quarter of it proposes a cutoff per rule, the strictest one that
+rejects its share of the risk there.  The rest tests all rules at once, at the full ``alpha``, in a fixed sequence:
+from cutoffs laxer than those proposed by whole notches of the grid to those proposed.  A test passes if the exact
+binomial probability of as few rejected ones, were the true rate of false rejections ``alpha``, is at most ``delta``
+over the strata (Bonferroni over these; a fixed sequence needs none).  So with probability ``1 - delta`` at most
+``alpha`` of the good documents of any stratum are rejected, by all rules together.  Strata whose holdout could not
+certify even rules without rejections are one pool, and the guarantee holds for the pool.
 
 Null texts count as empty, a null stratum is a stratum of its own, a document with any bad label is no good
 one, unlabelled strata get no cutoffs, an empty table gives an empty result.  Rows are judged one by one;
@@ -86,25 +84,15 @@ def binomial_tail(k: str, n: str, p: float) -> str:
     return f"least(1D, exp({log_term}) * {total})"
 
 
+#: Which labelled documents propose cutoffs, in SQL: a quarter, by an order of ids that their own has no part in.
+PROPOSES = "(doc_id % 1000003 + 1000003) % 1000003 * 7919 % 1000003 % 4 = 0"
+
+
 def cutoffs(scored: DataFrame, labels: DataFrame, stratum: str = "stratum", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """(stratum, a cutoff column per rule, null for none).  ``scored``: doc_id, stratum, features, base_failed."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    held = scored.where("not base_failed").join(good, "doc_id")
-    sums = [F.sum(F.expr(f"if({score} > {cut}D, 1L, 0L)")).alias(f"{rule}_{i}") for rule, (score, grid) in RULES.items() for i, cut in enumerate(grid)]
-    counted = staged(held.groupBy(stratum).agg(F.count("*").alias("n"), *sums))
-    tests = max(1, counted.count() * sum(len(g) for _, g in RULES.values()))
-    listed = F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cut"), F.col(f"{rule}_{i}").alias("k")) for rule, (_, grid) in RULES.items() for i, cut in enumerate(grid))))
-    rate = alpha / len(RULES)
-    tried = counted.select(stratum, "n", listed.alias("x")).select(stratum, "n", "x.*")
-    sure = tried.where(F.expr(f"k < n * {rate}D")).where(F.expr(f"{binomial_tail('k', 'n', rate)} <= {delta / tests!r}D"))
-    return sure.groupBy(stratum).agg(*(F.min(F.when(F.col("rule") == rule, F.col("cut"))).alias(f"cut_{rule}") for rule in RULES))
-
-
-def tested_cutoffs(scored: DataFrame, labels: DataFrame, stratum: str = "stratum", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """As ``cutoffs``, all rules together in a fixed sequence of tests, small strata pooled."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     flags = [F.expr(f"coalesce({score} > {cut}D, false)").alias(f"{rule}_{i}") for rule, (score, grid) in RULES.items() for i, cut in enumerate(grid)]
-    held = staged(scored.where("not base_failed").join(good, "doc_id").select(F.col(stratum).alias("_s"), (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("proposes"), *flags))
+    held = staged(scored.where("not base_failed").join(good, "doc_id").select(F.col(stratum).alias("_s"), F.expr(PROPOSES).alias("proposes"), *flags))
     sizes = staged(held.groupBy("_s").agg(F.count_if(~F.col("proposes")).alias("n")))
     n_strata = sizes.count()
     level = delta / (n_strata + 1)
@@ -126,9 +114,9 @@ def tested_cutoffs(scored: DataFrame, labels: DataFrame, stratum: str = "stratum
     return groups.join(proposed.join(sure, "g"), "g").select(F.col("_s").alias(stratum), *cuts)
 
 
-def judge(scored: DataFrame, labels: DataFrame, stratum: str = "stratum", alpha: float = 0.02, delta: float = 0.05, find=cutoffs) -> DataFrame:
+def judge(scored: DataFrame, labels: DataFrame, stratum: str = "stratum", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """``scored`` (staged, as it is read twice) with ``kept``."""
-    found = staged(find(scored, labels, stratum, alpha, delta))
+    found = staged(cutoffs(scored, labels, stratum, alpha, delta))
     few = found.limit(MOST_STRATA + 1).count() <= MOST_STRATA
     right = found.withColumnRenamed(stratum, "_stratum")
     joined = scored.join(F.broadcast(right) if few else right, scored[stratum].eqNullSafe(F.col("_stratum")), "left")
@@ -146,4 +134,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: fl
     """The rows of ``docs`` that are kept, whole."""
     whole = docs.select(F.struct("*").alias("row"), "doc_id", "lang", "text")
     scored = staged(features(whole, "row", "doc_id", "lang").withColumnRenamed("lang", "stratum"))
-    return judge(scored, labels, "stratum", alpha, delta, tested_cutoffs).where("kept").select("row.*")
+    return judge(scored, labels, "stratum", alpha, delta).where("kept").select("row.*")

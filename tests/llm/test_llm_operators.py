@@ -285,6 +285,45 @@ def test_cutoffs_hold_the_risk(spark):
     assert quality.judge(scored, few).where("not kept").count() == 0  # too few labels certify nothing
 
 
+def test_verdicts_are_those_of_plain_tests(spark):
+    """Strata of their own levels, two of them pooled: cutoffs differ, good documents are rejected too, as exact binomial sums say."""
+    rng = random.Random(21)
+    rows = []
+    for lang, n, symbols, capitals in (("en", 2600, 9, 0.15), ("de", 900, 24, 0.04), ("es", 130, 12, 0.1), (None, 110, 12, 0.1)):
+        for _ in range(n):
+            good = rng.random() < 0.9
+            k = 40 if good and rng.random() < 0.003 else symbols if good and rng.random() < 0.02 else rng.randrange(4) if good else rng.randrange(50, 95)
+            rows.append((len(rows), lang, 100, 500, k, 0, 0, int(500 * capitals * rng.random()) if good else 300, 0, rng.random() < 0.1, good))
+    columns = ("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_marks", "base_failed")
+    scored = spark.createDataFrame([r[:-1] for r in rows], "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_capitals long, n_marks long, base_failed boolean")
+    labels = spark.createDataFrame([(r[0], int(r[-1])) for r in rows], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in quality.judge(scored, labels).collect()}
+
+    alpha, delta, grids = 0.02, 0.05, {k: g for k, (_, g) in quality.RULES.items()}
+    score = lambda r: (lambda d: {k: eval(e, {}, d) for k, (e, _) in quality.RULES.items()})(dict(zip(columns, r)))  # noqa: E731, S307
+    held = [r for r in rows if not r[-2] and r[-1]]
+    proposes = lambda r: r[0] % 1000003 * 7919 % 1000003 % 4 == 0
+    strata = {r[1] for r in held}
+    level = delta / (len(strata) + 1)
+    pool = {x for x in strata if sum(r[1] == x and not proposes(r) for r in held) < math.log(level) / math.log(1 - alpha)}
+    found = {}
+    for group in [{x} for x in strata - pool] + [pool]:
+        mine = [(proposes(r), score(r)) for r in held if r[1] in group]
+        first, rest = [s for p, s in mine if p], [s for p, s in mine if not p]
+        at = {k: next((i for i, c in enumerate(g) if sum(s[k] > c for s in first) <= len(first) * alpha / len(grids)), len(g)) for k, g in grids.items()}
+        cut = lambda k, lax: grids[k][at[k] + lax] if at[k] + lax < len(grids[k]) else math.inf  # noqa: E731, B023
+        for lax in range(6):
+            n, k = len(rest), sum(any(s[r] > cut(r, lax) for r in grids) for s in rest)
+            if k < n * alpha and sum(math.comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(k + 1)) <= level:
+                found |= {x: {r: cut(r, lax) for r in grids} for x in group}
+                break
+    want = {r[0]: not r[-2] and all(v <= found.get(r[1], {}).get(k, math.inf) for k, v in score(r).items()) for r in rows}
+    assert got == want
+    rejected = [r for r in rows if not r[-2] and not want[r[0]]]
+    assert len({tuple(c.values()) for c in found.values()}) > 1 and pool == {"es", None}
+    assert 0 < sum(r[-1] for r in rejected) <= 0.02 * len(held) and sum(not r[-1] for r in rejected) > 200
+
+
 def test_small_strata_get_cutoffs(spark):
     """Some hundred labels a language, and a pool of smaller languages, certify what rejects junk; good documents stay."""
     good = [(lang, "".join(f"w{i}{j}{lang} " for j in range(60)) + "# " * (i % 3)) for lang, n in (("en", 900), ("es", 400), ("it", 180), (None, 180)) for i in range(n)]
