@@ -236,6 +236,8 @@ def test_clashing_names_survive(spark):
     rows = [(1, "a b c d e f", 7, 8, 9), (2, "a b c d e f", 7, 8, 9), (3, None, 7, 8, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _key long, _row long, row_key long")
     assert sorted(map(tuple, chosenpath.keep_one(docs).collect())) == [rows[0], rows[2]]
+    spans = spark.createDataFrame([(1, "mail a@b.org now", 7, 8, 9, 1, "s"), (2, None, 7, 8, 9, 1, None)], "doc_id long, text string, _key long, _row long, row_key long, step int, spans string")
+    assert sorted(map(tuple, pii.sanitise(spans).collect())) == [(1, "mail [EMAIL] now", 7, 8, 9, 1, "s"), (2, None, 7, 8, 9, 1, None)]
 
 
 def test_keep_one(docs):
@@ -384,6 +386,63 @@ def test_pii_terms_of_values_met_once(spark):
     assert all(r.n_term == (i < 12) for i, r in found.items()) and "term:4:10" in found[0].spans.split(",")
 
 
+def test_pii_of_a_very_long_line(spark):
+    """One line of 50,000 addresses, twice and once more with a word: spans and cleaned text are those of plain patterns."""
+    line = " ".join(f"a{i}@b{i % 7}.org" + (f" 10.0.0.{i % 250}" if i % 3 == 0 else "") for i in range(50_000))
+    docs = spark.createDataFrame([(1, line), (1, line), (2, line + " x"), (3, "hello a5@b5.org")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pii_report(docs).collect()}
+    want = base_spans(line)
+    assert got[1].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in want).encode()).hexdigest() and got[1].n_email == 50_000
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[1] == re.sub(r"10\.0\.0\.\d+", "[IP]", re.sub(r"a\d+@b\d\.org", "[EMAIL]", line)) and clean[3] == "hello [EMAIL]"
+
+
+def test_pii_terms_by_brute_force(spark):
+    """Random texts of few words and values: the terms are those that counts in plain Python disclose."""
+    rng = random.Random(9)
+    people = [f"p{i}@{d}.org" for i in range(5) for d in ("x", "y")] + ["9.9.9.1", "9.9.9.2", "+49 30 123 4567 8"]
+    rows = []
+    for i in range(160):
+        words = [rng.choice("the of and to in".split()) for _ in range(6)]
+        if rng.random() < 0.4:
+            who = rng.choice(people)
+            words += [who, "desk" + re.sub("[^a-z0-9]", "", who)[:4]] + (["mailto"] if "@" in who else []) + ([f"rare{rng.randrange(12)}"])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    rows += [(500, rows[0][1]), (501, None)]
+    spans = {i: base_spans(t) for i, t in rows}
+
+    def entities(text):
+        for a, _, kind, b in base_spans(text):
+            value = text[a:b].lower()
+            digits = re.sub("[^0-9]", "", value)
+            yield True, (kind, "value", digits if kind in ("card", "phone") else value)
+            wider = {"email": [("local", value.split("@")[0]), ("domain", value.split("@")[-1])], "ip": [("net", ".".join(value.split(".")[:3]))], "card": [("issuer", digits[:6])], "phone": [("prefix", digits[:-7])]}[kind]
+            for part in [*wider, ("class", "")]:
+                yield False, (kind, *part)
+
+    texts = {t for i, t in rows if spans[i]}
+    held = collections.defaultdict(set)
+    for t in texts:
+        for own, e in entities(t):
+            held[own, e].add(t)
+    n_term = collections.Counter(w for _, t in rows for w in set((t or "").split()))
+    risky = collections.defaultdict(set)
+    for (own, e), at in held.items():
+        for word, both in collections.Counter(w for t in at for w in set(t.split())).items():
+            need = 2 if own else 10
+            pmi = math.log2(both * len(rows) / (len(at) * n_term[word]))
+            if both >= need and len(at) >= need and pmi > 0 and pmi >= 0.9 * math.log2(len(rows) / len(at)):
+                risky[e].add(word)
+    want = {}
+    for i, t in rows:
+        bad = set().union(*(risky[e] for _, e in entities(t))) if spans[i] else set()
+        places = [(m.start(), m.end()) for m in WORD.finditer(t or "") if m[0] in bad]
+        want[i] = sorted((a, b) for a, b in places if not any(a < d and b > c for c, _, _, d in spans[i]))
+    got = {r.doc_id: sorted((x["start"], x["end"]) for x in r.terms) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(map(len, want.values())) > 30
+
+
 def test_pii_recall_of_sanitised_text(spark):
     rows = list(enumerate(PII_TEXTS))
     clean = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
