@@ -8,7 +8,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +59,28 @@ def graph_verdict(pieces: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("components"), F.sum("n").alias("pieces"), F.max("n").alias("kept"))
 
 
+def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """From a point to the nearest point of a segment."""
+    dx, dy = bx - ax, by - ay
+    along = F.coalesce(((px - ax) * dx + (py - ay) * dy) / F.nullif((dx * dx + dy * dy).cast("double"), F.lit(0.0)), F.lit(0.0))
+    t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
+    return F.sqrt(F.pow(px - ax - t * dx, F.lit(2)) + F.pow(py - ay - t * dy, F.lit(2)))
+
+
+def snaps(points: DataFrame, segments: DataFrame, reach: int, step: int = 256) -> DataFrame:
+    """(key, seg_id, distance) of the segments within reach of points (key, x, y): boxes that meet, then the exact distance."""
+    around = points.select("key", F.col("x").alias("px"), F.col("y").alias("py"), (F.col("x") - reach).alias("x0"), (F.col("y") - reach).alias("y0"), (F.col("x") + reach).alias("x1"), (F.col("y") + reach).alias("y1"))
+    boxed = segments.select("seg_id", F.col("x0").alias("ax"), F.col("y0").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by"), F.least("x0", "x1").alias("u0"), F.least("y0", "y1").alias("v0"), F.greatest("x0", "x1").alias("u1"), F.greatest("y0", "y1").alias("v1"))
+    far = segment_distance(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")))
+    return meeting(around, boxed, step).withColumn("distance", far).where(F.col("distance") <= reach).select("key", "seg_id", "distance")
+
+
+def nearest_edges(points: DataFrame, segments: DataFrame, reach: int) -> DataFrame:
+    """Per point the nearest segment within reach, of equals the least: (key, seg_id, distance)."""
+    near = snaps(points, segments, reach).groupBy("key").agg(F.min(F.struct("distance", "seg_id")).alias("n"))
+    return near.select("key", "n.seg_id", "n.distance")
+
+
 def shortest_paths(edges: DataFrame, asked: DataFrame) -> DataFrame:
     """(graph_id, source, target, length) by Dijkstra per graph (one area's network); null where no path leads."""
 

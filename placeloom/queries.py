@@ -324,10 +324,18 @@ def j11_pre_without_post(v):
     return e.where("event_type = 'click'").join(e.where("event_type = 'purchase'").select("user_id", "day").distinct(), ["user_id", "day"], "left_anti").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("select zone_id, min_by(place_id, abs(x - x0) * 10000000 + place_id) as place_id from {zone}, {places} group by zone_id")
+_SEGMENTS = "s as (select place_id as seg_id, area_key, x as x0, y as y0, x + mod(place_id * 31, 61) - 30 as x1, y + mod(place_id * 17, 61) - 30 as y1 from {places})"
+_SNAPS = """n as (select zone_id, seg_id, area_key, sqrt(pow(px - x0 - t * (x1 - x0), 2) + pow(py - y0 - t * (y1 - y0), 2)) as distance from (select zone_id, z.x0 + 150 as px, z.y0 + 300 as py, s.*,
+ least(greatest(coalesce(((z.x0 + 150 - s.x0) * (s.x1 - s.x0) + (z.y0 + 300 - s.y0) * (s.y1 - s.y0)) / nullif(((s.x1 - s.x0) * (s.x1 - s.x0) + (s.y1 - s.y0) * (s.y1 - s.y0))::double, 0), 0), 0), 1) as t from {zone} z, s) q)"""
+
+
+def _anchors(v):
+    return v("zone").select(F.col("zone_id").alias("key"), (F.col("x0") + 150).alias("x"), (F.col("y0") + 300).alias("y"))
+
+
+@query(f"with {_SEGMENTS}, {_SNAPS} select zone_id as key, min_by(seg_id, distance * 1e12 + seg_id) as seg_id, round(min(distance), 6) as distance from n where distance <= 400 group by zone_id")
 def j13_nearest_edge(v):
-    z = v("zone").select("zone_id", "x0")  # of fixed size
-    return v("places").select("place_id", "x").join(F.broadcast(z), F.lit(True)).groupBy("zone_id").agg(F.min_by("place_id", F.struct(F.abs(F.col("x") - F.col("x0")), F.col("place_id"))).alias("place_id"))
+    return network.nearest_edges(_anchors(v), _segments(v), 400).select("key", "seg_id", F.round("distance", 6).alias("distance"))
 
 
 @query("select d.lang, g.g as glyph_range from (select distinct lang from {documents}) d, (select unnest(range(0, 40)) as g) g where not exists (select 1 from (select lang, unnest(list_distinct(list_transform(string_split(text, ''), lambda c: cast(floor(unicode(c) / 256) as bigint)))) as r from {documents}) u where u.lang = d.lang and u.r = g.g)")
@@ -472,8 +480,10 @@ def w4_routable_pairs(v):
 
 @query("select area_key, round(sum(d), 1) as length_m from (select area_key, " + HAVERSINE.format(a="", b="n").replace("nlat", "nlat").replace("nlon", "nlon") + " as d from (select area_key, lon, lat, lead(lon) over w as nlon, lead(lat) over w as nlat from {places} window w as (partition by area_key order by place_id)) q where nlon is not null) s group by area_key")
 def w5_path_length(v):
-    path = v("places").groupBy("area_key").agg(F.array_sort(F.collect_list(F.struct("place_id", "lon", "lat"))).alias("path"))
-    return path.where("size(path) > 1").select("area_key", F.round(geo.path_length_m(F.col("path")), 1).alias("length_m"))
+    along = W.partitionBy("area_key").orderBy("place_id")
+    ahead = v("places").select("area_key", "lon", "lat", F.lead("lon").over(along).alias("to_lon"), F.lead("lat").over(along).alias("to_lat")).where("to_lon is not null")
+    length = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("to_lon"), F.col("to_lat"))
+    return ahead.groupBy("area_key").agg(F.round(F.sum(length), 1).alias("length_m"))
 
 
 @query("select plan_id, created_at, status from {plan} order by created_at desc, plan_id desc limit 50")
@@ -512,9 +522,9 @@ def u2_bag_union(v):
 
 @query("select a.source, string_agg(a.lang, ',' order by a.lang) as shared from (select distinct source, lang from {documents}) a join (select distinct lang from {documents} where source = 'src0') b using (lang) group by a.source")
 def u3_key_intersection(v):
-    sets = v("documents").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
-    one = sets.where("source = 'src0'").select(F.col("langs").alias("other"))  # one row
-    return sets.join(F.broadcast(one), F.lit(True)).select("source", F.array_join(F.array_sort(F.array_intersect("langs", "other")), ",").alias("shared"))
+    held = v("documents").select("source", "lang").distinct()
+    wanted = held.where("source = 'src0'").select("lang")
+    return held.join(wanted, "lang", "left_semi").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("shared"))
 
 
 # ---------------------------------------------------------------- geometry, graphs
@@ -807,14 +817,13 @@ def p19_candidate_json(v):
     return v("places").select("place_id", F.to_json(F.struct("kind", point.alias("value"))).alias("candidate"))
 
 
-@query("""with snap as (select zone_id as anchor, area_key as root, min(abs(x - x0) + abs(y - y0)) as snap from {zone}, {places} group by all), size as (select area_key as root, count(*) as n_nodes from {places} group by area_key),
- whole as (select root, sum(snap)::bigint as total, count(*) as n from snap group by root) select root, n_nodes, total from whole join size using (root) where n = 5 order by total, n_nodes desc, root limit 1""")
+@query(f"""with {_SEGMENTS}, {_SNAPS}, size as (select area_key as root, count(*) as n_nodes from s group by area_key), snap as (select zone_id, area_key as root, min(distance) as snap from n where distance <= 900 group by all),
+ whole as (select root, round(sum(snap), 3) as total, count(*) as n from snap group by root) select root, n_nodes, total from whole join size using (root) where n = (select count(*) from {{zone}}) order by total, n_nodes desc, root limit 1""")
 def j12_serving_component(v):
-    p = v("places").select(F.col("area_key").alias("root"), "x", "y")
-    size = p.groupBy("root").agg(F.count("*").alias("n_nodes"))
-    met = p.join(F.broadcast(v("zone").select(F.col("zone_id").alias("anchor"), "x0", "y0")), F.lit(True))  # five anchors
-    near = met.groupBy("anchor", "root").agg(F.min(F.abs(F.col("x") - F.col("x0")) + F.abs(F.col("y") - F.col("y0"))).alias("snap"))
-    return spatial.serving_component(near.join(size, "root"), 5)
+    owner = v("places").select(F.col("place_id").alias("seg_id"), F.col("area_key").alias("root"))
+    size = owner.groupBy("root").agg(F.count("*").alias("n_nodes"))
+    near = network.snaps(_anchors(v), _segments(v), 900).join(owner, "seg_id").groupBy(F.col("key").alias("anchor"), "root").agg(F.min("distance").alias("snap"))
+    return spatial.serving_component(near.join(size, "root"), v("zone").count()).select("root", "n_nodes", F.round("total", 3).alias("total"))
 
 
 @query("select n_nationkey, case mod(n_nationkey, 4) when 0 then 'Latn' when 1 then 'Grek' when 2 then 'Cyrl' end as script from {nation}")

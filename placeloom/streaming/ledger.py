@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LEDGER_KEY = ["site_id", "field", "observed_at", "source_md5", "value_md5"]
+#: Folders of a batch, by a hash of the key: a batch reads those of the stored ledger that its own keys fall in.
+SLOTS = 256
 
 
 def append_stream(stream: DataFrame, folder: str, checkpoint: str):
@@ -17,11 +19,12 @@ def append_stream(stream: DataFrame, folder: str, checkpoint: str):
         spark = batch.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        new = batch.dropDuplicates(LEDGER_KEY)
+        new = batch.dropDuplicates(LEDGER_KEY).withColumn("slot", F.pmod(F.xxhash64(*LEDGER_KEY), F.lit(SLOTS)).cast("int"))
         if fs.exists(path):
-            had = spark.read.parquet(folder).where(F.col("batch") != epoch)
+            touched = [r.slot for r in new.select("slot").distinct().collect()]  # SLOTS numbers at most
+            had = spark.read.parquet(folder).where((F.col("batch") != epoch) & F.col("slot").isin(touched))
             new = new.join(had.select(*LEDGER_KEY), LEDGER_KEY, "left_anti")
-        new.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch={epoch}")
+        new.write.mode("overwrite").partitionBy("slot").parquet(f"{folder.rstrip('/')}/batch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
 
