@@ -465,6 +465,10 @@ def test_token_shards_round_trip(docs, spark, tmp_path):
     assert got == want
     shards = spark.read.parquet(folder).orderBy("shard").collect()
     assert len(shards) > 4
+    token = collections.Counter(every).most_common(3)[2][0]
+    held = sorted((order(i), k) for i, t in ROWS for k, x in enumerate([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]) if x == token)
+    assert sorted((order(r.doc_id), r.place) for r in tokens.occurrences(spark, folder, token).collect()) == held and len(held) > 50
+    assert tokens.occurrences(spark, folder, 49_000).count() == every.count(49_000)
     read = [tokens.WaveletMatrix.from_bytes(bytes(s.blob))[0] for s in shards]
     assert np.concatenate([m.ids() for m in read]).tolist() == every
 
@@ -653,6 +657,50 @@ def test_url_filters(spark):
     assert [got[k][3] for k in (22, 23, 24)] == ["block"] * 3 and got[25][3] == "allow" and got[27][3] == "block"
 
 
+def test_linked_pages_by_sql_and_union_find(spark, tmp_path):
+    """1,200 pages in chains, stars and rings of canonical links and refreshes, some under a rule."""
+    import duckdb
+
+    rng = random.Random(13)
+    hosts = ["a.net", "b.net", "M.example.org", "x.com", "y.org", "c.io"]
+    url = lambda i: f"http://{hosts[i % 6]}/{('de', 'es', 'fr', 'q')[i // 6 % 4]}/{i}"
+    rows, parent = [], list(range(1200))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(1200):
+        to = rng.choice((None, i - 1, i // 7, rng.randrange(1200), i))
+        html_text = "" if to is None else f'<link rel="canonical" href="{url(to)}#x">' if rng.random() < 0.5 else f"<meta http-equiv=refresh content='0; url={url(to).replace('http:', 'https:')}'>"
+        if rng.random() < 0.7:
+            html_text, to = "<p>none</p>", None
+        rows.append((i, url(i), html_text))
+        if to is not None:
+            parent[find(i)] = find(to)
+    pages = spark.createDataFrame([*rows, (5000, None, None), (5001, url(3), None)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    columns = ("page_id", "host", "path", "rule", "verdict")
+    got = sorted((tuple(r[c] for c in columns) for r in queries.op9_url_filters(spark, str(tmp_path)).collect()), key=repr)
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted((tuple(r) for r in con.sql(f"select {', '.join(columns)} from ({queries.ORACLES['op9_url_filters']})").fetchall()), key=repr)
+
+    def ruled(i):
+        host, path = hosts[i % 6].lower(), "/" + url(i).split("/", 3)[3]
+        fits = [(len(h + p), a) for a, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    said = collections.defaultdict(set)
+    for i in range(1200):
+        said[find(i)].add(ruled(i))
+    want = {i: ruled(i) or ("block" if "block" in said[find(i)] and "allow" not in said[find(i)] else "allow") for i in range(1200)}
+    assert {r[0]: r[4] for r in got if r[0] < 1200} == want
+    carried = [i for i in want if ruled(i) is None and want[i] == "block"]
+    assert len(carried) > 10
+
+
 def test_explicit_allow_goes_first(spark):
     rows = [(1, "http://a.net/1", '<link rel=canonical href="http://x.com/de/1">'), (2, "http://a.net/2", '<link rel=canonical href="http://x.com/de/1">'), (3, "http://good.org/p", '<link rel=canonical href="http://a.net/2">')]
     got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
