@@ -113,6 +113,8 @@ def gather(wide: DataFrame, sets_of, sketch_of, coordinates: int, num: int, den:
     each = near.select("sid", "centre").distinct()
     texts = sets_of(each.select("sid").distinct())
     once = centres.groupBy("centre").agg(F.first("centre_set").alias("centre_set"))
+    if (once.agg(F.sum(F.length("centre_set"))).first()[0] or 0) <= LIGHT:
+        once = F.broadcast(once)
     members = each.join(texts, "sid").join(once, "centre").select("sid", "centre", "set", "centre_set")
     members = staged(members.mapInArrow(_differences(num, den), "sid long, centre long, c long, u long, inner boolean, differences binary"))
     leave = near.join(members.where("inner").select("sid", "centre"), ["sid", "centre"]).select("sid", "node").distinct()

@@ -146,7 +146,7 @@ def _sized(nodes: DataFrame) -> DataFrame:
 def leaves(reps: DataFrame, sets_of, runs: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
     """((sid, leaf, members) of leaves with two members or more, members of dense groups or None)."""
     nodes = staged(reps.select("sid", F.lit(0).cast("long").alias("node"), "sketch").mapInArrow(_split(runs), "sid long, node long"))
-    found, groups = [], []
+    found, groups, dense = [], [], None
     for depth in range(DEPTH + 1):
         now = _sized(nodes)
         found.append(now.where(F.col("members") <= LEAF))
@@ -154,9 +154,14 @@ def leaves(reps: DataFrame, sets_of, runs: int, num: int, den: int) -> tuple[Dat
         if not big.limit(1).count():
             break
         wide = staged(big.join(reps.select("sid", "sketch"), "sid").select("sid", "node", "members", "sketch"))
-        members, leave = gather(wide, sets_of, sketch_of, COORDINATES, num, den)
+        if dense is None:  # later nodes are parts of these
+            dense = staged(sets_of(wide.select("sid").distinct()))
+        members, leave = gather(wide, lambda wanted: dense.join(wanted, "sid"), sketch_of, COORDINATES, num, den)
         groups.append(members)
-        rest = _sized(big.join(leave, ["sid", "node"], "left_anti").select("sid", "node"))
+        # Only nodes that some leave are counted anew.
+        leave = staged(leave)
+        touched = leave.select("node").distinct()
+        rest = staged(big.join(touched, "node", "left_anti").unionByName(_sized(big.join(touched, "node", "left_semi").join(leave, ["sid", "node"], "left_anti").select("sid", "node")).select(big.columns)))
         found.append(rest if depth == DEPTH else rest.where(F.col("members") <= LEAF))
         big = rest.where(F.col("members") > LEAF)
         if depth == DEPTH or not big.limit(1).count():
