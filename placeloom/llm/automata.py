@@ -92,7 +92,12 @@ def classes(items: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: in
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW_WORDS, keep_text: bool = False) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, n_spans, kept_sha256 (and kept_text): words of windows that an earlier document holds are removed."""
+    """Per row: doc_id, n_words, n_removed, n_spans, kept_sha256 (and kept_text): words of windows that an earlier document holds are removed.
+
+    Null and empty texts and those of fewer words than a window keep all they have; rows of one doc_id are one
+    document, so repeated rows are judged alike, and a null doc_id is earlier than all; texts of any length are kept
+    whole; an empty table gives an empty result; extra columns are ignored.
+    """
     engine = Repeats(Words, window, max(1, min(5, window)), classes)
     found = engine.results(docs, keep_text)
     return found.select("doc_id", F.col("n").alias("n_words"), "n_removed", "n_spans", F.col("sha").alias("kept_sha256"), *([F.decode("payload", "UTF-8").alias("kept_text")] if keep_text else []))

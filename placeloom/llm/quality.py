@@ -43,22 +43,25 @@ def features(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep``, BASE, n_capitals, n_marks and base_failed of every row."""
     kept = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
     k = [f"_k{i}" for i in range(len(keep))]
-    space = " \t\n\x0b\x0c\r"
+    space = "\\x20\\x09-\\x0D"
+    # Characters of a set: what is left without the runs of all others, which one match each takes.
+    only = lambda kept: F.length(F.regexp_replace("t", f"[^{kept}]++", "")).cast("long")
     a = docs.select(*kept, F.coalesce("text", F.lit("")).alias("t"))
     a = a.select(
         *k,
-        F.array_remove(F.split("t", "[\\x20\\x09-\\x0D]+"), "").alias("w"),
-        F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, space, "")) > 0).alias("lines"),
-        F.length(F.translate("t", space, "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.length("t") - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"),
-        (F.length("t") - F.length(F.translate("t", "!?|", ""))).cast("long").alias("n_marks"),
+        F.array_remove(F.split("t", f"[{space}]+"), "").alias("w"),
+        F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{space}]")).alias("lines"),
+        (F.length("t") - only(space)).alias("word_chars"),
+        only("#*$%&|<>").alias("n_symbols"),
+        only("A-Z").alias("n_capitals"),
+        only("!?|").alias("n_marks"),
     )
     counts = ("word_chars", "n_symbols", "n_capitals", "n_marks")
     a = a.select(*k, *counts, "w", F.size("w").cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
-    # Windows as hashes whose low bits give way to the place: one sort of longs brings equal windows together.
+    # Only where a window's hash repeats: hashes whose low bits give way to the place, so that one sort of longs brings equal ones together.
+    a = a.withColumn("h", F.expr("transform(if(n_words >= 3, sequence(0, int(n_words) - 3), array()), i -> xxhash64(w[i], w[i + 1], w[i + 2]))"))
     a = a.withColumn("mask", F.expr("shiftleft(-1L, length(bin(n_words)))"))
-    a = a.withColumn("p", F.expr("sort_array(transform(if(n_words >= 3, sequence(0, int(n_words) - 3), array()), i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & mask) | bigint(i)))"))
+    a = a.withColumn("p", F.expr("if(size(array_distinct(h)) < size(h), sort_array(transform(h, (x, i) -> (x & mask) | bigint(i))), array())"))
     a = a.withColumn("near", F.expr("filter(p, (x, i) -> coalesce((get(p, i - 1) & mask) = (x & mask), false) or coalesce((get(p, i + 1) & mask) = (x & mask), false))"))
     # What may be equal is compared word by word.
     a = a.withColumn("g", F.expr("sort_array(transform(near, x -> struct(concat_ws(' ', w[int(x & ~mask)], w[int(x & ~mask) + 1], w[int(x & ~mask) + 2]) as g, int(x & ~mask) as i)))"))

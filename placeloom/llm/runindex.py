@@ -118,7 +118,12 @@ def classes(items: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: in
 
 
 def byte_dedup(docs: DataFrame, window: int = WINDOW_BYTES, keep_text: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes): bytes of windows that start earlier too are removed."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes): bytes of windows that start earlier too are removed.
+
+    Null and empty texts and those shorter than a window keep all they have; rows of one doc_id are not earlier than
+    each other, so repeated rows are judged alike, and a null doc_id is earlier than all; a text of any length is
+    hashed megabyte by megabyte, between whole rows; an empty table gives an empty result; extra columns are ignored.
+    """
     engine = Repeats(Bytes, window, max(1, min(32, window)), classes)
     found = engine.results(docs, keep_text)
     return found.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", F.col("sha").alias("kept_sha256"), *([F.col("payload").alias("kept_bytes")] if keep_text else []))

@@ -86,3 +86,17 @@ def test_mixing_query_interleaves(spark):
     got = queries.op5_mix_sources(spark, SF).collect()
     assert sorted(r.position for r in got) == list(range(len(got)))
     assert collections.Counter(r.doc_id for r in got).most_common(1)[0][1] == 1 and order(None) < 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls everywhere, repeated rows, extra columns; and no rows at all."""
+    good = " ".join(f"word{i} is here," for i in range(40))
+    rows = [(1, good, "en", "a", 5, 0), (1, good, "en", "a", 5, 0), (2, good + " more", None, None, None, 1), (None, " ".join(f"other{i} thing" for i in range(60)), "en", "a", 1, 2), (4, None, "en", None, None, 3), (5, "", None, "b", 0, 4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long"
+    for name, these in (("some", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(these, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (2, None, 0)] if these else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, "")] if these else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert sorted(r.doc_id or -1 for r in got) == ([-1, 1] if these else [])
