@@ -3,6 +3,10 @@
 Each stage takes the documents that its predecessor kept, as a table read from Parquet.  All but the last return
 the columns of ``documents``.  Mixing decides the order in which rows are stored; the last stage writes the token
 shards in the stored order and reports per document where its ids start in them.
+
+Null and empty texts have no words, so the quality rules drop them; null languages and sources are groups of their
+own.  Of equal texts, repeated rows and texts with equal shingles one row stays.  Ids may repeat or be null.  Extra
+columns of the input are left out.  Texts of any length are kept whole.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
