@@ -64,3 +64,37 @@ def append_ledger(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 def without_duplicates(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each natural key."""
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def ranked(lists: DataFrame, candidates: DataFrame, most: int) -> DataFrame:
+    """(list_id, place_id, rank, refused) of lists (list_id, asked) over candidates (list_id, place_id, at).
+
+    Those asked for come in that order, the others behind in their own; the first ``most`` stay.  A list that names a
+    place twice, or one that is no candidate, is one row that says so.
+    """
+    twice = F.size("asked") > F.size(F.array_distinct("asked"))
+    named = lists.select("list_id", F.posexplode("asked").alias("place_at", "place_id"))
+    strange = named.join(candidates.select("list_id", "place_id"), ["list_id", "place_id"], "left_anti").select("list_id").distinct().withColumn("strange", F.lit(True))
+    judged = lists.join(strange, "list_id", "left").select("list_id", F.when(twice, "repeated").when(F.col("strange"), "unknown").alias("refused"))
+    good = candidates.join(judged.where("refused is null").select("list_id"), "list_id", "left_semi")
+    placed = good.join(named, ["list_id", "place_id"], "left").withColumn("order", F.struct(F.col("place_at").isNull().alias("own"), F.coalesce("place_at", "at").alias("n"), F.col("place_id").alias("id")))
+    order = placed.withColumn("rank", F.row_number().over(W.partitionBy("list_id").orderBy("order"))).where(F.col("rank") <= most)
+    none = F.lit(None)
+    return order.select("list_id", "place_id", "rank", none.cast("string").alias("refused")).unionByName(judged.where("refused is not null").select("list_id", none.cast("long").alias("place_id"), none.cast("int").alias("rank"), "refused"))
+
+
+def merged(records: DataFrame, obs: DataFrame) -> DataFrame:
+    """A row per cluster of records (site_id, cluster, gers_id): its least id, first identifier, last day, fields and conflicts.
+
+    ``fields`` maps each to its winner's value, source and canonical value; ``conflicts`` lists the fields that have
+    more than one value with the distinct candidates in order of the policy; ``credits`` holds the losers' too.
+    """
+    whole = records.groupBy("cluster").agg(F.min("site_id").alias("site_id"), F.min("gers_id").alias("gers_id"), F.collect_set("site_id").alias("members"))
+    mine = obs.join(records.select("site_id", "cluster"), "site_id").drop("site_id").withColumnRenamed("cluster", "site_id")
+    won = winners(mine).groupBy("site_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.struct("value", "kind", "src"))))).alias("fields"))
+    odd = union_values(mine).groupBy("site_id", "field").agg(F.count("*").alias("n")).where("n > 1").groupBy("site_id").agg(F.array_sort(F.collect_list(F.concat_ws(":", "field", "n"))).alias("conflicts"))
+    last = mine.groupBy("site_id").agg(F.max("observed_at").alias("updated_at"))
+    out = whole
+    for part in (won, odd, last, attributions(mine)):
+        out = out.join(part.withColumnRenamed("site_id", "cluster"), "cluster", "left")
+    return out.select("cluster", "site_id", "gers_id", F.size("members").alias("n_members"), "updated_at", "fields", F.coalesce("conflicts", F.expr("cast(array() as array<string>)")).alias("conflicts"), "credits")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import overlap_area
+from ..functions.geo import covers, overlap_area
 from ..runtime import components
 
 
@@ -95,3 +95,15 @@ def serving_component(snaps: DataFrame, n_anchors: int) -> DataFrame:
     per = snaps.groupBy("anchor", "root", "n_nodes").agg(F.min("snap").alias("snap"))
     whole = per.groupBy("root", "n_nodes").agg(F.count("*").alias("n"), F.sum("snap").alias("total")).where(F.col("n") == n_anchors)
     return whole.orderBy("total", F.desc("n_nodes"), "root").limit(1).select("root", "n_nodes", "total")
+
+
+def zones_at(points: DataFrame, zones: DataFrame, step: int = 100) -> DataFrame:
+    """(key, zone) of points (key, x, y) in polygons (zone, ring of structs x, y): boxes first, then the ring, edges included.
+
+    Of several the first by name; points in none are left out, and zones of code ``-99`` are none.
+    """
+    corner = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    boxed = zones.where("zone <> '-99'").select("zone", "ring", *(F.floor(corner(F.array_min, c)).cast("long").alias(f"{c}0") for c in "xy"), *(F.ceil(corner(F.array_max, c)).cast("long").alias(f"{c}1") for c in "xy"))
+    at = points.select("key", "x", "y", F.col("x").alias("u0"), F.col("y").alias("v0"), F.col("x").alias("u1"), F.col("y").alias("v1"))
+    inside = meeting(boxed, at, step).where(covers(F.col("ring"), F.col("x").cast("double"), F.col("y").cast("double")))
+    return inside.groupBy("key").agg(F.min("zone").alias("zone"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import geo, hours, prose, ranges, serialize, text
+from .functions import geo, hours, prose, ranges, serialize, text, times
 from .functions.licenses import bundleable_sql
-from .operators import feasibility, integrity, normalise, quarantine
-from .queries import _INSIDE, _ring
+from .operators import feasibility, integrity, merge, normalise, quarantine, spatial
+from .queries import _INSIDE, _SEGMENTS, ORDER, WINDOW, _ring, _segments
 from .registry import query
+from .sources import scans
 
 _HELD = f"""held as (select p.place_id, case when mod(p.place_id, 11) <> 0 then p.place_id end as id, case when mod(p.place_id, 13) <> 0 then lon end as lon, case when mod(p.place_id, 17) = 0 then 95.0 else lat end as lat,
  coalesce(crossed or edge, false) as inside, trim(license) as license, case when mod(p.place_id, 19) = 0 then '' else name end as name from {{places}} p left join ({_INSIDE}) i on i.place_id = p.place_id)"""
@@ -215,3 +216,66 @@ def feasibility_day(v):
     read = sites.withColumn("week", hours.weekly_intervals("hours")).withColumn("unreadable", F.coalesce(guard, F.when(F.col("week").isNull(), "unreadable")))
     opening = read.where("unreadable is null").select("place_id", F.explode("week").alias("w")).select("place_id", F.col("w.open").alias("week_from"), F.col("w.close").alias("week_to"))
     return feasibility.day_verdicts(v("stop"), plans, read, opening)
+
+
+@query(r"""with t as (select event_id, case mod(event_id, 5) when 0 then strftime(ts, '%Y-%m-%dT%H:%M:%SZ') when 1 then strftime(ts, '%Y-%m-%d %H:%M:%S') || '+02:00' when 2 then strftime(ts, '%Y-%m-%dT%H:%M:%S') when 3 then strftime(ts, '%Y-%m-%d') end as said, ts, strftime(ts, '%H:%M') as clock from {events})
+ select event_id, case mod(event_id, 5) when 0 then epoch(date_trunc('second', ts))::bigint when 1 then epoch(date_trunc('second', ts))::bigint - 7200 end as at, case mod(event_id, 5) when 2 then 'no offset' when 3 then 'a day, no instant' when 4 then 'missing' end as refused, hour(ts) * 60 + minute(ts) as minute, case when mod(event_id, 5) = 3 then ts::date end as day from t""")
+def d3_time_discipline(v):
+    stamp = lambda f: F.date_format("ts", f)
+    k = F.col("event_id") % 5
+    said = F.when(k == 0, F.concat(stamp("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(k == 1, F.concat(stamp("yyyy-MM-dd HH:mm:ss"), F.lit("+02:00"))).when(k == 2, stamp("yyyy-MM-dd'T'HH:mm:ss")).when(k == 3, stamp("yyyy-MM-dd"))
+    rows = v("events").select("event_id", times.instant(said).alias("i"), times.clock_minute(stamp("HH:mm")).cast("long").alias("minute"), times.calendar_day(said).alias("day"))
+    return times.require_clocks(rows.select("event_id", F.col("i.at").alias("t"), F.col("i.refused").alias("refused"), "minute", "day"), ("t",), ("minute",), ("day",)).select("event_id", F.unix_timestamp("t").alias("at"), "refused", "minute", "day")
+
+
+_TRIANGLES = """z as (select case when zone_id = 4 then '-99' else zone end as zone, unnest([{{'a': x0, 'b': y0, 'c': x1, 'd': y0}}, {{'a': x1, 'b': y0, 'c': (x0 + x1) // 2, 'd': y1}}, {{'a': (x0 + x1) // 2, 'b': y1, 'c': x0, 'd': y0}}]) as e from {zone})"""
+
+
+@query(f"""with {_TRIANGLES}, h as (select place_id, zone, sum(case when (e.b > y) <> (e.d > y) and x < (e.c - e.a)::double * (y - e.b) / nullif(e.d - e.b, 0) + e.a then 1 else 0 end) % 2 = 1 as crossed,
+ bool_or((e.c - e.a) * (y - e.b) - (e.d - e.b) * (x - e.a) = 0 and x between least(e.a, e.c) and greatest(e.a, e.c) and y between least(e.b, e.d) and greatest(e.b, e.d)) as edge from {{places}}, z where zone <> '-99' group by place_id, zone)
+ select place_id as key, min(zone) as zone from h where crossed or edge group by place_id""")
+def s14_zone_polygons(v):
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    ring = F.array(corner(F.col("x0"), F.col("y0")), corner(F.col("x1"), F.col("y0")), corner(F.expr("(x0 + x1) div 2"), F.col("y1")))
+    zones = v("zone").select(F.when(F.col("zone_id") == 4, "-99").otherwise(F.col("zone")).alias("zone"), ring.alias("ring"))
+    return spatial.zones_at(v("places").select(F.col("place_id").alias("key"), "x", "y"), zones)
+
+
+@query("""select distinct c_name as name from {customer} where mod(c_custkey, 3) <> 0 and not exists (select 1 from {orders} where o_custkey = c_custkey and o_totalprice > 400000)""")
+def s12_geocoder_gate(v):
+    c = v("customer")
+    asked = c.select(F.col("c_name").alias("name"), (F.col("c_custkey") % 3 == 0).alias("has_window"))
+    hits = c.join(v("orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select(F.col("c_name").alias("name"))
+    return scans.fallback_requests(asked.unionAll(asked), hits)
+
+
+@query(f"""with {_SEGMENTS} select seg_id, case mod(seg_id, 4) when 1 then 'footway' when 2 then 'path' else 'residential' end as way from s where mod(seg_id, 4) <> 0 and least(x0, x1) <= {WINDOW[2]} and greatest(x0, x1) >= {WINDOW[0]} and least(y0, y1) <= {WINDOW[3]} and greatest(y0, y1) >= {WINDOW[1]}""")
+def s15_walk_lines(v):
+    way = F.element_at(F.array(*map(F.lit, ("motorway", "footway", "path", "residential"))), (F.col("seg_id") % 4 + 1).cast("int"))
+    return scans.walk_lines(_segments(v).withColumn("way", way), WINDOW).select("seg_id", "way")
+
+
+@query("""with c as (select plan_id as list_id, place_id, min(stop_order) as nth from {stop} group by all), l as (select list_id, min_by(place_id, nth) as a, max_by(place_id, nth) as b, count(*) as n from c group by list_id),
+ j as (select *, case when mod(list_id, 7) = 1 or a = b then 'repeated' when mod(list_id, 7) = 2 then 'unknown' end as refused from l)
+ select list_id, null::bigint as place_id, null::int as rank, refused from j where refused is not null
+ union all select list_id, place_id, rank::int, null from (select c.list_id, place_id, row_number() over (partition by c.list_id order by case place_id when b then -2 when a then -1 else nth end, place_id) as rank from c join j using (list_id) where refused is null) q where rank <= 5""")
+def c4_curated_lists(v):
+    c = v("stop").groupBy(F.col("plan_id").alias("list_id"), "place_id").agg(F.min("stop_order").alias("at"))
+    ends = c.groupBy("list_id").agg(F.min_by("place_id", "at").alias("a"), F.max_by("place_id", "at").alias("b"))
+    k = F.col("list_id") % 7
+    asked = F.when(k == 1, F.array("b", "a", "b")).when(k == 2, F.array(F.col("b"), F.lit(-5).cast("long"), F.col("a"))).otherwise(F.array("b", "a"))
+    lists = ends.select("list_id", asked.alias("asked"))
+    return merge.ranked(lists, c, 5)
+
+
+_CLUSTERED = "m as (select *, site_id // 3 as cluster from {observation})"
+
+
+@query(f"""with {_CLUSTERED}, w as (select cluster, field, value, row_number() over (partition by cluster, field order by {ORDER}) as r from m), u as (select cluster, field, count(distinct value) as n from m group by all),
+ f as (select cluster, string_agg(field || '=' || value, ';' order by field) as fields from w where r = 1 group by cluster), x as (select cluster, string_agg(field || ':' || n, ';' order by field || ':' || n) as conflicts from u where n > 1 group by cluster)
+ select cluster, min(site_id) as site_id, min(case when mod(site_id, 4) = 0 then 'g' || site_id end) as gers_id, count(distinct site_id)::int as n_members, max(observed_at) as updated_at, any_value(fields) as fields, coalesce(any_value(conflicts), '') as conflicts from m left join f using (cluster) left join x using (cluster) group by cluster""")
+def c2_merged_clusters(v):
+    sites = v("observation").select("site_id").distinct()
+    records = sites.select("site_id", F.expr("site_id div 3").alias("cluster"), F.when(F.col("site_id") % 4 == 0, F.concat(F.lit("g"), F.col("site_id").cast("string"))).alias("gers_id"))
+    shown = F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["value"].cast("string"))), ";")
+    return merge.merged(records, v("observation")).select("cluster", "site_id", "gers_id", "n_members", "updated_at", shown.alias("fields"), F.array_join("conflicts", ";").alias("conflicts"))

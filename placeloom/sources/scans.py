@@ -10,6 +10,10 @@ from ..functions.geo import boxes_overlap
 from ..runtime import staged
 
 
+#: Ways that are not walked.
+NOT_WALKED = ("motorway", "motorway_link", "trunk")
+
+
 def bbox_scan(rows: DataFrame, window: tuple, limit: int | None = None, x0="x", y0="y", x1="x", y1="y", key="place_id") -> DataFrame:
     """Rows whose box overlaps the window, in order of their id."""
     hit = rows.where(boxes_overlap(F.col(x0), F.col(y0), F.col(x1), F.col(y1), *map(F.lit, window))).orderBy(key)
@@ -74,3 +78,14 @@ def latest_build(builds: DataFrame, day: Column, back: int = 7) -> DataFrame:
 def event_log(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """Parsed JSON lines; broken ones are left out."""
     return lines.select(F.from_json(column, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("e")).where("e is not null").select("e.*")
+
+
+def walk_lines(edges: DataFrame, window: tuple) -> DataFrame:
+    """Lines (edge_id, x0, y0, x1, y1, way) whose box overlaps the window and that may be walked; motorways may not."""
+    low, high = (F.least("x0", "x1"), F.least("y0", "y1")), (F.greatest("x0", "x1"), F.greatest("y0", "y1"))
+    return edges.where(boxes_overlap(*low, *high, *map(F.lit, window))).where(~F.col("way").isin(*NOT_WALKED))
+
+
+def fallback_requests(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """Names to ask the geocoder for, once each: those asked without a window that no scan has found."""
+    return asked.where("not has_window").select("name").distinct().join(hits.select("name"), "name", "left_anti")

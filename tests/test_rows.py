@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placeloom.functions import ranges, serialize, text
-from placeloom.operators import feasibility, normalise, quarantine, resolve, spatial
+from placeloom.functions import ranges, serialize, text, times
+from placeloom.operators import feasibility, merge, normalise, quarantine, resolve, spatial
 from placeloom.queries import QUERIES
 from placeloom.views import view
 
@@ -189,3 +189,34 @@ def test_network_pieces_by_brute_force(spark):
             if 0 <= t <= 1 and 0 <= u <= 1:
                 x, y = ax + t * (bx - ax), ay + t * (by_ - ay)
                 assert any(abs(p[0] - x) <= 0.5 and abs(p[1] - y) <= 0.5 for p in everywhere)
+
+
+@pytest.mark.parametrize(("said", "at", "refused"), [
+    ("2024-02-30T00:00:00Z", None, "no such time"), ("2024-02-29T23:59:59.5+01:00", 1709247599, None), ("2024-02-29", None, "a day, no instant"), ("2024-02-29T10:00:00", None, "no offset"), ("now", None, "no offset"), (None, None, "missing"), ("", None, "no offset"),
+])
+def test_instants_say_their_offset(spark, said, at, refused):
+    got = spark.range(1).select(times.instant(F.lit(said).cast("string")).alias("i")).select(F.unix_timestamp("i.at").alias("at"), "i.refused").first()
+    assert (got.at, got.refused) == (at, refused)
+
+
+def test_clocks_are_never_mixed(spark):
+    df = spark.sql("select timestamp'2024-01-01 00:00:00' t, date'2024-01-01' d, 5 m")
+    assert times.require_clocks(df, ["t"], ["m"], ["d"]) is df
+    for wrong in ({"instants": ["d"]}, {"minutes": ["t"]}, {"days": ["t"]}):
+        with pytest.raises(TypeError):
+            times.require_clocks(df, **wrong)
+    assert one(spark, times.clock_minute(F.lit("24:00"))) is None and one(spark, times.clock_minute(F.lit("23:59"))) == 1439 and one(spark, times.calendar_day(F.lit("2024-01-01T00:00:00Z"))) is None
+
+
+def test_ranking_refuses_what_it_cannot_place(spark):
+    lists = spark.createDataFrame([(1, [3, 1]), (2, [1, 1]), (3, [9]), (4, []), (5, [2])], "list_id long, asked array<long>")
+    places = spark.createDataFrame([(i, p, p) for i in (1, 2, 3, 4, 5) for p in (1, 2, 3)], "list_id long, place_id long, at int")
+    got = sorted((r.list_id, r["rank"] or 0, r.place_id, r.refused) for r in merge.ranked(lists, places, 2).collect())
+    assert got == [(1, 1, 3, None), (1, 2, 1, None), (2, 0, None, "repeated"), (3, 0, None, "unknown"), (4, 1, 1, None), (4, 2, 2, None), (5, 1, 2, None), (5, 2, 1, None)]
+
+
+def test_points_in_zone_polygons(spark):
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    zones = spark.createDataFrame([("B", ring((0, 0), (10, 0), (0, 10))), ("A", ring((0, 0), (4, 0), (4, 4), (0, 4))), ("-99", ring((0, 0), (99, 0), (99, 99), (0, 99)))], "zone string, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(1, 2, 2), (2, 5, 5), (3, 6, 6), (4, 0, 10), (5, 4, 4)], "key long, x long, y long")
+    assert {r.key: r.zone for r in spatial.zones_at(points, zones).collect()} == {1: "A", 2: "B", 4: "B", 5: "A"}
