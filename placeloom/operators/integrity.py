@@ -32,3 +32,11 @@ def itinerary_faults(stops: DataFrame, legs: DataFrame, entries: DataFrame) -> D
     for part in found[1:]:
         out = out.unionByName(part)
     return out.distinct()
+
+
+def timeline(stops: DataFrame, stored: DataFrame) -> DataFrame:
+    """(plan_id, seq, entry, ref): a plan's stored entries if it has any, else its stops with the legs into them between."""
+    bare = stops.join(stored.select("plan_id").distinct(), "plan_id", "left_anti")
+    walked = bare.select("plan_id", (F.col("stop_order") * 2).alias("seq"), F.lit("stop").alias("entry"), F.col("place_id").alias("ref"))
+    legs = bare.where("stop_order > 0").select("plan_id", (F.col("stop_order") * 2 - 1).alias("seq"), F.lit("leg").alias("entry"), F.col("leg_m").alias("ref"))
+    return stored.select("plan_id", "seq", "entry", "ref").unionByName(walked).unionByName(legs)

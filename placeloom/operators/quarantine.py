@@ -46,11 +46,17 @@ def reject_user_values(batch: DataFrame) -> DataFrame:
 
 
 def credits(obs: DataFrame) -> DataFrame:
-    """(section, license, kind, n): counts per license, the share-alike database license first, then by name."""
+    """(section, license, kind, attribution, n, label): counts per license, kind and credit, the share-alike database license first, then by name."""
     named = obs.withColumn("license", canonical(F.col("license"))).where("license is not null")
-    grouped = named.groupBy("license", "kind").agg(F.count("*").alias("n"))
+    grouped = named.groupBy("license", "kind", "attribution").agg(F.count("*").alias("n"))
     section = F.when(F.col("license") == "ODbL-1.0", 0).otherwise(1)
-    return grouped.select(section.alias("section"), "license", "kind", "n", F.when(F.col("n") == 1, "1 value").otherwise(F.concat(F.col("n").cast("string"), F.lit(" values"))).alias("label"))
+    return grouped.select(section.alias("section"), "license", "kind", "attribution", "n", F.when(F.col("n") == 1, "1 value").otherwise(F.concat(F.col("n").cast("string"), F.lit(" values"))).alias("label"))
+
+
+def articles(revisions: DataFrame, *by: str) -> DataFrame:
+    """Per article the least of its revisions' urls, and the others in order."""
+    urls = revisions.groupBy(*by).agg(F.array_sort(F.collect_set("url")).alias("urls"))
+    return urls.select(*by, F.get("urls", F.lit(0)).alias("main"), F.slice("urls", F.lit(2), F.greatest(F.size("urls") - 1, F.lit(0))).alias("others"))
 
 
 def text_license(obs: DataFrame) -> DataFrame:

@@ -65,3 +65,13 @@ def refusal(plan: Column, hash_ok: Column, status: Column, feasible: Column) ->
         .when(~feasible, "infeasible")
         .when(status != "proposed", "not_approvable")
     )
+
+
+def supersede(plans: DataFrame, asked: DataFrame) -> DataFrame:
+    """Plans (plan_id, revision, status) after those asked for (plan_id, new_id) gave way: the old row points at its
+    successor, a new one begins at the next revision.  A plan that may not be superseded stays as it is, and has none."""
+    sources, to = ACTIONS["supersede"]
+    met = plans.join(asked.select("plan_id", "new_id"), "plan_id", "left")
+    goes = F.col("new_id").isNotNull() & F.col("status").isin(*sources)
+    old = met.select("plan_id", "revision", F.when(goes, F.lit(to)).otherwise(F.col("status")).alias("status"), F.when(goes, F.col("new_id")).alias("superseded_by"))
+    return old.unionByName(met.where(goes).select(F.col("new_id").alias("plan_id"), (F.col("revision") + 1).alias("revision"), F.lit("proposing").alias("status"), F.lit(None).cast("long").alias("superseded_by")))

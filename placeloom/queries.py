@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import geo, hours, prose, serialize, text
 from .functions.licenses import bundleable, bundleable_sql, canonical, canonical_sql, trust_sql
-from .operators import feasibility, merge, network, quarantine, resolve, spatial
+from .operators import feasibility, integrity, merge, network, quarantine, resolve, spatial
 from .plans import curate, lifecycle
 from .registry import ORACLES, QUERIES, query
 from .runtime import shared_dir, staged
@@ -126,10 +126,12 @@ def p12_summaries(v):
     return v("stop").groupBy("plan_id").agg(F.min("start_min").alias("first_min"), F.max(F.col("start_min") + F.col("dwell")).alias("last_min"), F.count("*").alias("n_stops"))
 
 
-@query("""select plan_id, 2 * stop_order as seq, 'stop' as entry, place_id as ref from {stop} union all select plan_id, 2 * stop_order - 1, 'leg', leg_m from {stop} where stop_order > 0""")
+@query("""select plan_id, stop_order as seq, 'stop' as entry, place_id as ref from {stop} where mod(plan_id, 3) = 0 and mod(stop_order, 2) = 0
+ union all select plan_id, 2 * stop_order as seq, 'stop' as entry, place_id as ref from {stop} where mod(plan_id, 3) <> 0 union all select plan_id, 2 * stop_order - 1, 'leg', leg_m from {stop} where stop_order > 0 and mod(plan_id, 3) <> 0""")
 def p14_timeline(v):
     s = v("stop")
-    return s.select("plan_id", (F.col("stop_order") * 2).alias("seq"), F.lit("stop").alias("entry"), F.col("place_id").alias("ref")).unionByName(s.where("stop_order > 0").select("plan_id", (F.col("stop_order") * 2 - 1).alias("seq"), F.lit("leg").alias("entry"), F.col("leg_m").alias("ref")))
+    stored = s.where("plan_id % 3 = 0 and stop_order % 2 = 0").select("plan_id", F.col("stop_order").alias("seq"), F.lit("stop").alias("entry"), F.col("place_id").alias("ref"))
+    return integrity.timeline(s, stored)
 
 
 @query("select conv_id, count(*) as n_turns, string_agg(role, '>' order by turn) as roles from {conversations} group by conv_id")
@@ -409,14 +411,15 @@ def a9_attributions(v):
     return merge.attributions(v("observation"))
 
 
-@query(f"select case when license = 'ODbL-1.0' then 0 else 1 end as section, license, kind, n, case when n = 1 then '1 value' else n || ' values' end as label from (select {canonical_sql('license')} as license, kind, count(*) as n from {{observation}} group by all) q where license is not null")
+@query(f"select case when license = 'ODbL-1.0' then 0 else 1 end as section, license, kind, attribution, n, case when n = 1 then '1 value' else n || ' values' end as label from (select {canonical_sql('license')} as license, kind, case when src <> 3 then 'source ' || src end as attribution, count(*) as n from {{observation}} group by all) q where license is not null")
 def a10_credits(v):
-    return quarantine.credits(v("observation"))
+    return quarantine.credits(v("observation").withColumn("attribution", F.when(F.col("src") != 3, F.concat(F.lit("source "), F.col("src").cast("string")))))
 
 
-@query("select source, lang, min(doc_id) as main, count(*) - 1 as others from {documents} group by all")
+@query("select conv_id, role, 'turn/' || lpad(min(turn)::varchar, 6, '0') as main, coalesce(string_agg('turn/' || lpad(turn::varchar, 6, '0'), ',' order by turn) filter (turn > first), '') as others from (select distinct conv_id, role, turn, min(turn) over (partition by conv_id, role) as first from {conversations}) q group by conv_id, role")
 def a11_articles(v):
-    return v("documents").groupBy("source", "lang").agg(F.min("doc_id").alias("main"), (F.count("*") - 1).alias("others"))
+    revisions = v("conversations").select("conv_id", "role", F.concat(F.lit("turn/"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("url"))
+    return quarantine.articles(revisions, "conv_id", "role").select("conv_id", "role", "main", F.array_join("others", ",").alias("others"))
 
 
 @query(f"select site_id, string_agg(distinct {canonical_sql('license')}, ' AND ' order by {canonical_sql('license')}) as text_license from {{observation}} group by site_id")
@@ -696,7 +699,7 @@ def f18_uncredited(v):
 
 # ---------------------------------------------------------------- lifecycle, streams
 
-_ACTION = "case mod(l_linenumber + l_partkey, 5) when 0 then 'propose' when 1 then 'approve' when 2 then 'claim' when 3 then 'finish' else 'fail' end"
+_ACTION = "case mod(l_partkey + l_linenumber, 8) when 0 then 'propose' when 1 then 'approve' when 2 then 'claim' when 3 then 'finish' when 4 then 'fail' when 5 then 'rearm' when 6 then case when mod(l_suppkey, 4) = 0 then 'supersede' else 'propose' end else 'approve' end"
 
 
 def _log(v):
@@ -705,12 +708,20 @@ def _log(v):
 
 @query(f"""with recursive log as (select plan_id, seq, action, row_number() over (partition by plan_id order by seq) as n from (select distinct l_orderkey as plan_id, cast(l_linenumber as bigint) * 100000000 + l_partkey * 10000 + l_suppkey as seq, {_ACTION} as action from {{lineitem}}) d),
  fold as (select plan_id, cast(0 as bigint) as n, 'proposing' as state, cast(0 as bigint) as applied from (select distinct plan_id from log) p union all
- select plan_id, n, state2, applied + case when state2 <> state then 1 else 0 end from (select f.plan_id, l.n, f.state, f.applied, case when action = 'propose' and state in ('proposing', 'proposed') then 'proposed' when action = 'approve' and state = 'proposed' then 'approved' when action = 'claim' and state = 'approved' then 'compiling' when action = 'finish' and state = 'compiling' then 'compiled' when action = 'fail' and state = 'compiling' then 'failed' else state end as state2 from fold f join log l on l.plan_id = f.plan_id and l.n = f.n + 1) q)
+ select plan_id, n, state2, applied + case when state2 <> state then 1 else 0 end from (select f.plan_id, l.n, f.state, f.applied, case when action = 'propose' and state in ('proposing', 'proposed') then 'proposed' when action = 'approve' and state = 'proposed' then 'approved' when action = 'claim' and state = 'approved' then 'compiling' when action = 'finish' and state = 'compiling' then 'compiled' when action = 'fail' and state = 'compiling' then 'failed' when action = 'rearm' and state = 'failed' then 'approved' when action = 'supersede' and state in ('proposing', 'proposed', 'approved') then 'superseded' else state end as state2 from fold f join log l on l.plan_id = f.plan_id and l.n = f.n + 1) q)
  select plan_id, arg_max(state, n) as state, max(applied) as n_applied from fold group by plan_id""")
 def c7_fold_states(v):
     return lifecycle.fold_states(_log(v))
 
 
+@query("""select plan_id, revision, case when mod(plan_id, 5) = 0 and status in ('proposing', 'proposed', 'approved') then 'superseded' else status end as status, case when mod(plan_id, 5) = 0 and status in ('proposing', 'proposed', 'approved') then plan_id + 4000000000 end as superseded_by from {plan}
+ union all select plan_id + 4000000000, revision + 1, 'proposing', null from {plan} where mod(plan_id, 5) = 0 and status in ('proposing', 'proposed', 'approved')""")
+def l8_superseded(v):
+    plans = v("plan").select("plan_id", "revision", "status")
+    asked = plans.where("plan_id % 5 = 0").select("plan_id", (F.col("plan_id") + 4_000_000_000).alias("new_id"))
+    return lifecycle.supersede(plans, asked)
+
+
 @query("select plan_id, created_at from {plan} where status = 'compiling' and created_at < timestamp '1996-01-01' - interval 30 minute")
 def l7_stale_claims(v):
     return lifecycle.stale(v("plan"), F.lit("1996-01-01").cast("timestamp_ntz")).select("plan_id", "created_at")
@@ -844,11 +855,15 @@ def a19_license_headings(v):
     return v("documents").where(F.contains("text", F.lit("Released under the"))).select("doc_id", F.array_join(found, ",").alias("headings"))
 
 
-@query("""select request_id, covered::double / asked >= 0.99 and mod(request_id, 2) = 0 as reuse from (select z.zone_id as request_id, (z.x1 - z.x0) * (z.y1 - z.y0) as asked, (z.x1 - z.x0) * (z.y1 - z.y0) as covered from {zone} z) q""")
+@query("""with w as (with xs as (select distinct z.area_id, unnest([greatest(z.x0, a.x0), least(z.x1, a.x1)]) as e from {area} z, {zone} a where z.x0 < a.x1 and z.x1 > a.x0 and z.y0 < a.y1 and z.y1 > a.y0),
+ ys as (select distinct z.area_id, unnest([greatest(z.y0, a.y0), least(z.y1, a.y1)]) as e from {area} z, {zone} a where z.x0 < a.x1 and z.x1 > a.x0 and z.y0 < a.y1 and z.y1 > a.y0),
+ cx as (select area_id, e as c0, lead(e) over (partition by area_id order by e) as c1 from xs), cy as (select area_id, e as d0, lead(e) over (partition by area_id order by e) as d1 from ys),
+ hit as (select distinct cx.area_id, c0, c1, d0, d1 from cx join cy using (area_id) join {zone} a on a.x0 <= c0 and a.x1 >= c1 and a.y0 <= d0 and a.y1 >= d1 where c1 is not null and d1 is not null)
+ select z.area_id as request_id, ((z.x1 - z.x0) * (z.y1 - z.y0))::bigint as asked, coalesce((select sum((c1 - c0) * (d1 - d0)) from hit where hit.area_id = z.area_id), 0)::bigint as covered from {area} z) select request_id, covered::double / asked >= 0.99 as reuse from w""")
 def f16_reuse(v):
-    asked = v("zone").select(F.col("zone_id").alias("request_id"), "x0", "y0", "x1", "y1")
-    fraction = spatial.coverage(asked, asked.drop("request_id")).withColumn("f", F.col("covered") / F.col("asked"))
-    return fraction.select("request_id", ((F.col("f") >= 0.99) & (F.col("request_id") % 2 == 0)).alias("reuse"))
+    asked = v("area").select(F.col("area_id").alias("request_id"), "x0", "y0", "x1", "y1")
+    fraction = spatial.coverage(asked, v("zone")).withColumn("f", F.col("covered") / F.col("asked"))
+    return fraction.select("request_id", (F.col("f") >= 0.99).alias("reuse"))
 
 
 @query("select page_id, case when mod(page_id, 3) > 0 then url end as found from {pages}")
