@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import components
-from .spatial import meeting
+from ..runtime import components, staged
+from .spatial import meeting, serving_component
 
 
 def noded(segments: DataFrame, step: int = 256) -> DataFrame:
@@ -45,10 +45,10 @@ def noded(segments: DataFrame, step: int = 256) -> DataFrame:
     return pieces.select("seg_id", low.alias("a"), high.alias("b")).groupBy("a", "b").agg(F.min("seg_id").alias("seg_id")).select("seg_id", F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1"))
 
 
-def node_edges(pieces: DataFrame) -> DataFrame:
-    """(u, v, length): end points as numbers."""
+def node_edges(pieces: DataFrame, *keep: str) -> DataFrame:
+    """(u, v, length) and the columns ``keep``: end points as numbers."""
     at = lambda x, y: F.shiftleft(F.col(x), 32).bitwiseOR(F.col(y).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return pieces.select(at("x0", "y0").alias("u"), at("x1", "y1").alias("v"), F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("length"))
+    return pieces.select(at("x0", "y0").alias("u"), at("x1", "y1").alias("v"), F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("length"), *keep)
 
 
 def graph_verdict(pieces: DataFrame) -> DataFrame:
@@ -59,6 +59,24 @@ def graph_verdict(pieces: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("components"), F.sum("n").alias("pieces"), F.max("n").alias("kept"))
 
 
+def served_graph(pieces: DataFrame, anchors: DataFrame, reach: int) -> DataFrame:
+    """The pieces of the one component that every anchor (key, x, y) reaches, with its ``root``; an error if there is none.
+
+    Of several: the least sum of ways to the anchors, then the larger, then the lower root.  All others are pruned.
+    """
+    lines = staged(pieces.select("x0", "y0", "x1", "y1").distinct())
+    edges = staged(node_edges(lines, "x0", "y0", "x1", "y1"))
+    placed = components(edges.select("u", "v"))
+    owned = staged(edges.join(placed, edges.u == placed.node).select("root", F.xxhash64("x0", "y0", "x1", "y1").alias("seg_id"), "x0", "y0", "x1", "y1"))
+    sizes = owned.groupBy("root").agg(F.count("*").alias("n_nodes"))
+    near = snaps(anchors, owned.select("seg_id", "x0", "y0", "x1", "y1"), reach).join(owned.select("seg_id", "root"), "seg_id").groupBy(F.col("key").alias("anchor"), "root").agg(F.min("distance").alias("snap"))
+    chosen = serving_component(near.join(sizes, "root"), anchors.select("key").distinct().count())
+    found = chosen.first()
+    if found is None:
+        raise ValueError("no part of the network serves every anchor")
+    return owned.where(F.col("root") == found["root"]).select("root", "x0", "y0", "x1", "y1")
+
+
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """From a point to the nearest point of a segment."""
     dx, dy = bx - ax, by - ay

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import covers, overlap_area
-from ..runtime import components
+from ..runtime import components, staged
 
 
 #: Each level's cells are four times as wide as those before; the last level holds boxes of any size.
@@ -84,7 +84,8 @@ def coverage(requests: DataFrame, researched: DataFrame, step: int = 100) -> Dat
 
 def component_sizes(edges: DataFrame) -> DataFrame:
     """(root, n_nodes, n_edges) of each connected component."""
-    nodes = components(edges)
+    edges = staged(edges)  # both are read twice
+    nodes = staged(components(edges))
     sizes = nodes.groupBy("root").agg(F.count("*").alias("n_nodes"))
     inside = edges.join(nodes, edges.u == nodes.node).groupBy("root").agg(F.count("*").alias("n_edges"))
     return sizes.join(inside, "root")

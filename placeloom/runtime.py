@@ -35,6 +35,15 @@ def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _settled(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -43,8 +52,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(u, v)``: returns ``(node, root)``, root the least node.
 
     Alternating large-star and small-star steps; each step is a partial minimum, staged, and an equi-join of two
-    tables, which adaptive execution can split where a hub is skewed.  Steps are staged in the shared folder.  Self-loops make
-    singletons; an empty table gives an empty result.
+    tables, which adaptive execution can split where a hub is skewed.  Steps are staged in the shared folder, and
+    deleted once their round is over.  Self-loops make singletons; an empty table gives an empty result.
     """
     nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
     now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -58,7 +67,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = staged(large.groupBy("u").agg(F.min("v").alias("m")))
         hop = large.join(low, "u")
         small = hop.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = staged(small.where("u <> v").distinct())
+        before, now = now, staged(small.where("u <> v").distinct())
+        discard(before, least, large, low)
         after = _settled(now)
         if after == state:
             break

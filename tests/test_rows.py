@@ -220,3 +220,17 @@ def test_points_in_zone_polygons(spark):
     zones = spark.createDataFrame([("B", ring((0, 0), (10, 0), (0, 10))), ("A", ring((0, 0), (4, 0), (4, 4), (0, 4))), ("-99", ring((0, 0), (99, 0), (99, 99), (0, 99)))], "zone string, ring array<struct<x:double,y:double>>")
     points = spark.createDataFrame([(1, 2, 2), (2, 5, 5), (3, 6, 6), (4, 0, 10), (5, 4, 4)], "key long, x long, y long")
     assert {r.key: r.zone for r in spatial.zones_at(points, zones).collect()} == {1: "A", 2: "B", 4: "B", 5: "A"}
+
+
+def test_graph_serves_all_anchors_or_is_refused(spark):
+    """Of two parts the one that every anchor reaches stays, the other is pruned; anchors no part serves are an error."""
+    from placeloom.operators import network
+
+    left = [(0, 0, 10, 0), (10, 0, 20, 0), (20, 0, 20, 10)]
+    right = [(100, 0, 110, 0), (110, 0, 110, 10), (110, 10, 100, 0), (110, 10, 120, 10)]
+    pieces = spark.createDataFrame([(i, *p) for i, p in enumerate(left + right)], "seg_id long, x0 long, y0 long, x1 long, y1 long")
+    anchors = lambda *p: spark.createDataFrame([(i, *a) for i, a in enumerate(p)], "key long, x long, y long")
+    kept = lambda *p: {tuple(r)[1:] for r in network.served_graph(pieces, anchors(*p), 30).collect()}
+    assert kept((0, 5), (25, 5)) == set(left) and kept((105, 5), (130, 10)) == set(right)
+    with pytest.raises(ValueError, match="serves every anchor"):
+        kept((0, 5), (130, 10))
