@@ -85,8 +85,9 @@ def link_edges(pages: DataFrame) -> DataFrame:
     refresh = F.transform(tags(r"(?is)<meta\b[^>]*\shttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), lambda t: F.regexp_replace(F.regexp_extract(value(attr(t, "content")), r"(?is)url\s*=\s*(.*)", 1), "^[\"']|[\"']$", ""))
     amp = lambda x: F.regexp_replace(x, "&amp;", "&")
     base = amp(value(attr(F.regexp_extract(html, r"(?is)<base\b[^>]*\shref\s*=[^>]*>", 0), "href")))
-    links = pages.select("url", base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("target")).where("target <> ''")
-    links = links.withColumn("base", F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(_absolute(F.col("base"), F.col("url")), F.col("url"))))
+    # Each step of resolving names the last one's columns many times: staged, so that they are not spelt out within each other.
+    links = staged(pages.select("url", base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("target")).where("target <> ''"))
+    links = staged(links.select("url", "target", F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(_absolute(F.col("base"), F.col("url")), F.col("url"))).alias("base")))
     return links.select(_node(F.col("url")).alias("u"), _node(_absolute(amp("target"), F.col("base"))).alias("v")).where("u <> '' and v <> ''").distinct()
 
 
