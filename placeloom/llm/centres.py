@@ -26,7 +26,7 @@ from .common import staged
 #: Members of a large node whose sets make its centre (half as many at least, about).
 SAMPLE = 64
 #: What a block of members holds: at most so many differences, a member counting for ``LEAST`` of them at least.
-BLOCK, LEAST = 1 << 17, 64
+BLOCK, LEAST = 1 << 16, 64
 #: Rows and bytes up to which a table of centres or classes is broadcast.
 FEW, LIGHT = 5_000, 16 << 20
 
@@ -195,7 +195,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return sid, mult, u, np.repeat(np.arange(len(sid)), many), np.frombuffer(blob, np.uint64, offset=at), [tuple(x.tolist()) for x in np.split(flat, cuts)]
 
 
-def _overlaps(x: tuple, y: tuple, width: int = 4096) -> np.ndarray:
+def _overlaps(x: tuple, y: tuple, width: int = 2048) -> np.ndarray:
     """How many differences each member of the one block shares with each of the other."""
     both = np.intersect1d(x[4], y[4])
     out = np.zeros((len(x[0]), len(y[0])), np.float32)
@@ -225,7 +225,10 @@ def _meet(num: int, den: int):
         x, y = _unpack(table.column("blob")[0].as_py()), _unpack(table.column("other_blob")[0].as_py())
         limit = (den - num) * c
         off = x[2][:, None] + y[2][None, :]
-        links = (off > limit) & (off - (den + num) * _overlaps(x, y) <= limit)
+        links = off > limit
+        off -= limit
+        links &= off <= (den + num) * _overlaps(x, y)
+        del off
         names: dict[tuple, int] = {}
         of = [np.array([names.setdefault(g, len(names)) for g in side[5]]) for side in (x, y)]
         owned = np.array([[min(set(a) & set(b)) == centre for b in names] for a in names])
@@ -249,6 +252,8 @@ def _meet(num: int, den: int):
             a, b = low, high
         roots = a if same else np.concatenate((a, b))
         has = counts > 0
+        del links, low, high
+        release()
         return pa.table({"sid": pa.array(sids[has], pa.int64()), "links": pa.array(counts[has].astype(np.int64)), "root": pa.array(roots[has], pa.int64())})
 
     return run

@@ -244,6 +244,8 @@ def _needed(s_num: int, s_den: int):
         kept = table.select([c.split()[0] for c in _ROW.split(", ")]).filter(pa.array(keep))
         for name in ("leaves", "centres"):
             kept = kept.set_column(kept.column_names.index(name), name, kept.column(name).cast(pa.list_(pa.int64())))
+        del t
+        release()
         return kept
 
     return run
@@ -303,6 +305,8 @@ def _link(s_num: int, s_den: int):
                     parent[max(x, y)] = min(x, y)
         has = links > 0
         sids = t["sid"][has]
+        del sets, held
+        release()
         return pa.table({"sid": pa.array(sids), "links": pa.array(links[has]), "root": pa.array([find(x) for x in sids.tolist()], pa.int64())})
 
     return run
