@@ -61,10 +61,12 @@ def range_hashes(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive values (also those that cross documents)."""
-    if len(values) < k:
-        return np.zeros(0, np.uint64)
-    c = prefix_hashes(values)
-    return mix((c[k:] - c[:-k]) * powers(len(c))[1][: len(c) - k])
+    return grams_of(prefix_hashes(values), k) if len(values) >= k else np.zeros(0, np.uint64)
+
+
+def grams_of(c: np.ndarray, k: int) -> np.ndarray:
+    """``gram_hashes`` of the values with the prefix hashes c."""
+    return mix((c[k:] - c[:-k]) * powers(len(c))[1][: len(c) - k]) if len(c) > k else np.zeros(0, np.uint64)
 
 
 def sliding(x: np.ndarray, w: int, op) -> np.ndarray:

@@ -1,7 +1,9 @@
 """Exact repeats of L consecutive items (bytes or words) over a corpus, without comparing all with all.
 
 1. Every text is cut into k-grams; the least hash of each L-window's k-grams is an anchor.  Equal windows have
-   equal anchors.  Anchors travel in packed blobs, in buckets by hash; those found once are dropped.
+   equal anchors, and equal items around these: a window leaves half of what is no anchor on one side at least.
+   Anchors travel in packed blobs, in buckets by hash, with 16 bits of what stands half so far to either side;
+   those that no other one equals on some side are dropped, so grams that recur by chance go no further.
 2. Texts with repeated anchors give, for each one, the stretch of windows it is the least of.  Stretches equal
    within a task are settled there and only the first travels on; anchors with very many holders are cut into
    single windows, dealt by the window, so that no bucket gathers a hot passage.
@@ -29,7 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import AS_IS, BYTE_VALUE, SPACED, gram_hashes, mix, prefix_hashes, range_hashes, release, sliding, split_words, text_chunks, within_rows
+from .arrays import AS_IS, BYTE_VALUE, SPACED, grams_of, mix, prefix_hashes, range_hashes, release, sliding, split_words, text_chunks, within_rows
+from ..runtime import discard
 from .common import give_back, n_buckets, small_batches, staged
 
 #: Holders beyond which an anchor's windows are dealt singly.
@@ -202,10 +205,21 @@ class Repeats:
 
     # -- pass 1
     def _anchors(self, buf, offsets):
-        values, first, starts, ends, items = self.kind.items(buf, offsets)
-        grams = gram_hashes(values, self.gram)
-        ok = within_rows(len(values), first, self.length)
-        return grams, ok, first, starts, ends, items
+        """(grams, which windows lie in one row, items before each row, prefix hashes)."""
+        values, first, *_ = self.kind.items(buf, offsets)
+        c = prefix_hashes(values)
+        return grams_of(c, self.gram), within_rows(len(values), first, self.length), first, c
+
+    def _around(self, c, first, place, row):
+        """16 bits of what anchors and the items before (after) them are, 0 where the row has too few."""
+        most, reach = self.length - self.gram, (self.length - self.gram + 1) // 2
+        out = []
+        for a, z in ((place - reach, place + self.gram), (place, place + self.gram + reach)):
+            inside = (a >= first[row]) & (z <= first[row + 1]) if most else np.ones(len(place), bool)
+            bits = np.zeros(len(place), np.uint16)
+            bits[inside] = np.maximum(range_hashes(c, a[inside], z[inside]) >> np.uint64(48), np.uint64(1))
+            out.append(bits)
+        return out
 
     def repeated_anchors(self, rows: DataFrame, n: int) -> DataFrame:
         """(bucket of the row, blob of (row key, anchor hash, hot)) of anchors found more than once."""
@@ -216,20 +230,23 @@ class Repeats:
                 keys = batch.column(1).to_numpy(zero_copy_only=False)
                 packs: dict[tuple[int, int], list] = {}
                 for at, buf, offsets in text_chunks(batch.column(0), CHUNK):
-                    grams, ok, first, *_ = self._anchors(buf, offsets)
+                    grams, ok, first, c = self._anchors(buf, offsets)
                     place = anchors(grams, ok, self.length - self.gram + 1) if ok.any() else np.zeros(0, np.int64)
-                    h, own = grams[place], keys[at + np.searchsorted(first, place, "right") - 1]
+                    row = np.searchsorted(first, place, "right") - 1
+                    h, own = grams[place], keys[at + row]
+                    before, after = self._around(c, first, place, row)
                     values, count = np.unique(h, return_counts=True)
                     new = np.setdiff1d(values[count > LOCAL], hot, assume_unique=True)
                     hot = np.union1d(hot, new)
                     known = np.isin(h, hot)
-                    for kind, some_h, some_keys, to in (
-                        (ONCE, h[~known], own[~known], (h[~known] >> np.uint64(32)) % np.uint64(n)),
-                        (TOLD, h[known], own[known], np.mod(own[known], n)),
-                        (NEW, new, np.zeros(len(new), np.int64), (new >> np.uint64(32)) % np.uint64(n)),
+                    none = np.zeros(max(len(h), len(new)), np.uint16)
+                    for kind, some_h, some_keys, some_before, some_after, to in (
+                        (ONCE, h[~known], own[~known], before[~known], after[~known], (h[~known] >> np.uint64(32)) % np.uint64(n)),
+                        (TOLD, h[known], own[known], none, none, np.mod(own[known], n)),
+                        (NEW, new, np.zeros(len(new), np.int64), none, none, (new >> np.uint64(32)) % np.uint64(n)),
                     ):
                         for b, mine in parts_by(to):
-                            packs.setdefault((kind, b), []).append((some_h[mine], some_keys[mine]))
+                            packs.setdefault((kind, b), []).append((some_h[mine], some_keys[mine], some_before[mine], some_after[mine]))
                 if packs:
                     blobs = [pack(*self._by_row(p)) for p in packs.values()]
                     kinds, buckets = zip(*packs)
@@ -239,10 +256,11 @@ class Repeats:
         def find(table: pa.Table) -> pa.Table:
             parts: tuple[list, list, list] = ([], [], [])
             for kind, blob in zip(table.column("kind").to_pylist(), values_of(table, "blob")):
-                h, keys, counts = unpack(blob, np.uint64, np.int64, np.uint32)
-                parts[kind].append([h, np.repeat(keys, counts)])
-            h, keys = concat(parts[ONCE], (np.uint64, np.int64))
-            told = np.unique(concat(parts[NEW], (np.uint64, np.int64))[0])
+                h, before, after, keys, counts = unpack(blob, np.uint64, np.uint16, np.uint16, np.int64, np.uint32)
+                parts[kind].append([h, np.repeat(keys, counts), before, after])
+            kinds = (np.uint64, np.int64, np.uint16, np.uint16)
+            h, keys, before, after = concat(parts[ONCE], kinds)
+            told = np.unique(concat(parts[NEW], kinds)[0])
             order = np.argsort(h)
             s = h[order]
             head = np.ones(len(s), bool)
@@ -251,8 +269,18 @@ class Repeats:
             size = np.bincount(number) if len(s) else np.zeros(0, np.int64)
             size = size + (HOT + 1) * np.isin(s[head], told)
             again = size[number] > 1
-            order, size = order[again], size[number][again]
-            direct_h, direct_keys = concat(parts[TOLD], (np.uint64, np.int64))
+            order, size, number = order[again], size[number][again], number[again]
+            # Equal windows are equal on one side of their anchors; holders of anchors told elsewhere are not all here.
+            alike = np.isin(h[order], told)
+            for bits in (before[order], after[order]):
+                same = number << 16 | bits
+                by = np.argsort(same)
+                twin = np.zeros(len(by), bool)
+                twin[1:] = same[by][1:] == same[by][:-1]
+                twin[:-1] |= twin[1:]
+                alike[by] |= twin & (bits[by] > 0)
+            order, size = order[alike], size[alike]
+            direct_h, direct_keys, *_ = concat(parts[TOLD], kinds)
             h, keys = np.concatenate((h[order], direct_h)), np.concatenate((keys[order], direct_keys))
             hot = np.concatenate(((size > HOT).astype(np.uint8), np.ones(len(direct_h), np.uint8)))
             found = [(b, pack(keys[mine], h[mine], hot[mine])) for b, mine in parts_by(np.mod(keys, n))]
@@ -263,9 +291,9 @@ class Repeats:
 
     @staticmethod
     def _by_row(parts):
-        h, keys = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        h, keys, before, after = (np.concatenate(x) for x in zip(*parts))
         heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        return h, keys[heads], np.diff(np.append(heads, len(keys))).astype(np.uint32)
+        return h, before, after, keys[heads], np.diff(np.append(heads, len(keys))).astype(np.uint32)
 
     # -- pass 2
     def stretches(self, rows: DataFrame, repeated: DataFrame, n: int, keep_text: bool = False) -> DataFrame:
@@ -314,16 +342,16 @@ class Repeats:
         used = 0
         for at, buf, offsets in text_chunks(texts, CHUNK):
             values, first, _, _, items = self.kind.items(buf, offsets)
-            grams, ok = gram_hashes(values, self.gram), within_rows(len(values), first, L)
-            window = np.flatnonzero(ok)
+            c = prefix_hashes(values)
+            grams, window = grams_of(c, self.gram), np.flatnonzero(within_rows(len(values), first, L))
             if not len(window):
                 continue
-            runs = np.lib.stride_tricks.sliding_window_view(grams, w)
-            least = np.concatenate([window[s : s + (1 << 13)] + runs[window[s : s + (1 << 13)]].argmin(axis=1) for s in range(0, len(window), 1 << 13)])
-            row = np.searchsorted(first, window, "right") - 1
-            heads = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (row[1:] != row[:-1]))))
+            # The first least gram moves on where the least changes, or where the window before began with it.
+            least = sliding(grams, w, np.minimum)[window]
+            row = np.repeat(np.arange(len(first) - 1), np.maximum(np.diff(first) - L + 1, 0))
+            heads = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (grams[window[:-1]] == least[:-1]) | (row[1:] != row[:-1]))))
             size = np.diff(np.append(heads, len(window)))
-            start, h, r = window[heads], grams[least[heads]], row[heads]
+            start, h, r = window[heads], least[heads], row[heads]
             own = mix(h ^ mix(row_keys[at + r].view(np.uint64)))
             found = np.minimum(np.searchsorted(known, own), len(known) - 1)
             hit = known[found] == own
@@ -331,7 +359,7 @@ class Repeats:
             # Hot anchors: one stretch per window, dealt by the window.
             step = np.arange(int(size[burst].sum())) - np.repeat(np.cumsum(size[burst]) - size[burst], size[burst])
             single = np.repeat(start[burst], size[burst]) + step
-            deal = np.concatenate((h[~burst], gram_hashes(values, L)[single]))
+            deal = np.concatenate((h[~burst], range_hashes(c, single, single + L)))
             start, r = np.concatenate((start[~burst], single)), np.concatenate((r[~burst], np.repeat(r[burst], size[burst])))
             got.append((deal, start + used, np.concatenate((size[~burst], np.ones(len(single), np.int64))), row_keys[at + r], docs[at + r], start - first[r], items))
             used += len(items)
@@ -402,6 +430,7 @@ class Repeats:
         repeated = staged(self.repeated_anchors(rows, n))
         give_back(docs.sparkSession)
         sent = staged(self.stretches(rows, repeated, n, keep_text))
+        discard(repeated)
         give_back(docs.sparkSession)
         marks = staged(sent.where(F.col("kind") == MARKS).unionByName(self.settle(sent, n)).select(F.col("bucket").alias("to"), F.col("payload").alias("marks")))
         give_back(docs.sparkSession)

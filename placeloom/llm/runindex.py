@@ -21,6 +21,12 @@ WINDOW_BYTES = 100
 
 def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Places in order of their suffixes up to their end (ends: per place); ties by place."""
+    bits = len(text).bit_length()
+    return _order_in_keys(text, ends, bits) if 3 * bits <= 64 else order_of_many(text, ends)
+
+
+def order_of_many(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``suffix_order`` of any number of places."""
     n = len(text)
     place = np.arange(n, dtype=np.int64)
     padded = np.concatenate((text.astype(np.uint64) + 1, np.zeros(7, np.uint64)))
@@ -43,6 +49,36 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.argsort(rank << np.uint64(32) | place.view(np.uint64))
 
 
+def _order_in_keys(text: np.ndarray, ends: np.ndarray, bits: int) -> np.ndarray:
+    """``suffix_order`` with places of few bits: keys carry them, so plain sorting tells the order."""
+    n, shift = len(text), np.uint64(bits)
+    place = np.arange(n, dtype=np.uint64)
+    left = (ends - np.arange(n)).astype(np.uint64)
+    letter = np.zeros(256, np.uint64)
+    used = np.flatnonzero(np.bincount(text, minlength=256))
+    letter[used] = np.arange(1, len(used) + 1)
+    wide = len(used).bit_length()
+    depth, longest = (64 - bits) // wide, int(left.max())
+    padded = np.concatenate((letter[text], np.zeros(depth, np.uint64)))
+    key = np.zeros(n, np.uint64)
+    for j in range(depth):
+        key = key << np.uint64(wide) | np.where(left > np.uint64(j), padded[j : j + n], np.uint64(0))
+    while True:
+        s = np.sort(key << shift | place)
+        order = (s & np.uint64((1 << bits) - 1)).astype(np.int64)
+        s >>= shift
+        head = np.ones(n, bool)
+        head[1:] = s[1:] != s[:-1]
+        if depth >= longest or head.all():
+            return order
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(head).astype(np.uint64)
+        ahead = np.zeros(n, np.uint64)
+        ahead[: max(n - depth, 0)] = rank[depth:]
+        key = rank << shift | np.where(left > np.uint64(depth), ahead, np.uint64(0))
+        depth *= 2
+
+
 class RunIndex:
     """Per run, in order of the text: the place at its head, the place above it and their common bytes."""
 

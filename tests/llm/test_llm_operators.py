@@ -113,6 +113,31 @@ def test_run_index_classes(texts, length):
         assert len({*zip(windows, found.tolist())}) == len(set(windows)) == len(set(found.tolist()))
 
 
+def test_grams_that_recur_alone_go_no_further(spark):
+    """Texts share 60 bytes, too few for a window, and one pair shares 140: only anchors of the pair are sent on."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    chance, passage = word(60), word(140)
+    texts = [word(100) + chance + word(100) + (passage if i in (3, 17) else "") + word(50) for i in range(30)]
+    rows = spark.createDataFrame([(i, t, i, i % 4) for i, t in enumerate(texts)], "doc_id long, text string, row_key long, bucket int")
+    found = repeats.Repeats(repeats.Bytes, 100, 32, runindex.classes).repeated_anchors(rows, 4).collect()
+    keys = {k for r in found for k in repeats.unpack(r.blob, np.int64, np.uint64, np.uint8)[0].tolist()}
+    assert keys == {3, 17}
+    got = {r.doc_id: r.n_removed for r in runindex.byte_dedup(rows).collect()}
+    assert got[17] == 140 and sum(got.values()) == 140
+
+
+@pytest.mark.parametrize(("letters", "most"), [(b"a", 400), (b"ab", 90), (bytes(range(256)), 60)])
+def test_suffix_order(letters, most):
+    """By the whole suffix up to its end, then by place, with places in the keys and apart."""
+    rng = random.Random(len(letters))
+    parts = [bytes(rng.choices(letters, k=rng.randint(1, most))) for _ in range(30)]
+    whole, sizes = b"".join(parts), np.array(list(map(len, parts)))
+    text, ends = np.frombuffer(whole, np.uint8), np.repeat(np.cumsum(sizes), sizes)
+    order = sorted(range(len(whole)), key=lambda i: (whole[i : ends[i]], i))
+    assert runindex.suffix_order(text, ends).tolist() == runindex.order_of_many(text, ends).tolist() == order
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", min_size=0, max_size=6), max_size=40), st.integers(1, 20), st.booleans())
 def test_content_ids(texts, step, clash):
