@@ -9,7 +9,7 @@
    single windows, dealt by the window, so that no bucket gathers a hot passage.
 3. A bucket settles equal stretches, and hands the rest to an index (a suffix automaton or a run-compressed
    Burrows-Wheeler transform), which tells the classes of equal windows.  All but the first of a class repeat.
-4. Marked ranges go back to their texts.
+4. Marked ranges go back to their texts, which are read again: nothing but stretches and marks is kept in between.
 
 An anchor that one task meets more than ``LOCAL`` times in a chunk of text is known to be hot: from then on the
 task tells its holders' buckets at once, and sends the anchor's own bucket one entry only.  So that bucket gathers
@@ -45,7 +45,7 @@ _NULL = np.iinfo(np.int64).min
 SCHEMA = "kind int, bucket int, row_key long, doc_id long, n long, n_removed long, n_spans long, sha string, payload binary"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-DONE, TEXT, STRETCHES, MARKS = range(4)
+DONE, STRETCHES, MARKS = range(3)
 #: Entries of anchors: for the anchor's bucket, for the holder's bucket as it is hot, and that it is hot.
 ONCE, TOLD, NEW = range(3)
 
@@ -296,38 +296,23 @@ class Repeats:
         return h, before, after, keys[heads], np.diff(np.append(heads, len(keys))).astype(np.uint32)
 
     # -- pass 2
-    def stretches(self, rows: DataFrame, repeated: DataFrame, n: int, keep_text: bool = False) -> DataFrame:
-        """SCHEMA rows: finished rows, texts with repeated anchors, their stretches, and marks settled here."""
-        kind = self.kind
+    def stretches(self, rows: DataFrame, repeated: DataFrame, n: int) -> DataFrame:
+        """SCHEMA rows: stretches of the texts with repeated anchors, and marks settled here."""
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows:
+            if not left.num_rows or not right.num_rows:
                 return _table([])
             parts = [unpack(b, np.int64, np.uint64, np.uint8) for b in values_of(right, "blob")]
             keys, hashes, hot = concat(parts, (np.int64, np.uint64, np.uint8))
             order = np.lexsort((hashes, keys))
             keys, hashes, hot = keys[order], hashes[order], hot[order]
-            row_keys = left.column("row_key").to_numpy()
-            docs = left.column("doc_id").to_numpy().copy() if not left.column("doc_id").null_count else np.array([_NULL if v is None else v for v in left.column("doc_id").to_pylist()], np.int64)
-            flagged = np.isin(row_keys, keys)
-            bucket = int(left.column("bucket")[0].as_py())
-            out: list[tuple] = []
-            given = left.column("doc_id").to_pylist()
-            texts = left.column("text").combine_chunks().cast(pa.large_string())
-            raw, offsets = _buffers(texts)
-            for i in np.flatnonzero(~flagged).tolist():
-                body = raw[offsets[i] : offsets[i + 1]].tobytes()
-                out.append((DONE, bucket, None, given[i], *kind.finish(body, []), kind.remaining(body, []) if keep_text else None))
-            rest = np.flatnonzero(flagged)
-            if len(rest):
-                # The texts travel on as one packed blob.
-                chosen = texts.take(pa.array(rest))
-                body, at = _buffers(chosen)
-                nulls = np.array([given[i] is None for i in rest.tolist()], np.uint8)
-                out.append((TEXT, bucket, None, None, None, None, None, None, pack(row_keys[rest], docs[rest], nulls, np.diff(at), body[at[0] : at[-1]])))
-                once = np.unique(row_keys[rest], return_index=True)[1]
-                out += self._stretches(chosen.take(pa.array(once)), row_keys[rest][once], docs[rest][once], keys, hashes, hot, n)
-            return _table(out)
+            row_keys, docs = left.column("row_key").to_numpy(), left.column("doc_id").fill_null(_NULL).to_numpy()
+            own, once = np.unique(row_keys, return_index=True)
+            once = np.sort(once[np.isin(own, keys)])
+            if not len(once):
+                return _table([])
+            texts = left.column("text").combine_chunks().cast(pa.large_string()).take(pa.array(once))
+            return _table(self._stretches(texts, row_keys[once], docs[once], keys, hashes, hot, n))
 
         right = repeated.select("bucket", "blob")
         return rows.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(run, SCHEMA)
@@ -429,10 +414,11 @@ class Repeats:
         rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("bucket", F.pmod("row_key", F.lit(n)).cast("int"))
         repeated = staged(self.repeated_anchors(rows, n))
         give_back(docs.sparkSession)
-        sent = staged(self.stretches(rows, repeated, n, keep_text))
+        sent = staged(self.stretches(rows, repeated, n))
         discard(repeated)
         give_back(docs.sparkSession)
         marks = staged(sent.where(F.col("kind") == MARKS).unionByName(self.settle(sent, n)).select(F.col("bucket").alias("to"), F.col("payload").alias("marks")))
+        discard(sent)
         give_back(docs.sparkSession)
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -442,24 +428,20 @@ class Repeats:
             keys, a, b = concat(parts, (np.int64, np.uint32, np.uint32))
             order = np.lexsort((a, keys))
             keys, a, b = keys[order], a[order].astype(np.int64), b[order].astype(np.int64)
+            row_keys, given = left.column("row_key").to_numpy(), left.column("doc_id").to_pylist()
+            raw, offsets = _buffers(left.column("text").combine_chunks().cast(pa.large_string()))
+            lows, highs = np.searchsorted(keys, row_keys, "left").tolist(), np.searchsorted(keys, row_keys, "right").tolist()
             out = []
-            for blob in left.column("payload").to_pylist():
-                row_keys, docs, nulls, sizes, pool = unpack(blob, np.int64, np.int64, np.uint8, np.int64, np.uint8)
-                ends = np.cumsum(sizes)
-                lows, highs = np.searchsorted(keys, row_keys, "left").tolist(), np.searchsorted(keys, row_keys, "right").tolist()
-                for doc, null, start, end, low, high in zip(docs.tolist(), nulls.tolist(), (ends - sizes).tolist(), ends.tolist(), lows, highs):
-                    ranges: list[tuple[int, int]] = []
-                    for x, y in zip(a[low:high].tolist(), b[low:high].tolist()):
-                        if ranges and x <= ranges[-1][1]:
-                            ranges[-1] = (ranges[-1][0], max(y, ranges[-1][1]))
-                        else:
-                            ranges.append((x, y))
-                    body = pool[start:end].tobytes()
-                    out.append((DONE, 0, None, None if null else doc, *kind.finish(body, ranges), kind.remaining(body, ranges) if keep_text else None))
+            for doc, start, end, low, high in zip(given, offsets[:-1].tolist(), offsets[1:].tolist(), lows, highs):
+                ranges: list[tuple[int, int]] = []
+                for x, y in zip(a[low:high].tolist(), b[low:high].tolist()):
+                    if ranges and x <= ranges[-1][1]:
+                        ranges[-1] = (ranges[-1][0], max(y, ranges[-1][1]))
+                    else:
+                        ranges.append((x, y))
+                body = raw[start:end].tobytes()
+                out.append((DONE, 0, None, doc, *kind.finish(body, ranges), kind.remaining(body, ranges) if keep_text else None))
             return _table(out)
 
-        texts = sent.where(F.col("kind") == TEXT).select("bucket", "payload")
-        finished = texts.groupBy("bucket").cogroup(marks.groupBy("to")).applyInArrow(run, SCHEMA)
-        whole = sent.where(F.col("kind") == DONE)
-        return whole.unionByName(finished).select("doc_id", "n", "n_removed", "n_spans", "sha", *(["payload"] if keep_text else []))
-
+        finished = rows.groupBy("bucket").cogroup(marks.groupBy("to")).applyInArrow(run, SCHEMA)
+        return finished.select("doc_id", "n", "n_removed", "n_spans", "sha", *(["payload"] if keep_text else []))
