@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +76,50 @@ def test_stars_cluster_as_all_pairs_do(spark):
     assert got == brute(near + links) == brute(near + everyone)
 
 
+def test_clusters_replay_lists_of_edges():
+    """All edges of a record at once give what one after another does, identifiers refused alike."""
+    rng = random.Random(21)
+    for _ in range(200):
+        n = rng.randint(2, 25)
+        idents = [rng.choice([-1, -1, 5, 6, 7]) for _ in range(n)]
+        edges = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randint(1, 60))})
+        parent, held = list(range(n)), [{g} - {-1} for g in idents]
+
+        def find(x):
+            while parent[x] != x:  # noqa: B023
+                x = parent[x]  # noqa: B023
+            return x
+
+        for a, b in edges:
+            x, y = sorted((find(a), find(b)))
+            if x != y and len(held[x] | held[y]) <= 1:
+                parent[y], held[x] = x, held[x] | held[y]
+        starts = sorted({a for a, _ in edges})
+        lists = [np.array([10 * b for a, b in edges if a == s]) for s in starts]
+        got = resolve._replay(np.arange(n) * 10, np.array(idents), np.array(starts) * 10, lists)
+        assert (got // 10).tolist() == [find(x) for x in range(n)]
+
+
+def test_alike_folds_and_shared_positions(spark):
+    """Bounds never change the verdict of the ratio, and records of one position are told apart once, not pair by pair."""
+    rng = random.Random(5)
+    names = ["", *("".join(rng.choices("abc 12", k=rng.randint(1, 9))) for _ in range(30)), "customer 12", "supplier 12", "customer 977"]
+    pairs = spark.createDataFrame([(x, y) for x in names for y in names], "x string, y string")
+    for r in pairs.select(text.fold_similarity("x", "y").alias("s"), text.folds_alike(0.6)("x", "y").alias("alike")).collect():
+        assert r.alike == (r.s >= 0.6)
+    people = spark.createDataFrame([(i, 28.0 + i % 3 / 10000, 36.0) for i in range(90)], "place_id long, lon double, lat double")
+    found = resolve.near_pairs(people, metres=12.0, distance=resolve.haversine_m)
+    assert {(r.a, r.b) for r in found.collect()} == {(a, b) for a, b in itertools.combinations(range(90), 2) if abs(a % 3 - b % 3) < 2}
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(a, b, c, d):
+        asked.add(1)
+        return 1.0
+
+    assert resolve.near_pairs(people, metres=12.0, distance=counted).count() == 90 * 89 // 2 and asked.value <= 12
+
+
 def test_planted_places_are_matched(spark):
     """Each nation has a museum that two sources name alike: near, and one of them at least without an identifier."""
     edges = {(r.a, r.b): r.rule for r in QUERIES["j2_match_edges"](spark, SF).collect()}
