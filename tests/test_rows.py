@@ -100,6 +100,19 @@ def test_clusters_replay_lists_of_edges():
         assert (got // 10).tolist() == [find(x) for x in range(n)]
 
 
+def test_edges_are_packed_together():
+    """Edges that come in many batches make one list a record and one tree, not one a batch."""
+    import pyarrow as pa
+
+    edges = [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    random.Random(3).shuffle(edges)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*edges[i : i + 10])], ["a", "b"]) for i in range(0, len(edges), 10)]
+    rows = [r for batch in resolve._packed(iter(batches)) for r in batch.to_pylist()]
+    assert sorted((r["a"], b) for r in rows if r["least"] is None for b in r["others"]) == sorted(edges) and sum(r["least"] is None for r in rows) == 39
+    assert [(r["a"], r["least"]) for r in rows if r["least"] is not None] == [(x, 0) for x in range(1, 40)]
+    assert not list(resolve._packed(iter([])))
+
+
 def test_alike_folds_and_shared_positions(spark):
     """Bounds never change the verdict of the ratio, and records of one position are told apart once, not pair by pair."""
     rng = random.Random(5)
