@@ -10,7 +10,7 @@ sets that share s of what sets them off are a link if u + v <= (den - num) c + (
 * what lies between is compared by the differences alone, in blocks of ordered u, dealt pair by pair of blocks.
 
 By the triangle inequality a set within the distance 1 - num / den of a centre has links only with sets within
-twice that, so it may leave the centre's node.  A pair with several common centres belongs to the least.
+twice that, so it may leave the centre's node, or all nodes if the centre has been held against all sets.  A pair with several common centres belongs to the least.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ SAMPLE = 64
 BLOCK, LEAST = 1 << 16, 64
 #: Rows and bytes up to which a table of centres or classes is broadcast.
 FEW, LIGHT = 5_000, 16 << 20
+#: Sampled rows up to which their numbers are broadcast, so that no text is shuffled for them.
+SPARSE = 100_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -95,28 +97,81 @@ def _differences(num: int, den: int):
     return run
 
 
-def gather(wide: DataFrame, sets_of, sketch_of, coordinates: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Of large nodes, staged (sid, node, members, sketch): members of the groups, and rows (sid, node) that may leave."""
-    spread = num / den
+def _near_any(centres: np.ndarray, sketches: np.ndarray, least: float):
+    """(sid, centre) of rows (sid, sketch) whose sketch agrees with a centre's often enough (once at least)."""
+    coordinates = sketches.shape[1]
+    place = np.arange(coordinates, dtype=np.uint64) << np.uint64(32)
+    held = (place | sketches).ravel()
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], order // coordinates
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sids = batch.column(0).to_numpy(zero_copy_only=False)
+            every = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, coordinates)
+            for s in range(0, len(sids), 512):
+                keys = (place | every[s : s + 512]).ravel()
+                low = np.searchsorted(held, keys, "left")
+                count = np.searchsorted(held, keys, "right") - low
+                row = np.repeat(np.arange(len(keys)) // coordinates, count)
+                hit = np.arange(len(row)) + np.repeat(low - (np.cumsum(count) - count), count)
+                pairs, agree = np.unique(row * len(centres) + owner[hit], return_counts=True)
+                pairs = pairs[agree >= least * coordinates]
+                yield pa.RecordBatch.from_arrays([pa.array(sids[s + pairs // len(centres)]), pa.array(centres[pairs % len(centres)])], ["sid", "centre"])
+
+    return run
+
+
+def _least_near(num: int, den: int, coordinates: int) -> float:
+    """The share of places in which sketches of sets within twice the link distance agree, five standard deviations off at most."""
+    least = 2 * num / den - 1
+    return max(0.0, least - 5 * np.sqrt(least * (1 - least) / coordinates)) if least > 0 else 0.0
+
+
+def _centres(wide: DataFrame, sets_of, sketch_of, coordinates: int, close: float) -> DataFrame:
+    """Staged (node, centre, c, centre_sketch, centre_set) of large nodes (sid, node, members, sketch)."""
     sample = staged(wide.where(F.pmod(F.xxhash64("sid", "node"), F.ceil(F.col("members") / SAMPLE)) == 0))
-    sets = sets_of(sample.select("sid").distinct())
-    centres = staged(
-        sample.join(sets, "sid")
-        .groupBy("node")
-        .applyInArrow(_centre(sketch_of, coordinates, 2 * spread - 1), "node long, centre long, c long, centre_sketch binary, centre_set binary")
-    )
-    # Sketches of sets within twice the link distance agree in as large a share of places, five standard deviations off at most.
-    least = 2 * spread - 1
-    least = max(0.0, least - 5 * np.sqrt(least * (1 - least) / coordinates)) if least > 0 else 0.0
-    near = wide.join(small(centres.select("node", "centre", "centre_sketch")), "node").select("sid", "node", "centre", "sketch", "centre_sketch")
-    near = staged(near.mapInArrow(_alike(coordinates, least), "sid long, node long, centre long"))
-    each = near.select("sid", "centre").distinct()
-    texts = sets_of(each.select("sid").distinct())
+    sets = sets_of(sample.select("sid").distinct(), few=sample.count() <= SPARSE)
+    made = sample.join(sets, "sid").groupBy("node").applyInArrow(_centre(sketch_of, coordinates, close), "node long, centre long, c long, centre_sketch binary, centre_set binary")
+    return staged(made)
+
+
+def _measured(each: DataFrame, texts: DataFrame, centres: DataFrame, num: int, den: int) -> DataFrame:
+    """Staged members of the groups, of (sid, centre) that may be within twice the link distance."""
     once = centres.groupBy("centre").agg(F.first("centre_set").alias("centre_set"))
     if (once.agg(F.sum(F.length("centre_set"))).first()[0] or 0) <= LIGHT:
         once = F.broadcast(once)
     members = each.join(texts, "sid").join(once, "centre").select("sid", "centre", "set", "centre_set")
-    members = staged(members.mapInArrow(_differences(num, den), "sid long, centre long, c long, u long, inner boolean, differences binary"))
+    return staged(members.mapInArrow(_differences(num, den), "sid long, centre long, c long, u long, inner boolean, differences binary"))
+
+
+def gather_all(reps: DataFrame, wide: DataFrame, sets_of, sketch_of, coordinates: int, num: int, den: int) -> DataFrame | None:
+    """Members, among all ``reps``, of the groups around centres of large nodes; None if there are no centres.
+
+    A member marked ``inner`` has no links but with members of its centre, so it need not be looked for elsewhere.
+    """
+    least = _least_near(num, den, coordinates)
+    if not least:  # sketches tell nothing of sets so far apart
+        return None
+    centres = _centres(wide, sets_of, sketch_of, coordinates, 2 * num / den - 1)
+    # At most two a run and ``LEAF`` sets: a few hundred bytes each.
+    found = centres.select("centre", "centre_sketch").dropDuplicates(["centre"]).collect()
+    if not found:
+        return None
+    numbers, sketches = np.array([r.centre for r in found], np.int64), np.stack([np.frombuffer(r.centre_sketch, np.uint32) for r in found])
+    near = staged(reps.select("sid", "sketch").mapInArrow(_near_any(numbers, sketches, least), "sid long, centre long"))
+    return _measured(near, sets_of(near.select("sid").distinct()), centres, num, den)
+
+
+def gather(wide: DataFrame, sets_of, sketch_of, coordinates: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Of large nodes, staged (sid, node, members, sketch): members of the groups, and rows (sid, node) that may leave."""
+    centres = _centres(wide, sets_of, sketch_of, coordinates, 2 * num / den - 1)
+    near = wide.join(small(centres.select("node", "centre", "centre_sketch")), "node").select("sid", "node", "centre", "sketch", "centre_sketch")
+    near = staged(near.mapInArrow(_alike(coordinates, _least_near(num, den, coordinates)), "sid long, node long, centre long"))
+    each = near.select("sid", "centre").distinct()
+    members = _measured(each, sets_of(each.select("sid").distinct()), centres, num, den)
     leave = near.join(members.where("inner").select("sid", "centre"), ["sid", "centre"]).select("sid", "node").distinct()
     return members, leave
 

@@ -4,8 +4,9 @@ A text's set is its shingles of ``SHINGLE`` words (words between white space, un
 but not none, has all its words as one shingle.  Equal sets are one class representative.  Each run starts one
 node for all sets; a node chooses ``BRANCHES`` coordinates of the sets' MinHash sketches by its own number and
 splits its sets by the token sampled there.  Nodes of at most ``LEAF`` sets are brute-forced, larger ones split
-on, up to ``DEPTH`` times; near copies would never part, so a large node first looks for a dense group: sets
-around a centre are linked there exactly, from their differences (``centres``), and those near it leave the node.
+on, up to ``DEPTH`` times; near copies would never part, so dense groups are looked for first: sets around a centre
+of one run's large nodes are linked exactly, from their differences (``centres``), and those near it take part in no
+run.  A node that is large still looks for such a group among its own sets, and those near its centre leave it.
 What is still large after the last split is brute-forced in tiles.  A pair of similarity s lives through one split
 with 1 - (1 - s q)**BRANCHES, so ``runs_for`` repeats the runs until the target recall.  A pair belongs to its
 least common centre, else to the least leaf that holds both, so it is counted once.  Sketches drop pairs that are
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import AS_IS, SPACED, gram_hashes, mix, prefix_hashes, range_hashes, release, split_words, text_chunks, within_rows
-from .centres import gather, group_links
-from .common import components, n_buckets, small_batches, staged
+from .centres import gather, gather_all, group_links
+from .common import components, give_back, n_buckets, small_batches, staged
 
 SHINGLE, LEAF, DEPTH, BRANCHES, COORDINATES = 5, 256, 3, 2, 64
 _NO_CENTRE = np.uint64(2**64 - 1)
@@ -145,8 +146,17 @@ def _sized(nodes: DataFrame) -> DataFrame:
 
 def leaves(reps: DataFrame, sets_of, runs: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
     """((sid, leaf, members) of leaves with two members or more, members of dense groups or None)."""
-    nodes = staged(reps.select("sid", F.lit(0).cast("long").alias("node"), "sketch").mapInArrow(_split(runs), "sid long, node long"))
+    started = lambda some, n: staged(some.select("sid", F.lit(0).cast("long").alias("node"), "sketch").mapInArrow(_split(n), "sid long, node long"))
     found, groups, dense = [], [], None
+    # Dense groups are first looked for in one run and gathered from all sets; who is near a centre takes part in no run.
+    big = _sized(started(reps, 1)).where(F.col("members") > LEAF)
+    if big.limit(1).count():
+        members = gather_all(reps, staged(big.join(reps.select("sid", "sketch"), "sid").select("sid", "node", "members", "sketch")), sets_of, sketch_of, COORDINATES, num, den)
+        if members is not None:
+            groups.append(members)
+            reps = staged(reps.select("sid", "sketch").join(members.where("inner").select("sid").distinct(), "sid", "left_anti"))
+        give_back(reps.sparkSession)  # the texts that were shuffled for the groups
+    nodes = started(reps, runs)
     for depth in range(DEPTH + 1):
         now = _sized(nodes)
         found.append(now.where(F.col("members") <= LEAF))
@@ -156,7 +166,8 @@ def leaves(reps: DataFrame, sets_of, runs: int, num: int, den: int) -> tuple[Dat
         wide = staged(big.join(reps.select("sid", "sketch"), "sid").select("sid", "node", "members", "sketch"))
         if dense is None:  # later nodes are parts of these
             dense = staged(sets_of(wide.select("sid").distinct()))
-        members, leave = gather(wide, lambda wanted: dense.join(wanted, "sid"), sketch_of, COORDINATES, num, den)
+            give_back(reps.sparkSession)
+        members, leave = gather(wide, lambda wanted, few=False: dense.join(wanted, "sid"), sketch_of, COORDINATES, num, den)
         groups.append(members)
         # Only nodes that some leave are counted anew.
         leave = staged(leave)
@@ -337,9 +348,10 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shing
     one = sketched.select("sid", "sketch", F.col("row_key").alias("rep"))
     reps = staged(equal.join(one.dropDuplicates(["sid", "rep"]), ["sid", "rep"]))
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """(sid, set) of the given sids, once each."""
+    def sets_of(wanted: DataFrame, few: bool = False) -> DataFrame:
+        """(sid, set) of the given sids, once each; of few, the texts are picked where they are read."""
         keyed = wanted.join(reps.select("sid", "rep"), "sid")
+        keyed = F.broadcast(keyed) if few else keyed
         texts = rows.select(F.col("row_key").alias("rep"), "text").join(keyed, "rep").select("sid", "text").dropDuplicates(["sid"])
         return texts.mapInArrow(_sets(shingle), "sid long, set binary")
 

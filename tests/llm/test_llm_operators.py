@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -245,6 +246,31 @@ def test_dense_groups_are_exact(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == [(int(near[i].argmax()), int(degree[i])) for i in range(len(texts))]
 
 
+def test_dense_groups_take_part_in_no_run(spark, monkeypatch):
+    """Near copies meet by node in the run that looks for them, not again in each run and after each split."""
+    monkeypatch.setattr(chosenpath, "LEAF", 64)
+    seen, sized = [], chosenpath._sized
+
+    def counted(nodes):
+        out = sized(nodes)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(chosenpath, "_sized", counted)
+    texts = dense_texts(500, most=2)
+    got = chosenpath.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(texts) and sum(seen) <= 3 * len(texts), seen
+
+
+@pytest.mark.parametrize("least", [0.25, 0.3])
+def test_sketches_near_any_centre(least):
+    rng = np.random.default_rng(5)
+    centres_, rows = (rng.integers(0, 3, (n, 64), np.uint32) for n in (7, 600))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(600)), pa.array([x.tobytes() for x in rows])], ["sid", "sketch"])
+    got = sorted((s, c) for b in centres._near_any(np.arange(7) * 10, centres_, least)([batch]) for s, c in zip(*(x.to_pylist() for x in b.columns)))
+    assert got == [(i, 10 * j) for i in range(600) for j in range(7) if (rows[i] == centres_[j]).mean() >= least]
+
+
 def test_centres_hold_sets_of_any_distance():
     """The bounds on u decide as the sets themselves do."""
     rng = random.Random(3)
