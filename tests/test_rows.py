@@ -292,3 +292,27 @@ def test_graph_serves_all_anchors_or_is_refused(spark):
     assert kept((0, 5), (25, 5)) == set(left) and kept((105, 5), (130, 10)) == set(right)
     with pytest.raises(ValueError, match="serves every anchor"):
         kept((0, 5), (130, 10))
+
+
+def test_ratios_of_many_names_are_those_of_one():
+    import difflib
+
+    rng = random.Random(4)
+    names = {"".join(rng.choice("abc 12é") for _ in range(rng.randrange(9))) for _ in range(60)} | {f"customer {rng.randrange(9000)}" for _ in range(40)} | {"museum of japan", "ab" * 30, "ba" * 40}
+    names = sorted(names)
+    i, j = (c.ravel() for c in np.indices((len(names), len(names))))
+    want = [difflib.SequenceMatcher(None, *sorted((names[p], names[q])), autojunk=False).ratio() if names[p] and names[q] else 0.0 for p, q in zip(i.tolist(), j.tolist())]
+    assert text.fold_ratios(names, i, j).tolist() == want
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_names_of_positions_agree_as_those_of_pairs(spark, monkeypatch, several):
+    monkeypatch.setattr(resolve, "MEET", 3)
+    rng = random.Random(6)
+    places = spark.createDataFrame([(i, 23.7 + rng.randrange(6) * 1e-4, 38.0) for i in range(60)] + ([(7, 23.7, 38.0)] if several else []), "place_id long, lon double, lat double")
+    said = [(i, t, f"Café {rng.randrange(30)}") for i in range(60) for t in rng.choice((["und"], ["en"], ["el", "und"], ["el", "en"], [None])) for _ in "xy"[: 1 + several]]
+    if not several:
+        said = [(i, t, f"Bar {i % 9}" if i else None) for i, t, _ in said]
+    names = spark.createDataFrame(said, "key long, tag string, name string")
+    want = resolve.name_agreement(resolve.near_pairs(places, metres=15.0), names)
+    assert sorted(map(str, resolve.near_agreement(places, names, 15.0).collect())) == sorted(map(str, want.collect())) != []
