@@ -29,8 +29,6 @@ SAMPLE = 64
 BLOCK, LEAST = 1 << 16, 64
 #: Rows and bytes up to which a table of centres or classes is broadcast.
 FEW, LIGHT = 5_000, 16 << 20
-#: Sampled rows up to which their numbers are broadcast, so that no text is shuffled for them.
-SPARSE = 100_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -42,23 +40,30 @@ def _agreement(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
     return (sketches == one).mean(axis=-1)
 
 
-def _centre(sketch_of, coordinates: int, close: float):
-    """(node, centre, size, sketch, set) of the samples of each node; no row if no two of them are close."""
+def _densest(coordinates: int, close: float):
+    """(sid, node) of the densest part of a node's sample, by the sketches; no row if no two of it are close."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.take(pa.array(np.argsort(table.column("sid").to_numpy(), kind="stable")))
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, coordinates)
         near = np.stack([_agreement(sketches, s) >= close for s in sketches])
-        best = int(near.sum(axis=1).argmax())
-        members = np.flatnonzero(near[best])
+        members = np.flatnonzero(near[int(near.sum(axis=1).argmax())])
+        return table.select(["sid", "node"]).take(pa.array(members if len(members) > 1 else members[:0]))
+
+    return run
+
+
+def _centre(sketch_of):
+    """(node, centre, size, sketch, set) of what most of a node's sets hold; no row if that is nothing."""
+
+    def run(table: pa.Table) -> pa.Table:
         out = []
-        if len(members) > 1:
-            blobs = table.column("set").take(pa.array(members)).to_pylist()
-            grams, held = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in blobs]), return_counts=True)
-            grams = grams[2 * held > len(members)]
-            if len(grams):
-                sid, sketch = sketch_of(grams)
-                out.append((table.column("node")[0].as_py(), sid, len(grams), sketch.tobytes(), grams.tobytes()))
+        blobs = table.column("set").to_pylist()
+        grams, held = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in blobs]), return_counts=True)
+        grams = grams[2 * held > len(blobs)]
+        if len(grams):
+            sid, sketch = sketch_of(grams)
+            out.append((table.column("node")[0].as_py(), sid, len(grams), sketch.tobytes(), grams.tobytes()))
         columns = list(zip(*out)) or [[]] * 5
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("node", "centre", "c", "centre_sketch", "centre_set"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))})
 
@@ -132,18 +137,19 @@ def _least_near(num: int, den: int, coordinates: int) -> float:
 
 def _centres(wide: DataFrame, sets_of, sketch_of, coordinates: int, close: float) -> DataFrame:
     """Staged (node, centre, c, centre_sketch, centre_set) of large nodes (sid, node, members, sketch)."""
-    sample = staged(wide.where(F.pmod(F.xxhash64("sid", "node"), F.ceil(F.col("members") / SAMPLE)) == 0))
-    sets = sets_of(sample.select("sid").distinct(), few=sample.count() <= SPARSE)
-    made = sample.join(sets, "sid").groupBy("node").applyInArrow(_centre(sketch_of, coordinates, close), "node long, centre long, c long, centre_sketch binary, centre_set binary")
-    return staged(made)
+    sample = wide.where(F.pmod(F.xxhash64("sid", "node"), F.ceil(F.col("members") / SAMPLE)) == 0)
+    # By the sketches first: texts are read only for nodes that have a dense part, and of it.
+    dense = staged(sample.select("sid", "node", "sketch").groupBy("node").applyInArrow(_densest(coordinates, close), "sid long, node long"))
+    sets = sets_of(dense.withColumnRenamed("node", "to")).select(F.col("to").alias("node"), "set")
+    return staged(sets.groupBy("node").applyInArrow(_centre(sketch_of), "node long, centre long, c long, centre_sketch binary, centre_set binary"))
 
 
-def _measured(each: DataFrame, texts: DataFrame, centres: DataFrame, num: int, den: int) -> DataFrame:
+def _measured(each: DataFrame, sets_of, centres: DataFrame, num: int, den: int) -> DataFrame:
     """Staged members of the groups, of (sid, centre) that may be within twice the link distance."""
     once = centres.groupBy("centre").agg(F.first("centre_set").alias("centre_set"))
     if (once.agg(F.sum(F.length("centre_set"))).first()[0] or 0) <= LIGHT:
         once = F.broadcast(once)
-    members = each.join(texts, "sid").join(once, "centre").select("sid", "centre", "set", "centre_set")
+    members = sets_of(each.withColumnRenamed("centre", "to")).withColumnRenamed("to", "centre").join(once, "centre").select("sid", "centre", "set", "centre_set")
     return staged(members.mapInArrow(_differences(num, den), "sid long, centre long, c long, u long, inner boolean, differences binary"))
 
 
@@ -162,16 +168,21 @@ def gather_all(reps: DataFrame, wide: DataFrame, sets_of, sketch_of, coordinates
         return None
     numbers, sketches = np.array([r.centre for r in found], np.int64), np.stack([np.frombuffer(r.centre_sketch, np.uint32) for r in found])
     near = staged(reps.select("sid", "sketch").mapInArrow(_near_any(numbers, sketches, least), "sid long, centre long"))
-    return _measured(near, sets_of(near.select("sid").distinct()), centres, num, den)
+    return _measured(near, sets_of, centres, num, den)
+
 
+def gather(wide: DataFrame, sets_of, sketch_of, coordinates: int, num: int, den: int) -> tuple[DataFrame, DataFrame] | None:
+    """Of large nodes, staged (sid, node, members, sketch): members of the groups, and rows (sid, node) that may leave.
 
-def gather(wide: DataFrame, sets_of, sketch_of, coordinates: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Of large nodes, staged (sid, node, members, sketch): members of the groups, and rows (sid, node) that may leave."""
+    None if no node has a centre.
+    """
     centres = _centres(wide, sets_of, sketch_of, coordinates, 2 * num / den - 1)
+    if not centres.limit(1).count():
+        return None
     near = wide.join(small(centres.select("node", "centre", "centre_sketch")), "node").select("sid", "node", "centre", "sketch", "centre_sketch")
     near = staged(near.mapInArrow(_alike(coordinates, _least_near(num, den, coordinates)), "sid long, node long, centre long"))
     each = near.select("sid", "centre").distinct()
-    members = _measured(each, sets_of(each.select("sid").distinct()), centres, num, den)
+    members = _measured(each, sets_of, centres, num, den)
     leave = near.join(members.where("inner").select("sid", "centre"), ["sid", "centre"]).select("sid", "node").distinct()
     return members, leave
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .arrays import AS_IS, SPACED, gram_hashes, mix, prefix_hashes, range_hashes, release, split_words, text_chunks, within_rows
 from .centres import gather, gather_all, group_links
-from .common import components, give_back, n_buckets, small_batches, staged
+from .common import asked, components, discard, give_back, n_buckets, small_batches, staged
 
 SHINGLE, LEAF, DEPTH, BRANCHES, COORDINATES = 5, 256, 3, 2, 64
 _NO_CENTRE = np.uint64(2**64 - 1)
@@ -144,14 +144,21 @@ def _sized(nodes: DataFrame) -> DataFrame:
     return staged(nodes.join(sizes, "node").select("sid", "node", "members"))
 
 
+def _with_sketches(some: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows (sid, node, ...) and the sketches of their sets."""
+    return some.join(asked(reps.select("sid", "sketch"), some.select("sid")), "sid")
+
+
 def leaves(reps: DataFrame, sets_of, runs: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
     """((sid, leaf, members) of leaves with two members or more, members of dense groups or None)."""
     started = lambda some, n: staged(some.select("sid", F.lit(0).cast("long").alias("node"), "sketch").mapInArrow(_split(n), "sid long, node long"))
-    found, groups, dense = [], [], None
+    found, groups = [], []
     # Dense groups are first looked for in one run and gathered from all sets; who is near a centre takes part in no run.
     big = _sized(started(reps, 1)).where(F.col("members") > LEAF)
     if big.limit(1).count():
-        members = gather_all(reps, staged(big.join(reps.select("sid", "sketch"), "sid").select("sid", "node", "members", "sketch")), sets_of, sketch_of, COORDINATES, num, den)
+        wide = staged(_with_sketches(big, reps).select("sid", "node", "members", "sketch"))
+        members = gather_all(reps, wide, sets_of, sketch_of, COORDINATES, num, den)
+        discard(wide)
         if members is not None:
             groups.append(members)
             reps = staged(reps.select("sid", "sketch").join(members.where("inner").select("sid").distinct(), "sid", "left_anti"))
@@ -163,21 +170,25 @@ def leaves(reps: DataFrame, sets_of, runs: int, num: int, den: int) -> tuple[Dat
         big = now.where(F.col("members") > LEAF)
         if not big.limit(1).count():
             break
-        wide = staged(big.join(reps.select("sid", "sketch"), "sid").select("sid", "node", "members", "sketch"))
-        if dense is None:  # later nodes are parts of these
-            dense = staged(sets_of(wide.select("sid").distinct()))
-            give_back(reps.sparkSession)
-        members, leave = gather(wide, lambda wanted, few=False: dense.join(wanted, "sid"), sketch_of, COORDINATES, num, den)
-        groups.append(members)
-        # Only nodes that some leave are counted anew.
-        leave = staged(leave)
-        touched = leave.select("node").distinct()
-        rest = staged(big.join(touched, "node", "left_anti").unionByName(_sized(big.join(touched, "node", "left_semi").join(leave, ["sid", "node"], "left_anti").select("sid", "node")).select(big.columns)))
+        wide = staged(_with_sketches(big, reps).select("sid", "node", "members", "sketch"))
+        gathered = gather(wide, sets_of, sketch_of, COORDINATES, num, den)
+        give_back(reps.sparkSession)
+        rest = big
+        if gathered is not None:
+            groups.append(gathered[0])
+            # Only nodes that some leave are counted anew.
+            leave = staged(gathered[1])
+            touched = leave.select("node").distinct()
+            rest = staged(big.join(touched, "node", "left_anti").unionByName(_sized(big.join(touched, "node", "left_semi").join(leave, ["sid", "node"], "left_anti").select("sid", "node")).select(big.columns)))
         found.append(rest if depth == DEPTH else rest.where(F.col("members") <= LEAF))
         big = rest.where(F.col("members") > LEAF)
-        if depth == DEPTH or not big.limit(1).count():
+        last = depth == DEPTH or not big.limit(1).count()
+        if not last:
+            parts = wide if gathered is None else _with_sketches(big, reps)
+            nodes = staged(parts.select("sid", "node", "sketch").mapInArrow(_split(), "sid long, node long"))
+        discard(wide)
+        if last:
             break
-        nodes = staged(big.join(reps.select("sid", "sketch"), "sid").select("sid", "node", "sketch").mapInArrow(_split(), "sid long, node long"))
     united = found[0]
     for part in found[1:]:
         united = united.unionByName(part)
@@ -331,7 +342,7 @@ def _sets(n: int):
                 rows, grams = shingle_sets(buf, offsets, n)
                 cuts = np.searchsorted(rows, np.arange(len(offsets)))
                 blobs += [grams[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["sid", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blobs, pa.binary())], ["sid", "to", "set"])
         release()
 
     return run
@@ -348,12 +359,13 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shing
     one = sketched.select("sid", "sketch", F.col("row_key").alias("rep"))
     reps = staged(equal.join(one.dropDuplicates(["sid", "rep"]), ["sid", "rep"]))
 
-    def sets_of(wanted: DataFrame, few: bool = False) -> DataFrame:
-        """(sid, set) of the given sids, once each; of few, the texts are picked where they are read."""
-        keyed = wanted.join(reps.select("sid", "rep"), "sid")
-        keyed = F.broadcast(keyed) if few else keyed
-        texts = rows.select(F.col("row_key").alias("rep"), "text").join(keyed, "rep").select("sid", "text").dropDuplicates(["sid"])
-        return texts.mapInArrow(_sets(shingle), "sid long, set binary")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(sid, to, set) of the given (sid, to); each text that is asked for is shuffled once, no other is."""
+        each = wanted.groupBy("sid").agg(F.collect_set("to").alias("to"))
+        keyed = staged(each.join(reps.select("sid", "rep"), "sid").select("rep", "sid", "to"))
+        texts = asked(rows.select(F.col("row_key").alias("rep"), "text"), keyed.select("rep")).join(keyed, "rep").dropDuplicates(["rep", "sid"])
+        sets = texts.select("sid", "text", "to").mapInArrow(_sets(shingle), "sid long, to array<long>, set binary")
+        return sets.select("sid", F.explode("to").alias("to"), "set")
 
     found, members = leaves(reps, sets_of, runs_for(num / den, recall), num, den)
     found = staged(found)
@@ -373,7 +385,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shing
     columns = [c.split()[0] for c in _ROW.split(", ")]
     needed = staged(tiled.select(*columns).groupBy("bucket").applyInArrow(_needed(num, den), _ROW))
     # Sets go once to each bucket that needs them.
-    sent = needed.select("bucket", "sid").distinct().join(sets_of(needed.select("sid").distinct()), "sid").select(F.col("bucket").alias("to"), F.col("sid").alias("own"), "set")
+    sent = sets_of(needed.select("sid", F.col("bucket").cast("long").alias("to"))).select(F.col("to").cast("int").alias("to"), F.col("sid").alias("own"), "set")
     linked = staged(needed.groupBy("bucket").cogroup(sent.groupBy("to")).applyInArrow(_link(num, den), "sid long, links long, root long"))
     linked = linked if grouped is None else linked.unionByName(grouped)
     classes = components(linked.select(F.col("sid").alias("u"), F.col("root").alias("v")))

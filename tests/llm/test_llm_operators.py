@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from placeloom.llm import arrays, automata, centres, chosenpath, decontaminate, html, mixing, pii, quality, queries, repeats, runindex, tokens, urls
+from placeloom.llm import arrays, automata, centres, chosenpath, common, decontaminate, html, mixing, pii, quality, queries, repeats, runindex, tokens, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_key long, bucket long, sid long, stratum string, t string"
@@ -262,6 +262,57 @@ def test_dense_groups_take_part_in_no_run(spark, monkeypatch):
     assert len(got) == len(texts) and sum(seen) <= 3 * len(texts), seen
 
 
+def shuffled(spark):
+    """Bytes that the session has written to shuffles."""
+    jvm = spark._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_texts_that_nobody_asks_for_are_not_shuffled(spark):
+    """Long texts, of which two are alike: those two are shuffled, the others stay where they are read."""
+    rng = random.Random(13)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(3000)) for _ in range(100)]
+    texts.append(texts[0] + " one more")
+    docs = chosenpath.staged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    before, limit = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: (r.class_id, r.n_links) for r in chosenpath.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {i: (0, 1) if i in (0, 100) else (i, 0) for i in range(101)}
+    assert 0 < sum(n for k, n in shuffled(spark).items() if k not in before) < sum(map(len, texts)) // 4
+
+
+def test_large_nodes_without_a_dense_part_ask_for_no_text(spark):
+    rng, asked = np.random.default_rng(3), []
+    rows = [(i, 1 + i % 2, 300, rng.integers(0, 1 << 32, 64, np.uint32).tobytes()) for i in range(600)]
+    wide = chosenpath.staged(spark.createDataFrame(rows, "sid long, node long, members long, sketch binary"))
+
+    def sets_of(wanted, **_):
+        asked.append(wanted.count())
+        return wanted.selectExpr("*", "cast('' as binary) as set")
+
+    assert centres.gather(wide, sets_of, chosenpath.sketch_of, 64, 4, 5) is None
+    assert asked == [0]
+
+
+@pytest.mark.parametrize("slices", [1 << 14, 2])
+def test_asked_loses_no_row(spark, monkeypatch, slices):
+    """A filter that is too full lets more through, but loses nothing."""
+    monkeypatch.setattr(common, "MOST_SLICES", slices)
+    rng = np.random.default_rng(9)
+    every = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 40_000)] + [0, -1, (1 << 63) - 1, -(1 << 63)]
+    df = spark.createDataFrame([(x, str(x)) for x in every], "k long, v string")
+    wanted = set(every[:20_000:2] + every[-4:])
+    got = [tuple(r) for r in common.asked(df, spark.createDataFrame([(x,) for x in [*wanted, 5, 5]], "k long")).collect()]
+    assert wanted <= {k for k, _ in got} and all(v == str(k) for k, v in got) and len(got) == len({k for k, _ in got})
+    assert len(got) - len(wanted) < (600 if slices > 2 else len(every))
+    assert common.asked(df, spark.createDataFrame([], "k long")).collect() == []
+
+
 @pytest.mark.parametrize("least", [0.25, 0.3])
 def test_sketches_near_any_centre(least):
     rng = np.random.default_rng(5)
