@@ -146,11 +146,11 @@ def _centres(wide: DataFrame, sets_of, sketch_of, coordinates: int, close: float
 
 def _measured(each: DataFrame, sets_of, centres: DataFrame, num: int, den: int) -> DataFrame:
     """Staged members of the groups, of (sid, centre) that may be within twice the link distance."""
-    once = centres.groupBy("centre").agg(F.first("centre_set").alias("centre_set"))
+    once = centres.groupBy(F.col("centre").alias("to")).agg(F.first("centre_set").alias("centre_set"))
     if (once.agg(F.sum(F.length("centre_set"))).first()[0] or 0) <= LIGHT:
         once = F.broadcast(once)
-    members = sets_of(each.withColumnRenamed("centre", "to")).withColumnRenamed("to", "centre").join(once, "centre").select("sid", "centre", "set", "centre_set")
-    return staged(members.mapInArrow(_differences(num, den), "sid long, centre long, c long, u long, inner boolean, differences binary"))
+    # In the workers that make the sets: two workers a task would hold twice the memory.
+    return staged(sets_of(each.withColumnRenamed("centre", "to"), once, _differences(num, den), "sid long, centre long, c long, u long, inner boolean, differences binary"))
 
 
 def gather_all(reps: DataFrame, wide: DataFrame, sets_of, sketch_of, coordinates: int, num: int, den: int) -> DataFrame | None:

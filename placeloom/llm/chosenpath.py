@@ -335,14 +335,19 @@ def _link(s_num: int, s_den: int):
 
 
 def _sets(n: int):
+    """Batches of (sid, text, to, more) to (sid, to, set, more); rows of one sid that follow each other share its set."""
+
     def run(batches):
         for batch in batches:
-            blobs = []
-            for _, buf, offsets in text_chunks(batch.column(1)):
+            sids, blobs = batch.column(0).to_numpy(zero_copy_only=False), []
+            new = np.ones(len(sids), bool)
+            new[1:] = sids[1:] != sids[:-1]
+            for _, buf, offsets in text_chunks(batch.column(1).filter(pa.array(new))):
                 rows, grams = shingle_sets(buf, offsets, n)
                 cuts = np.searchsorted(rows, np.arange(len(offsets)))
                 blobs += [grams[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blobs, pa.binary())], ["sid", "to", "set"])
+            blobs = [blobs[i] for i in (np.cumsum(new) - 1).tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blobs, pa.binary()), *batch.columns[3:]], ["sid", "to", "set", *batch.schema.names[3:]])
         release()
 
     return run
@@ -359,13 +364,21 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), shing
     one = sketched.select("sid", "sketch", F.col("row_key").alias("rep"))
     reps = staged(equal.join(one.dropDuplicates(["sid", "rep"]), ["sid", "rep"]))
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """(sid, to, set) of the given (sid, to); each text that is asked for is shuffled once, no other is."""
+    def sets_of(wanted: DataFrame, beside: DataFrame | None = None, then=None, schema: str = "") -> DataFrame:
+        """(sid, to, set) of the given (sid, to); each text that is asked for is shuffled once, no other is.
+
+        With ``beside``, joined on ``to``, what ``then`` makes of the batches in the same Python worker.
+        """
         each = wanted.groupBy("sid").agg(F.collect_set("to").alias("to"))
         keyed = staged(each.join(reps.select("sid", "rep"), "sid").select("rep", "sid", "to"))
         texts = asked(rows.select(F.col("row_key").alias("rep"), "text"), keyed.select("rep")).join(keyed, "rep").dropDuplicates(["rep", "sid"])
-        sets = texts.select("sid", "text", "to").mapInArrow(_sets(shingle), "sid long, to array<long>, set binary")
-        return sets.select("sid", F.explode("to").alias("to"), "set")
+        sets = _sets(shingle)
+        if beside is None:
+            made = texts.select("sid", "text", "to").mapInArrow(sets, "sid long, to array<long>, set binary")
+            return made.select("sid", F.explode("to").alias("to"), "set")
+        more = [c for c in beside.columns if c != "to"]
+        each = texts.select("sid", "text", F.explode("to").alias("to")).join(beside, "to").select("sid", "text", "to", *more)
+        return each.mapInArrow(lambda batches: then(sets(batches)), schema)
 
     found, members = leaves(reps, sets_of, runs_for(num / den, recall), num, den)
     found = staged(found)
