@@ -11,7 +11,7 @@ from ..operators import merge, resolve, spatial
 
 def merge_records(records: DataFrame, names: DataFrame, obs: DataFrame) -> DataFrame:
     """Winners per cluster and field: resolve, cluster, merge."""
-    found = resolve.clusters(records.select("place_id", "gers_id"), resolve.match_edges(records, names))
+    found = resolve.matched_clusters(records, names)
     return merge.winners(obs.join(found.select(F.col("place_id").alias("site_id"), "cluster"), "site_id").drop("site_id").withColumnRenamed("cluster", "site_id"))
 
 

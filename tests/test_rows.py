@@ -316,3 +316,28 @@ def test_names_of_positions_agree_as_those_of_pairs(spark, monkeypatch, several)
     names = spark.createDataFrame(said, "key long, tag string, name string")
     want = resolve.name_agreement(resolve.near_pairs(places, metres=15.0), names)
     assert sorted(map(str, resolve.near_agreement(places, names, 15.0).collect())) == sorted(map(str, want.collect())) != []
+
+
+@pytest.mark.parametrize("seed", (0, 2, 3))
+def test_clusters_without_edges(spark, seed):
+    """Clusters replayed by records are those of all edges in order; a heap of records at one place makes no pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abc 1", k=rng.randint(1, 6)))
+    spots = [(28.0 + rng.randrange(12) / 5000, 36.0 + rng.randrange(3) / 5000) for _ in range(25)]
+    share = (0.0, 0.1, 0.3, 0.5, 0.8, 0.02)[seed]
+    rows = [(i, *rng.choice(spots), f"g{rng.randrange(6)}" if rng.random() < share else None) for i in rng.sample(range(1000), 140)]
+    rows += [(2000, None, None, None), (2001, None, None, "g1"), (2002, 28.0, None, "g2"), (2003, -70.0, 10.0, None), (2004, -70.0, 10.0, None), (2005, *spots[0], None)]
+    records = spark.createDataFrame(rows, "place_id long, lon double, lat double, gers_id string")
+    named = [(i, rng.choice(["und", "en", "el", None]) if rng.random() < 0.7 else "und", word()) for i, *_ in rows for _ in range(1 if rng.random() < 0.7 else 2)]
+    named += [(2003, "und", "same"), (2004, "en", "same"), (2005, "und", None), (2005, "und", "  ")]
+    names = spark.createDataFrame(named, "key long, tag string, name string")
+    want = resolve.clusters(records.select("place_id", "gers_id"), resolve.match_edges(records, names))
+    got = {r.place_id: r.cluster for r in resolve.matched_clusters(records, names).collect()}
+    assert got == {r.place_id: r.cluster for r in want.collect()} and len(got) == len(rows) > len(set(got.values()))
+    n = 30_000
+    keys, none = np.arange(n), np.zeros(n, np.int64)
+    heap = resolve._absorb(keys, none, pa.array(["name 1"] * n), pa.array(["und"] * n), np.where(keys % 3 == 0, keys % 7, -1), none[:1], none[:1], 0.6)
+    assert set(heap[1].tolist()) == {0, 3, 6, 9, 12, 15, 18} and (heap[1] == 0).sum() > 20_000
