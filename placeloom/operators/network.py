@@ -7,42 +7,149 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import components, staged
-from .spatial import meeting, serving_component
-
-
-def noded(segments: DataFrame, step: int = 256) -> DataFrame:
-    """(seg_id, x0, y0, x1, y1) pieces that meet only at their ends: cut where two cross, touch or overlap."""
-    boxed = segments.select("seg_id", F.col("x0").alias("ax"), F.col("y0").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by"), F.least("x0", "x1").alias("x0"), F.least("y0", "y1").alias("y0"), F.greatest("x0", "x1").alias("x1"), F.greatest("y0", "y1").alias("y1"))
-    other = boxed.toDF("o_id", "px", "py", "qx", "qy", "u0", "v0", "u1", "v1")
-    met = meeting(boxed, other, step).where("seg_id <> o_id").select("seg_id", "ax", "ay", "bx", "by", "px", "py", "qx", "qy")
-    c = {n: F.col(n).cast("double") for n in ("ax", "ay", "bx", "by", "px", "py", "qx", "qy")}
-    det = (c["bx"] - c["ax"]) * (c["qy"] - c["py"]) - (c["by"] - c["ay"]) * (c["qx"] - c["px"])
-    t = ((c["px"] - c["ax"]) * (c["qy"] - c["py"]) - (c["py"] - c["ay"]) * (c["qx"] - c["px"])) / F.nullif(det, F.lit(0.0))
-    u = ((c["px"] - c["ax"]) * (c["by"] - c["ay"]) - (c["py"] - c["ay"]) * (c["bx"] - c["ax"])) / F.nullif(det, F.lit(0.0))
-    cross = F.when(t.between(0, 1) & u.between(0, 1), F.struct(F.round(c["ax"] + t * (c["bx"] - c["ax"])).cast("long").alias("x"), F.round(c["ay"] + t * (c["by"] - c["ay"])).cast("long").alias("y")))
-
-    def on(x, y):
-        """An end of the other on this one."""
-        side = (c["bx"] - c["ax"]) * (F.col(y) - c["ay"]) - (c["by"] - c["ay"]) * (F.col(x) - c["ax"])
-        inside = F.col(x).between(F.least("ax", "bx"), F.greatest("ax", "bx")) & F.col(y).between(F.least("ay", "by"), F.greatest("ay", "by"))
-        return F.when((side == 0) & inside, F.struct(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y")))
-
-    cuts = met.select("seg_id", F.explode(F.array_compact(F.array(cross, on("px", "py"), on("qx", "qy")))).alias("p"))
-    ends = boxed.select("seg_id", F.explode(F.array(F.struct(F.col("ax").cast("long").alias("x"), F.col("ay").cast("long").alias("y")), F.struct(F.col("bx").cast("long").alias("x"), F.col("by").cast("long").alias("y")))).alias("p"))
-    points = cuts.union(ends).distinct().join(boxed.select("seg_id", "ax", "ay"), "seg_id")
-    along = (F.col("p.x") - F.col("ax")) * (F.col("p.x") - F.col("ax")) + (F.col("p.y") - F.col("ay")) * (F.col("p.y") - F.col("ay"))
-    order = W.partitionBy("seg_id").orderBy(along, "p.x", "p.y")
-    pieces = points.withColumn("q", F.lead("p").over(order)).where("q is not null")
+from .spatial import in_cells, meeting, serving_component
+
+#: Pairs of segments that are tested at once.
+TESTED = 1 << 20
+#: Segments a task takes.
+SEGMENTS = 25_000
+
+
+def _crossings(ax, ay, bx, by, px, py, qx, qy):
+    """(number of the pair, x, y): where the first line of a pair is cut by the second, rounded, halves away from zero."""
+
+    def whole(at):
+        size = np.abs(at)
+        floor = np.floor(size)
+        return (np.where(at < 0, -1.0, 1.0) * (floor + (size - floor >= 0.5))).astype(np.int64)
+
+    out = []
+    det = (bx - ax) * (qy - py) - (by - ay) * (qx - px)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = ((px - ax) * (qy - py) - (py - ay) * (qx - px)) / det
+        u = ((px - ax) * (by - ay) - (py - ay) * (bx - ax)) / det
+    at = np.flatnonzero((det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1))
+    out.append((at, whole(ax[at] + t[at] * (bx[at] - ax[at])), whole(ay[at] + t[at] * (by[at] - ay[at]))))
+    for x, y in ((px, py), (qx, qy)):  # an end of the other on this one
+        side = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        at = np.flatnonzero((side == 0) & (x >= np.minimum(ax, bx)) & (x <= np.maximum(ax, bx)) & (y >= np.minimum(ay, by)) & (y <= np.maximum(ay, by)))
+        out.append((at, x[at].astype(np.int64), y[at].astype(np.int64)))
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+def _cut(batches):
+    """(seg_id, ax, ay, x, y): cuts of segments in a cell, of rows by cell (level, cx, cy, wide, home, seg_id, ax, ay, bx, by)."""
+
+    def solve(rows):
+        home = rows[4].astype(bool)
+        cx, cy, wide = (int(rows[c][0]) for c in (1, 2, 3))
+        seg, line = rows[5], [c.astype(np.float64) for c in rows[6:10]]
+        x0, x1, y0, y1 = np.minimum(rows[6], rows[8]), np.maximum(rows[6], rows[8]), np.minimum(rows[7], rows[9]), np.maximum(rows[7], rows[9])
+        small = np.int32 if max(int(abs(c).max()) for c in (x0, x1, y0, y1)) < 1 << 31 else np.int64
+        box = [c.astype(small) for c in (x0, x1, y0, y1)]
+        ours, span_y = np.flatnonzero(home), int((y1 - y0).max()) + 1
+        span = (int((x1 - x0).max()) + 1) * span_y
+        step = max(1, TESTED // len(seg))
+        for s in range(0, len(ours), step):
+            o = ours[s : s + step, None]
+            met = box[0][o] <= box[1]
+            for low, high in ((box[0], box[1][o]), (box[2][o], box[3]), (box[2], box[3][o])):
+                met &= low <= high
+            i, j = np.divmod(np.flatnonzero(met), len(seg))
+            i = o[i, 0]
+            # Of the cells where two meet, the one of their overlap's low corner counts.
+            go = (seg[i] != seg[j]) & (np.maximum(x0[i], x0[j]) // wide == cx) & (np.maximum(y0[i], y0[j]) // wide == cy)
+            i, j = i[go], j[go]
+            i, j = np.concatenate((i, j[~home[j]])), np.concatenate((j, i[~home[j]]))  # finer ones are cut by ours as well
+            at, x, y = _crossings(*(c[i] for c in line), *(c[j] for c in line))
+            i = i[at]
+            if not len(i):
+                continue
+            if len(seg) * span < 1 << 62:
+                code = i * span + (x - x0[i]) * span_y + y - y0[i]
+                if len(seg) * span <= 1 << 24:
+                    flags = np.zeros(len(seg) * span, bool)
+                    flags[code] = True
+                    code = np.flatnonzero(flags)
+                else:
+                    code = np.unique(code)
+                i = code // span
+                x, y = code % span // span_y + x0[i], code % span_y + y0[i]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (seg[i], rows[6][i], rows[7][i], x, y)], ["seg_id", "ax", "ay", "x", "y"])
+
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(10)]
+        new = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            if held and any(held[-1][c][0] != rows[c][s] for c in range(3)):
+                yield from solve([np.concatenate(x) for x in zip(*held)])
+                held = []
+            held.append([c[s:e] for c in rows])
+    if held:
+        yield from solve([np.concatenate(x) for x in zip(*held)])
+
+
+def _pieces(batches):
+    """(seg_id, x0, y0, x1, y1): pieces between neighbouring points, lower end first, of rows (seg_id, ax, ay, x, y) by seg_id."""
+
+    def solve(parts):
+        seg, ax, ay, x, y = (np.concatenate(c) for c in zip(*parts))
+        along = (x - ax) * (x - ax) + (y - ay) * (y - ay)
+        order = np.lexsort((y, x, along, seg))
+        seg, x, y = seg[order], x[order], y[order]
+        go = np.flatnonzero((seg[1:] == seg[:-1]) & ((x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        x0, y0, x1, y1 = x[go], y[go], x[go + 1], y[go + 1]
+        turn = (x0 > x1) | ((x0 == x1) & (y0 > y1))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (seg[go], np.where(turn, x1, x0), np.where(turn, y1, y0), np.where(turn, x0, x1), np.where(turn, y0, y1))], ["seg_id", "x0", "y0", "x1", "y1"])
+
+    held, size = [], 0
+    for batch in batches:
+        rows = [batch.column(c).to_numpy() for c in range(5)]
+        if size >= TESTED:
+            cut = int(np.searchsorted(rows[0], held[-1][0][-1], "right"))
+            if cut < len(rows[0]):
+                yield solve([*held, [c[:cut] for c in rows]])
+                held, size, rows = [], 0, [c[cut:] for c in rows]
+        if len(rows[0]):
+            held.append(rows)
+            size += len(rows[0])
+    if held:
+        yield solve(held)
+
+
+def noded(segments: DataFrame, step: int | None = None) -> DataFrame:
+    """(seg_id, x0, y0, x1, y1) pieces that meet only at their ends: cut where two cross, touch or overlap.
+
+    Equal segments are cut once, for the least of them.  Segments meet in cells about as wide as they are (or of
+    ``step``), where a task tests them many at once and gives each cut of a segment once.
+    """
+    lines = staged(segments.groupBy(*(F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1"))).agg(F.min(F.col("seg_id").cast("long")).alias("seg_id")))
+    boxed = lines.select("seg_id", F.col("x0").alias("ax"), F.col("y0").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by"), F.least("x0", "x1").alias("x0"), F.least("y0", "y1").alias("y0"), F.greatest("x0", "x1").alias("x1"), F.greatest("y0", "y1").alias("y1"))
+    if step is None:
+        longest = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+        usual, most = boxed.agg(F.percentile_approx(longest, 0.9), F.max(longest)).first()
+        step = max(1, most if most <= 2 * usual else usual) if most else 1
+    rows = in_cells(boxed, step).select("level", "cx", "cy", "wide", "home", "seg_id", "ax", "ay", "bx", "by")
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // SEGMENTS))
+    cuts = rows.repartition(parts, "level", "cx", "cy").sortWithinPartitions("level", "cx", "cy").mapInArrow(_cut, "seg_id long, ax long, ay long, x long, y long")
+    end = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ends = boxed.where("ax is not null and ay is not null and bx is not null and by is not null").select("seg_id", "ax", "ay", F.inline(F.array(end("ax", "ay"), end("bx", "by"))))
+    pieces = cuts.union(ends).repartition(parts, "seg_id").sortWithinPartitions("seg_id").mapInArrow(_pieces, "seg_id long, x0 long, y0 long, x1 long, y1 long")
     # Overlapping pieces are one.
-    low, high = F.least("p", "q"), F.greatest("p", "q")
-    return pieces.select("seg_id", low.alias("a"), high.alias("b")).groupBy("a", "b").agg(F.min("seg_id").alias("seg_id")).select("seg_id", F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1"))
+    return pieces.groupBy("x0", "y0", "x1", "y1").agg(F.min("seg_id").alias("seg_id")).select("seg_id", "x0", "y0", "x1", "y1")
 
 
 def node_edges(pieces: DataFrame, *keep: str) -> DataFrame:

@@ -22,6 +22,20 @@ def _cells(df: DataFrame, step: int, level: Column, corners: tuple[str, str, str
     return at.withColumn("cx", F.explode(span(x0, x1))).withColumn("cy", F.explode(span(y0, y1)))
 
 
+def _own(step: int, corners: tuple[str, str, str, str]) -> Column:
+    """The level whose cells are as wide as the box."""
+    longest = F.greatest(F.col(corners[2]) - F.col(corners[0]), F.col(corners[3]) - F.col(corners[1]))
+    return F.when(longest <= step, 0).otherwise(F.least(F.ceil(F.log2(longest / step) / 2), F.lit(LEVELS - 1))).cast("int")
+
+
+def in_cells(boxes: DataFrame, step: int) -> DataFrame:
+    """Boxes (x0, y0, x1, y1) in the cells of their own level, with ``home``, and of the coarser ones that others stand in."""
+    at = boxes.withColumn("own", _own(step, ("x0", "y0", "x1", "y1")))
+    levels = sorted(r[0] for r in at.select("own").distinct().collect() if r[0] is not None)  # LEVELS numbers at most
+    looked = F.explode(F.filter(F.array(*map(F.lit, levels)) if levels else F.expr("cast(array() as array<int>)"), lambda x: x >= F.col("own")))
+    return _cells(at.withColumn("look", looked), step, F.col("look"), ("x0", "y0", "x1", "y1")).withColumn("home", F.expr("look = own")).drop("own", "look")
+
+
 def meeting(left: DataFrame, right: DataFrame, step: int) -> DataFrame:
     """Pairs of boxes that overlap or touch, once each: left with x0, y0, x1, y1, right with u0, v0, u1, v1 (x0 <= x1, ...).
 
@@ -31,9 +45,7 @@ def meeting(left: DataFrame, right: DataFrame, step: int) -> DataFrame:
     sides = (left, ("x0", "y0", "x1", "y1")), (right, ("u0", "v0", "u1", "v1"))
     levelled = []
     for df, c in sides:
-        longest = F.greatest(F.col(c[2]) - F.col(c[0]), F.col(c[3]) - F.col(c[1]))
-        own = F.when(longest <= step, 0).otherwise(F.least(F.ceil(F.log2(longest / step) / 2), F.lit(LEVELS - 1))).cast("int")
-        levelled.append((df.withColumn("own", own), c))
+        levelled.append((df.withColumn("own", _own(step, c)), c))
     held = [sorted(r[0] for r in df.select("own").distinct().collect()) for df, _ in levelled]  # LEVELS numbers at most
     parts = []
     for (home, c), (guest, d), levels, finer in ((levelled[0], levelled[1], held[0], False), (levelled[1], levelled[0], held[1], True)):

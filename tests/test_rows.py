@@ -341,3 +341,15 @@ def test_clusters_without_edges(spark, seed):
     keys, none = np.arange(n), np.zeros(n, np.int64)
     heap = resolve._absorb(keys, none, pa.array(["name 1"] * n), pa.array(["und"] * n), np.where(keys % 3 == 0, keys % 7, -1), none[:1], none[:1], 0.6)
     assert set(heap[1].tolist()) == {0, 3, 6, 9, 12, 15, 18} and (heap[1] == 0).sum() > 20_000
+
+
+def test_equal_segments_are_cut_once(spark):
+    """Many copies of two crossing ways, one long way and halves: four pieces and more, each of the least copy, without pairs of copies."""
+    from placeloom.operators import network
+
+    many = spark.range(100, 60_100).selectExpr("id as seg_id", "case when id % 2 = 0 then 0 else 10 end as x0", "0 as y0", "case when id % 2 = 0 then 10 else 0 end as x1", "10 as y1")
+    others = spark.createDataFrame([(1, -500, 2, 500, 2), (2, -3, -4, -4, -4), (3, -4, -5, -3, -4), (4, 7, 7, 7, 7), (5, -7, -7, -4, -4)], "seg_id long, x0 long, y0 long, x1 long, y1 long")
+    got = {tuple(r) for r in network.noded(many.unionByName(others)).collect()}
+    want = {(100, 0, 0, 2, 2), (100, 2, 2, 5, 5), (100, 5, 5, 7, 7), (100, 7, 7, 10, 10), (101, 8, 2, 10, 0), (101, 5, 5, 8, 2), (101, 0, 10, 5, 5), (1, -500, 2, 2, 2), (1, 2, 2, 8, 2), (1, 8, 2, 500, 2)}
+    want |= {(2, -4, -4, -3, -4), (3, -4, -5, -3, -4), (5, -7, -7, -4, -4)}
+    assert got == want
