@@ -353,3 +353,22 @@ def test_equal_segments_are_cut_once(spark):
     want = {(100, 0, 0, 2, 2), (100, 2, 2, 5, 5), (100, 5, 5, 7, 7), (100, 7, 7, 10, 10), (101, 8, 2, 10, 0), (101, 5, 5, 8, 2), (101, 0, 10, 5, 5), (1, -500, 2, 2, 2), (1, 2, 2, 8, 2), (1, 8, 2, 500, 2)}
     want |= {(2, -4, -4, -3, -4), (3, -4, -5, -3, -4), (5, -7, -7, -4, -4)}
     assert got == want
+
+
+def test_stops_of_days_are_read_and_dealt_once(spark):
+    plan = QUERIES["feasibility_day"](spark, SF)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("lineitem.parquet") == 1 and plan.count("Exchange hashpartitioning") + plan.count("Exchange REPARTITION") <= 3
+
+
+def test_verdicts_make_their_pieces_once(spark):
+    from placeloom.operators import network
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        made.add(1)
+        return x
+
+    pieces = spark.createDataFrame([(0, 0, 0, 1), (0, 1, 0, 2), (5, 5, 6, 6)], "x0 long, y0 long, x1 long, y1 long").withColumn("y1", counted("y1"))
+    assert tuple(network.graph_verdict(pieces).first()) == (2, 3, 2) and made.value == 3
