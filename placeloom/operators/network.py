@@ -160,7 +160,7 @@ def node_edges(pieces: DataFrame, *keep: str) -> DataFrame:
 
 def graph_verdict(pieces: DataFrame) -> DataFrame:
     """Nodes, pieces, components, and the share of pieces in the largest one (what pruning keeps)."""
-    edges = node_edges(pieces)
+    edges = staged(node_edges(pieces).select("u", "v"))  # read by several jobs
     placed = components(edges.select("u", "v"))
     per = edges.join(placed, edges.u == placed.node).groupBy("root").agg(F.count("*").alias("n"))
     return per.agg(F.count("*").alias("components"), F.sum("n").alias("pieces"), F.max("n").alias("kept"))
